@@ -8,6 +8,8 @@ QUERIES: dict = {}
 SQL: dict = {}
 for _name in (
     "op1_warc",
+    "op3_bpe",
+    "op10_counts",
 ):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
