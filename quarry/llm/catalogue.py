@@ -9,6 +9,8 @@ SQL: dict = {}
 for _name in (
     "op1_warc",
     "op3_bpe",
+    "op5_omh",
+    "op8_shards",
     "op10_counts",
 ):
     _module = import_module(f"{__package__}.{_name}")
