@@ -9,6 +9,7 @@ SQL: dict = {}
 for _name in (
     "op1_warc",
     "op3_bpe",
+    "op4_decontam",
     "op5_omh",
     "op8_shards",
     "op10_counts",
