@@ -11,6 +11,7 @@ for _name in (
     "op3_bpe",
     "op4_decontam",
     "op5_omh",
+    "op6_secrets",
     "op8_shards",
     "op10_counts",
 ):
