@@ -16,7 +16,10 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,59 +28,70 @@ from .pretok import Cache, pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+_ids, _decimal = itemgetter(0), itemgetter(1)
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes = {r: b for b, r in ranks.items()}
-        self.first = [ranks.get(bytes([i])) for i in range(256)]
         top = max(ranks.values(), default=0) + 1
-        self.words0 = [0] * (top // 64 + 1)
-        self.words1 = [0] * (top // 4096 + 1)
-        self.words2 = [0] * (top // 262_144 + 1)
-        self.start = {(a, b): ranks.get(bytes([a, b])) for a in range(256) for b in range(256)}
-        self.pairs: dict[int, int | None] = {}
-
-    def pair(self, a: int, b: int) -> int | None:
-        """Rank of a and b joined; kept by pair."""
-        key = a << 32 | b
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.bytes[a] + self.bytes[b])
-            return r
+        self.bytes = [b""] * top
+        for b, r in ranks.items():
+            self.bytes[r] = b
+        self.first = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        self.start = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
+        #: Every pair of ids whose bytes together have a rank.
+        self.pairs = {ranks[w[:i]] << 32 | ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+        self.sizes = top // 64 + 1, top // 4096 + 1, top // 262_144 + 1
 
     def encode(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        first = self.first
-        ids: list = [first[c] for c in data]
-        if None in ids:
+        return self.encode_many([data])[0]
+
+    def encode_many(self, words: list[bytes]) -> list[list[int]]:
+        """Each word's ids.  One queue serves them all: the least rank of all is the least of its own words too."""
+        whole = [self.ranks.get(w) for w in words]
+        rest = [w for w, r in zip(words, whole) if r is None]
+        data = np.frombuffer(b"".join(rest), np.uint8)
+        n = len(data)
+        ids = self.first[data].tolist()
+        if n and min(ids) < 0:
             raise ValueError("the ranks lack a byte")
-        n = len(ids)
-        if n < 2:
-            return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        w0, w1, w2, buckets, pair = self.words0, self.words1, self.words2, {}, self.pair
-        kept = self.pairs
-
-        def push(r: int, at: int) -> None:
-            if r in buckets:
-                buckets[r].append(at)
+        ends = np.cumsum([len(w) for w in rest], dtype=np.int64)
+        last = ends[ends > 0] - 1
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.append(self.start[data[:-1].astype(np.int64) << 8 | data[1:]], -1)[:n]
+        if n:
+            after[last], ranks[last], before[np.append(0, last[:-1] + 1)] = n, -1, -1
+        self._merge(ids, after.tolist(), before.tolist(), ranks, n)
+        out, at, bounds = [], 0, iter(ends.tolist())
+        for r in whole:
+            if r is None:
+                end = next(bounds)
+                out.append([x for x in ids[at:end] if x >= 0])
+                at = end
             else:
-                buckets[r] = [at]
-                w0[r >> 6] |= 1 << (r & 63)
-                w1[r >> 12] |= 1 << (r >> 6 & 63)
-                w2[r >> 18] |= 1 << (r >> 12 & 63)
-
-        for i, r in enumerate(map(self.start.__getitem__, zip(data, data[1:]))):
-            if r is not None:
-                push(r, i)
+                out.append([r])
+        return out
+
+    def _merge(self, ids: list[int], after: list[int], before: list[int], ranks: np.ndarray, n: int) -> None:
+        """ids of merged-away places become -1."""
+        w0, w1, w2 = ([0] * k for k in self.sizes)
+        buckets: dict[int, list[int]] = {}
+        rank_of = self.pairs.get
+
+        def mark(r: int) -> None:
+            w0[r >> 6] |= 1 << (r & 63)
+            w1[r >> 12] |= 1 << (r >> 6 & 63)
+            w2[r >> 18] |= 1 << (r >> 12 & 63)
+
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        found, edge = np.unique(ranks[places], return_index=True)
+        places, edge = places.tolist(), [*edge.tolist(), len(places)]
+        for k, r in enumerate(found.tolist()):
+            buckets[r] = places[edge[k] : edge[k + 1]]
+            mark(r)
         while buckets:
             for k, x in enumerate(w2):  # find first set, level by level
                 if x:
@@ -93,40 +107,40 @@ class Encoder:
                 w1[k >> 6] = x = w1[k >> 6] & ~(1 << (k & 63))
                 if not x:
                     w2[k >> 12] &= ~(1 << (k >> 6 & 63))
-            if len(spots) > 1:
-                spots.sort()
+            spots.sort()
+            lower = False
             for at, i in enumerate(spots):
-                a = ids[i]
-                if a is None:
-                    continue
                 j = after[i]
-                if j >= n or kept.get(a << 32 | ids[j], -1) != r and pair(a, ids[j]) != r:
-                    continue
-                ids[i], ids[j] = r, None
-                j = after[j]
-                after[i] = j
-                lower = False
-                if j < n:
+                a = ids[i]
+                if a < 0 or j == n or rank_of(a << 32 | ids[j]) != r:
+                    continue  # stale
+                ids[i], ids[j] = r, -1
+                j = after[i] = after[j]
+                if j != n:
                     before[j] = i
-                    q = kept.get(r << 32 | ids[j], -1)
-                    if q == -1:
-                        q = pair(r, ids[j])
+                    q = rank_of(r << 32 | ids[j])
                     if q is not None:
-                        push(q, i)
-                        lower = q < r
+                        if q in buckets:
+                            buckets[q].append(i)
+                        else:
+                            buckets[q] = [i]
+                            mark(q)
+                            lower |= q < r
                 h = before[i]
                 if h >= 0:
-                    q = kept.get(ids[h] << 32 | r, -1)
-                    if q == -1:
-                        q = pair(ids[h], r)
+                    q = rank_of(ids[h] << 32 | r)
                     if q is not None:
-                        push(q, h)
-                        lower |= q < r
+                        if q in buckets:
+                            buckets[q].append(h)
+                        else:
+                            buckets[q] = [h]
+                            mark(q)
+                            lower |= q < r
                 if lower:  # only for ranks that no training gives: a new pair goes before the rest of this bucket
-                    for x in spots[at + 1 :]:
-                        push(r, x)
+                    if at + 1 < len(spots):
+                        buckets[r] = spots[at + 1 :] + buckets.pop(r, [])
+                        mark(r)
                     break
-        return [x for x in ids if x is not None]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,8 +155,7 @@ def _encoder(name: str) -> tuple[Encoder, Cache]:
     encoder = Encoder(load_ranks(public_tokenizers.path(name)))
 
     def make(words: list[str]):
-        for w in words:
-            ids = encoder.encode(w.encode())
+        for w, ids in zip(words, encoder.encode_many([w.encode() for w in words])):
             yield w, (ids, ",".join(map(str, ids)))
 
     return encoder, Cache(make, CACHE_WORDS)
@@ -150,9 +163,7 @@ def _encoder(name: str) -> tuple[Encoder, Cache]:
 
 def encode_text(text: str, name: str = RANKS) -> list[int]:
     _, cache = _encoder(name)
-    words = pretokens(text)
-    cache.ready(words)
-    return [i for w in words for i in cache[w][0]]
+    return list(chain.from_iterable(map(_ids, cache.of(pretokens(text)))))
 
 
 def encode(docs: DataFrame, name: str = RANKS) -> DataFrame:
@@ -181,15 +192,15 @@ def digests(docs: DataFrame, name: str = RANKS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, cache = _encoder(name)
         piece = encoder.bytes.__getitem__
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", 4 << 20):
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                words = pretokens(t or "")
-                cache.ready(words)
-                found = [cache[w] for w in words]
-                ids = [i for f in found for i in f[0]]
+            texts = [pretokens(t or "") for t in b.column(1).to_pylist()]
+            cache.ready(chain.from_iterable(texts))  # new words are encoded together
+            for words in texts:
+                found = cache.of(words)
+                ids = list(chain.from_iterable(map(_ids, found)))
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(_decimal, found)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(piece, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

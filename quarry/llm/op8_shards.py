@@ -162,9 +162,7 @@ def _words(name: str) -> Cache:
 
 def encode(text: str, name: str = VOCABULARY) -> bytes:
     """The ids, little-endian.  The library sees each distinct pre-token once: this vocabulary's pre-tokenizer never joins them."""
-    cache, words = _words(name), pretokens(text)
-    cache.ready(words)
-    return b"".join(map(cache.__getitem__, words))
+    return b"".join(_words(name).of(pretokens(text)))
 
 
 def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:

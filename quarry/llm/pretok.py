@@ -49,10 +49,16 @@ class Cache(dict):
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
-    def ready(self, words: list[str]) -> None:
+    def ready(self, words) -> None:
         new = {w for w in set(words) if w not in self}
         if new:
             if len(self) + len(new) > self.most:
                 self.clear()
-                new = set(words)
             self.update(self.make(list(new)))
+
+    def of(self, words: list) -> list:
+        try:
+            return list(map(self.__getitem__, words))
+        except KeyError:
+            self.ready(words)
+            return list(map(self.__getitem__, words))
