@@ -8,6 +8,7 @@ QUERIES: dict = {}
 SQL: dict = {}
 for _name in (
     "op1_warc",
+    "op2_quality",
     "op3_bpe",
     "op4_decontam",
     "op5_omh",
