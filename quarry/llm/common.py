@@ -15,10 +15,20 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_BYTES = 2 << 20
 
+BATCH_ROWS = 1000
+
 _own_dir: list[str] = []
 
 
+def calm(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in small Arrow batches, which bounds both sides' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    calm(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -47,7 +47,10 @@ ALLOW = [
 ]
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
-_NONE = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
 def _places(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
@@ -55,7 +58,7 @@ def _places(text: Column, pattern: str, rank: int, group: int, least: int) -> Co
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), measured.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -63,24 +66,27 @@ def _places(text: Column, pattern: str, rank: int, group: int, least: int) -> Co
         keep = F.length(x["part"]) >= least  # the last row has a gap only
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(_NONE)
+    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(_none())
 
 
 def _windows(run: Column, offset: Column, rank: int, width: int, bits: float) -> Column:
     """Joined windows of one run that carry enough bits, as spans of the text."""
-    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
     weigh = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     most = (math.log2(width) - bits) * width  # of the sum of c * log2(c)
-    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), _NONE.alias("out"))
+    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), _none().alias("out"))
     f = lambda c: F.element_at(weigh, c + 1)
+    one = lambda acc: F.array(F.struct((offset + acc["a"]).alias("start"), F.lit(rank).alias("rank"), (offset + acc["b"]).alias("end")))
 
-    def step(acc: Column, code: Column) -> Column:
-        i = acc["i"]
-        gone = F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(-1))
+    def step(acc: Column, x: Column) -> Column:
+        code, gone = x["code"], x["gone"]
         up = F.get(acc["n"], code)
         down = F.when(gone >= 0, F.get(acc["n"], gone) + (gone == code).cast("int")).otherwise(F.lit(0))
-        s = acc["s"] + f(up + 1) - f(up) + F.when(down > 0, f(down - 1) - f(down)).otherwise(F.lit(0.0))
+        s = acc["s"] + _let(up, lambda u: f(u + 1) - f(u)) + _let(down, lambda d: F.when(d > 0, f(d - 1) - f(d)).otherwise(F.lit(0.0)))
         n = F.transform(acc["n"], lambda c, k: c + (k == code).cast("int") - (k == gone).cast("int"))
+        return _let(s, lambda bound: after(acc, n, bound))
+
+    def after(acc: Column, n: Column, s: Column) -> Column:
+        i = acc["i"]
         hit = (i >= width - 1) & (s <= most)
         first = i - (width - 1)
         apart = hit & (acc["b"] >= 0) & (first > acc["b"])
@@ -91,17 +97,28 @@ def _windows(run: Column, offset: Column, rank: int, width: int, bits: float) ->
             F.when(apart, F.concat(acc["out"], one(acc))).otherwise(acc["out"]).alias("out"),
         )
 
-    one = lambda acc: F.array(F.struct((offset + acc["a"]).alias("start"), F.lit(rank).alias("rank"), (offset + acc["b"]).alias("end")))
-    return F.aggregate(codes, begin, step, lambda acc: F.when(acc["b"] >= 0, F.concat(acc["out"], one(acc))).otherwise(acc["out"]))
+    def slide(codes: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(-1), width), F.slice(codes, 1, F.size(codes) - width))
+        rows = F.arrays_zip(codes.alias("code"), leaving.alias("gone"))
+        return F.aggregate(rows, begin, step, lambda acc: F.when(acc["b"] >= 0, F.concat(acc["out"], one(acc))).otherwise(acc["out"]))
+
+    return _let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), slide)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _scanner(text: Column, rank: int, width: int, bits: float):
     def of_run(r: Column) -> Column:
-        run = F.substring(text, r["start"] + 1, r["end"] - r["start"])
+        return _let(F.substring(text, r["start"] + 1, r["end"] - r["start"]), lambda run: of_text(run, r["start"]))
+
+    def of_text(run: Column, offset: Column) -> Column:
         allowed = F.lit(False)
         for a in ALLOW:
             allowed = allowed | run.rlike(a)
-        return F.when(allowed, _NONE).otherwise(_windows(run, r["start"], rank, width, bits))
+        return F.when(allowed, _none()).otherwise(_windows(run, offset, rank, width, bits))
 
     return of_run
 
@@ -117,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
     extra = []
     for k, (_, pattern, width, bits) in enumerate(CLASSES, len(RULES)):
         runs = _places(text, pattern, k, 0, width)
-        extra.append(F.when(text.rlike(pattern), F.flatten(F.transform(runs, _scanner(text, k, width, bits)))).otherwise(_NONE))
+        extra.append(F.when(text.rlike(pattern), F.flatten(F.transform(runs, _scanner(text, k, width, bits)))).otherwise(_none()))
     own = F.filter(F.concat(*extra), lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     return out.withColumn("spans", F.array_sort(F.concat("base", own)))
 

@@ -1,7 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
 A shard is two files.  NAME.ids: the ids of its documents one after another,
-little-endian unsigned 32-bit.  NAME.idx: the index, from document keys to
+little-endian, unsigned 16-bit if the vocabulary allows it, else 32-bit.  NAME.idx: the index, from document keys to
 offsets into NAME.ids, laid out as INDEX says below.
 
 The hash is built level by level: a level has GAMMA bits per key left; a key
@@ -27,6 +27,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .pretok import Cache, pretokens
 from .words import mix
 
 VOCABULARY, END_ID, GAMMA, MAGIC = "byte_bpe_50k.json", 0, 2.0, b"IDSHARD1"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _U = np.uint64
 
 
@@ -88,12 +89,12 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """INDEX: MAGIC; counts of rows, slots and levels (u64); each level's size (u64) and bits (packed, padded to 8 bytes);
+    """INDEX: MAGIC; bytes of an id, counts of rows, slots and levels (u64); each level's size (u64) and bits (packed, padded to 8 bytes);
     by slot fingerprint (u32), row (u64); by row key (i64), is-null (u8), offset (u64); and the payload's length (u64).
     Row i's ids lie from its offset to the next row's, or to the payload's end."""
 
-    def __init__(self, keys: np.ndarray, null: np.ndarray, offsets: np.ndarray, total: int, hashed=None, prints=None, rows=None):
-        self.keys, self.null, self.offsets, self.total = keys, null, offsets, total
+    def __init__(self, keys: np.ndarray, null: np.ndarray, offsets: np.ndarray, total: int, width: int, hashed=None, prints=None, rows=None):
+        self.keys, self.null, self.offsets, self.total, self.width = keys, null, offsets, total, width
         if hashed is None:
             own = np.flatnonzero(~null)
             distinct, first = np.unique(keys[own], return_index=True)
@@ -105,7 +106,7 @@ class Index:
         self.hashed, self.prints, self.rows = hashed, prints, rows
 
     def dump(self) -> bytes:
-        out = [MAGIC, struct.pack("<3Q", len(self.keys), len(self.prints), len(self.hashed.levels))]
+        out = [MAGIC, struct.pack("<4Q", self.width, len(self.keys), len(self.prints), len(self.hashed.levels))]
         for b in self.hashed.levels:
             packed = np.packbits(b, bitorder="little").tobytes()
             out += [struct.pack("<Q", len(b)), packed, bytes(-len(packed) % 8)]
@@ -116,8 +117,8 @@ class Index:
     def load(cls, data: bytes) -> Index:
         if data[:8] != MAGIC:
             raise ValueError("not an index")
-        n, slots, levels = struct.unpack_from("<3Q", data, 8)
-        at, bits = 32, []
+        width, n, slots, levels = struct.unpack_from("<4Q", data, 8)
+        at, bits = 40, []
         for _ in range(levels):
             (size,) = struct.unpack_from("<Q", data, at)
             raw = np.frombuffer(data, np.uint8, -(-size // 8), at + 8)
@@ -127,7 +128,7 @@ class Index:
         for kind, count in (("<u4", slots), ("<u8", slots), ("<i8", n), ("u1", n), ("<u8", n)):
             parts.append(np.frombuffer(data, kind, count, at))
             at += parts[-1].nbytes
-        return cls(parts[2], parts[3].astype(bool), parts[4], struct.unpack_from("<Q", data, at)[0], MinimalPerfectHash(bits), parts[0], parts[1])
+        return cls(parts[2], parts[3].astype(bool), parts[4], struct.unpack_from("<Q", data, at)[0], width, MinimalPerfectHash(bits), parts[0], parts[1])
 
     def find(self, keys) -> np.ndarray:
         """The row that holds each key's ids; -1 for absent keys."""
@@ -146,53 +147,58 @@ class Index:
 
 
 @functools.cache
-def _words(name: str) -> Cache:
+def _words(name: str) -> tuple[Cache, int]:
+    """(the cache of words' ids as bytes, bytes of an id)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True  # their strings in a text are then ordinary text
+    width = 2 if t.get_vocab_size() <= 1 << 16 else 4
 
     def make(words: list[str]):
-        return zip(words, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)), strict=True)
+        return zip(words, (np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)), strict=True)
 
-    return Cache(make, CACHE_WORDS)
+    return Cache(make, CACHE_WORDS), width
 
 
-def encode(text: str, name: str = VOCABULARY) -> bytes:
-    """The ids, little-endian.  The library sees each distinct pre-token once: this vocabulary's pre-tokenizer never joins them."""
-    return b"".join(_words(name).of(pretokens(text)))
+def encode(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
+    """Each text's ids, little-endian.  The library sees each distinct pre-token once: this vocabulary's pre-tokenizer never joins them."""
+    cache = _words(name)[0]
+    words = [pretokens(t) for t in texts]
+    cache.ready(chain.from_iterable(words))
+    return [b"".join(cache.of(w)) for w in words]
 
 
 def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """The shards; their manifest: shard (ascending), name, rows, ids."""
     schema = "shard int, name string, n_rows bigint, n_ids bigint"
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         fs, home = filesystem(uri)
         fs.create_dir(home, recursive=True)
-        own = uuid.uuid4().hex
+        own, width = uuid.uuid4().hex, _words(name)[1]
+        end = end_id.to_bytes(width, "little")
         out, part, at, keys, null, offsets = None, None, 0, [], [], []
         for b in text_slices(batches, "text"):
             if out is None:
                 out, part = fs.open_output_stream(f"{home}/{own}.ids"), b.column(2)[0].as_py()
             chunk = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text, name) + end
+            for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist(), name)):
+                ids += end
                 keys.append(key or 0)
                 null.append(key is None)
                 offsets.append(at)
-                at += len(ids) // 4
+                at += len(ids) // width
                 chunk.append(ids)
             out.write(b"".join(chunk))
         if out is not None:
             out.close()
             with fs.open_output_stream(f"{home}/{own}.idx") as f:
-                f.write(Index(np.array(keys, np.int64), np.array(null, bool), np.array(offsets, np.uint64), at).dump())
+                f.write(Index(np.array(keys, np.int64), np.array(null, bool), np.array(offsets, np.uint64), at, width).dump())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own], pa.string()), pa.array([len(keys)], pa.int64()), pa.array([at], pa.int64())], ["shard", "name", "n_rows", "n_ids"])
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -208,7 +214,7 @@ def lookup(fs, home: str, name: str, keys) -> list[np.ndarray | None]:
     with fs.open_input_file(f"{home}/{name}.ids") as f:
         for row in index.find(keys).tolist():
             a, b = index.span(row) if row >= 0 else (0, 0)
-            out.append(np.frombuffer(f.read_at((b - a) * 4, a * 4), "<u4") if row >= 0 else None)
+            out.append(np.frombuffer(f.read_at((b - a) * index.width, a * index.width), f"<u{index.width}").astype("<u4") if row >= 0 else None)
     return out
 
 
@@ -225,9 +231,10 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                 with fs.open_input_stream(f"{home}/{name}.idx") as f:
                     index = Index.load(f.read())
                 rows = index.find(index.keys)
-                rows = np.where(index.null | (rows < 0) | (index.keys != np.where(rows >= 0, index.keys[rows], 0)), np.arange(len(rows)), rows)
-                repeat = np.flatnonzero(rows != np.arange(len(rows)))
-                rows[repeat] = repeat  # rows after the first of a doc_id, which the index doesn't lead to
+                lost = index.null | (rows != np.arange(len(rows)))  # null, or rows after the first of a doc_id
+                if ((rows < 0) & ~index.null).any():
+                    raise ValueError(f"the index of {name} lacks a key")
+                rows[lost] = np.flatnonzero(lost)
                 begin = index.offsets.astype(np.int64)
                 end = np.append(begin[1:], index.total)
                 crc = np.zeros(len(rows), np.int64)
@@ -235,9 +242,10 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                     at, top = 0, len(rows)
                     while at < top:  # neighbouring payloads are read together, SLICE_BYTES or one document at a time
                         to = max(at + 1, int(np.searchsorted(end, begin[at] + SLICE_BYTES, side="right")))
-                        data = memoryview(f.read_at(int(end[to - 1] - begin[at]) * 4, int(begin[at]) * 4))
-                        for i in range(at, to):
-                            crc[rows[i]] = zlib.crc32(data[(begin[rows[i]] - begin[at]) * 4 : (end[rows[i]] - begin[at]) * 4])
+                        raw = f.read_at(int(end[to - 1] - begin[at]) * index.width, int(begin[at]) * index.width)
+                        data = memoryview(np.frombuffer(raw, f"<u{index.width}").astype("<u4")).cast("B")
+                        for i in rows[at:to].tolist():
+                            crc[i] = zlib.crc32(data[(begin[i] - begin[at]) * 4 : (end[i] - begin[at]) * 4])
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(index.keys, mask=index.null), pa.array(begin + base), pa.array(end - begin), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
