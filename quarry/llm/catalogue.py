@@ -13,6 +13,7 @@ for _name in (
     "op4_decontam",
     "op5_omh",
     "op6_secrets",
+    "op7_substrings",
     "op8_shards",
     "op10_counts",
 ):
