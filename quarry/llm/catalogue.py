@@ -15,6 +15,7 @@ for _name in (
     "op6_secrets",
     "op7_substrings",
     "op8_shards",
+    "op9_neardup",
     "op10_counts",
 ):
     _module = import_module(f"{__package__}.{_name}")
