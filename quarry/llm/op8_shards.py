@@ -26,6 +26,7 @@ import functools
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -156,9 +157,10 @@ def _words(name: str) -> tuple[Cache, int]:
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True  # their strings in a text are then ordinary text
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+    code = "H" if width == 2 else "I"
 
     def make(words: list[str]):
-        return zip(words, (np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)), strict=True)
+        return zip(words, (array(code, e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)), strict=True)
 
     return Cache(make, CACHE_WORDS), width
 

@@ -44,7 +44,9 @@ def pretokens(text: str) -> list[str]:
 
 
 class Cache(dict):
-    """Word -> whatever `make` gives for a list of new words; dropped and begun anew beyond `most` words, which bounds memory."""
+    """Word -> whatever `make` gives for a list of new words.
+
+    Beyond `most` words, which bounds memory, the half that came last goes: common words come early."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
@@ -53,7 +55,8 @@ class Cache(dict):
         new = {w for w in set(words) if w not in self}
         if new:
             if len(self) + len(new) > self.most:
-                self.clear()
+                for w in list(self)[self.most // 2 :]:
+                    del self[w]
             self.update(self.make(list(new)))
 
     def of(self, words: list) -> list:
