@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever Arrow's batch size is.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 BATCH_ROWS = 1000
 

@@ -71,12 +71,13 @@ def record(page_id, url, payload: bytes, sha1: str, refers_to) -> bytes:
 
 def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """Trained on the samples; None where they are too few or too small for training."""
-    if len(samples) < 8:
-        return None
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples)
-    except zstandard.ZstdError:
-        return None
+    size = min(DICT_BYTES, sum(map(len, samples)) // 8)
+    while len(samples) >= 8 and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples)
+        except zstandard.ZstdError:  # samples too much alike for so large a dictionary
+            size = size * 3 // 4
+    return None
 
 
 class PartWriter:
@@ -109,7 +110,7 @@ class PartWriter:
             import uuid
 
             self.name, self.n, self.size = f"{self.path}/{uuid.uuid4().hex}.warc.zst", 0, 0
-            self.out = self.fs.open_output_stream(self.name)
+            self.out = self.fs.open_output_stream(self.name, compression=None)
             if self.dict:
                 raw = self.dict.as_bytes()
                 self.size += self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw) or 0
@@ -201,7 +202,7 @@ def read(manifest: DataFrame) -> DataFrame:
     def rows(paths) -> Iterator[tuple]:
         for path in paths:
             fs, _ = filesystem(home)
-            with fs.open_input_stream(path) as stream:
+            with fs.open_input_stream(path, compression=None) as stream:
                 for data in frames(stream):
                     fields, block = parse(data)
                     http, _, payload = block.partition(b"\r\n\r\n")

@@ -43,6 +43,7 @@ _CLASS = np.full(256, len(_KINDS), np.uint8)
 for _i, _chars in enumerate(_KINDS.values()):
     _CLASS[list(_chars)] = _i
 _CLASS[128:] = len(_KINDS) + 1
+_SITE = ["site_host", "site_path", "site_n", "site_k", "site_hn", "site_hk"]
 FEATURES = [*_KINDS, "letter_bytes", "other_script", "size", "word_length", "word_spread", "marked", "twice", "repeats"]
 
 
@@ -159,13 +160,14 @@ def sites(evidence: DataFrame, prior: float) -> Sites:
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host")))
     host_rate = (F.col("h_k") + m_host * rate) / (F.col("h_n") + m_host)
     m_path = _strength(both.select("n", "k", host_rate.alias("r")), F.col("r"))
-    both = written(both.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "k", "h_n", "h_k"), "sites")
+    names = {"host": "site_host", "path": "site_path", "n": "site_n", "k": "site_k", "h_n": "site_hn", "h_k": "site_hk"}
+    both = written(both.select(*[F.col(a).alias(b) for a, b in names.items()]), "sites")
     return Sites(both, rate, m_host, m_path, both.count() <= BROADCAST_SITES)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with doc_odds, host_rate, path_rate, score and keep.  What docs has under these names is replaced."""
-    own = docs.drop("doc_odds", "host_rate", "path_rate", "score", "keep")
+    own = docs.drop("doc_odds", "host_rate", "path_rate", "score", "keep", *_SITE)
     model = fit(own, labels)
     prior = model.prior if model else 1 - 1e-6
     narrow = written(scored(pick(own, "doc_id", "source", "lang", "text"), model).select("doc_id", "source", "lang", "doc_odds"), "odds")
@@ -173,15 +175,15 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = F.coalesce("good", 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior))))))))
     s = sites(known.select(F.col("source").alias("host"), F.col("lang").alias("path"), share.alias("e")), prior)
     right = F.broadcast(s.table) if s.small else s.table
-    joined = scored(own, model).join(right, F.col("source").eqNullSafe(F.col("s_host")) & F.col("lang").eqNullSafe(F.col("s_path")), "left")
+    joined = scored(own, model).join(right, F.col("source").eqNullSafe(F.col("site_host")) & F.col("lang").eqNullSafe(F.col("site_path")), "left")
     mine = 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior)))))))
     less = lambda c: F.greatest(F.col(c) - mine, F.lit(0.0))
-    host = (less("h_k") + s.host_strength * s.rate) / (F.col("h_n") - 1 + s.host_strength)
-    path = (less("k") + s.path_strength * F.col("host_rate")) / (F.col("n") - 1 + s.path_strength)
+    host = (less("site_hk") + s.host_strength * s.rate) / (F.col("site_hn") - 1 + s.host_strength)
+    path = (less("site_k") + s.path_strength * F.col("host_rate")) / (F.col("site_n") - 1 + s.path_strength)
     base = float(np.log(prior / (1 - prior)))
     odds = F.coalesce(F.col("doc_odds") - base, F.lit(0.0)) + _odds(F.col("path_rate"))
     out = joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", F.col("score") >= THRESHOLD if model else F.lit(True)).drop("s_host", "s_path", "n", "k", "h_n", "h_k")
+    return out.withColumn("keep", F.col("score") >= THRESHOLD if model else F.lit(True)).drop(*_SITE)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, digest, fresh, fps) -> a row for each window whose fingerprint is wanted."""
+    """(doc_id, text, tag, fresh, fps) -> a row for each window whose fingerprint is wanted."""
     for b in text_slices(batches, "text"):
         w = Words(b.column(1))
         at, least = windows(w)
@@ -72,11 +72,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, _ = w.grams(WINDOW)
         doc = w.doc[at]
         took = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), b.column(0).take(took), b.column(2).take(took), b.column(3).take(took), pa.array((at - w.off[doc]).astype(np.int32))], ["hash", "doc_id", "digest", "fresh", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), b.column(0).take(took), b.column(2).take(took), b.column(3).take(took), pa.array((at - w.off[doc]).astype(np.int32))], ["hash", "doc_id", "tag", "fresh", "at"])
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("digest", F.unhex(F.md5("text")))
+    """With digest, of the text, and tag, a short one that parts texts of one doc_id."""
+    return _tagged(pick(docs, "doc_id", "text").filter("doc_id is not null and text is not null"))
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("tag", F.hash("digest"))
 
 
 class FingerprintIndex:
@@ -99,7 +104,7 @@ class FingerprintIndex:
         return reduce(DataFrame.unionAll, [r for _, r in self.runs])
 
     def add(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-        """Indexes the batch.  Returns (doc_id, digest, at array<int>) of repeated windows, at null where the whole text is a repeat.
+        """Indexes the batch.  Returns (doc_id, tag, at array<int>) of repeated windows, at null where the whole text is a repeat.
 
         history: all documents added before, whose texts verification reads again."""
         fresh = _docs(batch)
@@ -124,13 +129,13 @@ class FingerprintIndex:
         texts = fresh.withColumn("fresh", F.lit(True))
         if history is not None:
             texts = texts.unionByName(_docs(history).withColumn("fresh", F.lit(False)))
-        rows = texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text", "digest", "fresh", "fps").mapInArrow(_window_rows, "hash bigint, doc_id bigint, digest binary, fresh boolean, at int")
+        rows = texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text", "tag", "fresh", "fps").mapInArrow(_window_rows, "hash bigint, doc_id bigint, tag int, fresh boolean, at int")
         rows = written(rows, "windows")
         release(self.spark)
         least = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
         again = rows.filter("fresh").join(least, "hash").filter("first < doc_id")
-        found = again.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("at"))
-        whole = fresh.select("doc_id", "digest").distinct().join(named.filter("copy"), ["doc_id", "digest"], "left_semi").withColumn("at", F.lit(None).cast("array<int>"))
+        found = again.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
+        whole = fresh.select("doc_id", "digest").distinct().join(named.filter("copy"), ["doc_id", "digest"], "left_semi").select("doc_id", F.hash("digest").alias("tag"), F.lit(None).cast("array<int>").alias("at"))
         out = written(found.unionByName(whole), "repeats")
         release(self.spark)
         self.compact()
@@ -171,9 +176,9 @@ def cleaned(docs: DataFrame, repeats: DataFrame) -> DataFrame:
                 texts.append(b" ".join([data[starts[i] : ends[i]] for i in places]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    d = pick(docs, "doc_id", "text").withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    r = repeats.select("doc_id", "digest", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.col("at").isNull().alias("whole"))
-    both = d.join(r, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    d = _tagged(pick(docs, "doc_id", "text")).drop("digest")
+    r = repeats.select("doc_id", "tag", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.col("at").isNull().alias("whole"))
+    both = d.join(r, ["doc_id", "tag"], "left").select("doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("whole", F.lit(False)).alias("whole"))
     return both.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")
 
 

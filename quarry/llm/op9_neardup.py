@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component, by doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("near_duplicate_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("near_duplicate_id")), "left_anti")
 
 
 def query(spark, sf_dir) -> DataFrame:

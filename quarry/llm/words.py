@@ -28,7 +28,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
         step = _U(_B if kind == "b" else _B_INV)
-        full = np.full(max(n, 1 << 21), step, np.uint64)
+        full = np.full(max(n, 1 << 20), step, np.uint64)
         full[0] = 1
         _powers[kind] = have = np.multiply.accumulate(full)
     return have[:n]
