@@ -52,11 +52,13 @@ class Cache(dict):
         self.make, self.most = make, most
 
     def ready(self, words) -> None:
-        new = {w for w in set(words) if w not in self}
+        wanted = set(words)
+        new = {w for w in wanted if w not in self}
         if new:
             if len(self) + len(new) > self.most:
                 for w in list(self)[self.most // 2 :]:
-                    del self[w]
+                    if w not in wanted:
+                        del self[w]
             self.update(self.make(list(new)))
 
     def of(self, words: list) -> list:
