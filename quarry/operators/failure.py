@@ -70,7 +70,7 @@ def symbol_rank(terms_: DataFrame, symbols: DataFrame, frames_: DataFrame) -> Da
     """By failure and symbol: +40 exact, +18 part of the name, +8 in the path, +12 in a frame's file, -25 test file, -15 test name."""
     t = terms_.select("failure_id", F.explode("terms").alias("term"))
     s = symbols.select("name", "kind", "path", "line", F.explode(F.array_distinct(F.concat(F.array(F.lower("name")), text.identifier_tokens(F.col("name"))))).alias("key"))
-    j = t.withColumn("key", F.lower("term")).join(s, "key")
+    j = t.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.lower("term")), text.identifier_tokens(F.col("term")))))).join(s, "key")
     files = frames_.select("failure_id", F.explode(path_tails(F.col("path"))).alias("path")).distinct().withColumn("framed", F.lit(12))
     score = F.when(F.lower("term") == F.lower("name"), 40).otherwise(18) + F.when(F.contains(F.lower("path"), F.lower("term")), 8).otherwise(0)
     g = j.withColumn("score", score).groupBy("failure_id", "name", "kind", "path", "line").agg(F.max("score").alias("score"))
