@@ -123,8 +123,20 @@ def bucket_of(key, bounds: list[int]):
     """Number of bounds below the key (null: 0), as a column: keys up to and with bounds[i] are in bucket i or lower."""
     if not bounds:
         return F.lit(0)
-    spots = F.array(*[F.lit(int(b)) for b in bounds]) if len(bounds) <= 64 else F.from_json(F.lit(str([int(b) for b in bounds])), "array<bigint>")
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(spots, lambda b: b < key)))
+    if len(bounds) <= 32:
+        spots = F.array(*[F.lit(int(b)) for b in bounds])
+        return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(spots, lambda b: b < key)))
+    spots = F.from_json(F.lit(str([int(b) for b in bounds])), "array<bigint>")
+
+    def halve(s, _):
+        mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        left = F.coalesce(F.get(spots, mid) >= key, F.lit(True))
+        more = s["a"] < s["b"]
+        return F.struct(F.when(more & ~left, mid + 1).otherwise(s["a"]).alias("a"), F.when(more & left, mid).otherwise(s["b"]).alias("b"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b")), halve, lambda s: s["a"])
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
 
 
 def parts_for(spark: SparkSession) -> int:

@@ -36,12 +36,14 @@ _ID = "urn:x-page:"
 def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, sha1 and refers_to: the largest page_id of an equal payload, if another's.
 
-    Only one row per digest and map task is shuffled for the winners; the wide
-    join on the digest is a plain equi-join, so AQE can split a hot payload.
+    Only one row per digest and map task is shuffled for the winners.  They are
+    written, so that the wide join on the digest has an exchange on either side
+    and AQE can split a hot payload.
     """
     p = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     p = p.withColumn("sha1", F.sha1("html"))
     win = p.groupBy(F.col("sha1").alias("w_sha1")).agg(F.max("page_id").alias("w_id"), F.count("*").alias("n")).filter("n > 1")
+    win = written(win, "winners")
     own = F.octet_length("html") >= min_bytes
     return p.join(win, F.col("sha1") == F.col("w_sha1"), "left").select(
         "page_id", "url", "html", "sha1", F.when(own & F.col("w_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("w_id")), F.col("w_id")).alias("refers_to")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, pick, table, text_slices
+from .common import lists, pick, table, text_slices, written
 from .words import LOWER, NOT_ALNUM, Words, covered, minimizers, mix
 
 WINDOW, K, BROADCAST_BYTES = 10, 5, 16 << 20
@@ -218,8 +218,8 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0).take(took), x.column(1).take(took), pa.array(g.view(np.int64)), pa.array(np.full(len(a), n), pa.int32()), lists(s - base, m, pa.int64()), lists(h.view(np.int64), m, pa.int64())], ["k_id", "k_text", "gram", "n", "at", "hashes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    b_win = bench.mapInArrow(bench_rows, "item_id string, hash bigint, n int").distinct()
-    b_gram = bench.mapInArrow(bench_grams, "gram bigint").distinct()
+    b_win = written(bench.mapInArrow(bench_rows, "item_id string, hash bigint, n int").distinct(), "windows")
+    b_gram = written(bench.mapInArrow(bench_grams, "gram bigint").distinct(), "grams")
     found = docs.select(*key, "text").mapInArrow(doc_rows, f"k_id {kind}, k_text string, gram bigint, n int, at array<bigint>, hashes array<bigint>")
     long = found.filter(F.col("n") == WINDOW).join(b_gram, "gram", "left_semi")
     near = long.unionByName(found.filter(F.col("n") < WINDOW)).select("k_id", "k_text", "n", F.explode(F.arrays_zip("at", "hashes")).alias("z"))

@@ -175,3 +175,30 @@ def query(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {"op6_secret_scan": query}
+
+
+def _sql() -> str:
+    """The same in DuckDB, whose patterns have no back-references: eight equal characters are looked for one by one."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    base = " union all ".join(f"select doc_id, {k} r, {least} least, regexp_split_to_array(t, {q(p)}) gaps, regexp_extract_all(t, {q(p)}) hits, regexp_extract_all(t, {q(p)}, {g}) parts from d where regexp_matches(t, {q(p)})" for k, (_, p, g, least) in enumerate(RULES))
+    own = " union all ".join(f"select doc_id, {k} r, {w} least, regexp_split_to_array(t, {q(p)}) gaps, regexp_extract_all(t, {q(p)}) hits, regexp_extract_all(t, {q(p)}) parts from d where regexp_matches(t, {q(p)})" for k, (_, p, w, _) in enumerate(CLASSES, len(RULES)))
+    place = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    plain = [a for a in ALLOW if "\\1" not in a]
+    same = "len(list_filter(range(1, length(run) - 6), lambda j: substr(run, j, 8) = repeat(substr(run, j, 1), 8))) > 0"
+    allowed = " or ".join([*(f"regexp_matches(run, {q(a)})" for a in plain), "regexp_matches(run, '(?i)0123456789|abcdefghij')", same])
+    width = "case r " + " ".join(f"when {k} then {w}" for k, (_, _, w, _) in enumerate(CLASSES, len(RULES))) + " end"
+    bits = "case r " + " ".join(f"when {k} then {b}" for k, (_, _, _, b) in enumerate(CLASSES, len(RULES))) + " end"
+    kinds = "[" + ", ".join(q(k[0]) for k in [*RULES, *CLASSES]) + "]"
+    return f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+b as materialized (select doc_id, r, s::bigint s, (s + length(h))::bigint e from (select doc_id, r, {place} s, hits[i] h from ({base}), lateral (select unnest(range(1, len(hits) + 1)) i) where length(parts[i]) >= least)),
+u as materialized (select doc_id, r, {place} s, hits[i] run, {width} w, {bits} bits from ({own}), lateral (select unnest(range(1, len(hits) + 1)) i)),
+k as (select doc_id, r, s, w, j from (select *, unnest(range(0, (length(run) - w + 1)::bigint)) j from u where not ({allowed})) where list_aggregate(string_split(substr(run, (j + 1)::bigint, w), ''), 'entropy') >= bits),
+g as (select *, sum(fresh) over (partition by doc_id, r, s order by j) island from (select *, case when j > lag(j) over (partition by doc_id, r, s order by j) + w or lag(j) over (partition by doc_id, r, s order by j) is null then 1 else 0 end fresh from k)),
+o as (select doc_id, r, (s + min(j))::bigint a, (s + max(j) + any_value(w))::bigint e from g group by doc_id, r, s, island),
+x as (select doc_id, r, s, e from b union all select doc_id, r, a, e from o where not exists (select 1 from b where b.doc_id = o.doc_id and b.s <= o.a and o.e <= b.e)),
+f as (select doc_id, count(*) filter (r = 0) n0, count(*) filter (r = 1) n1, count(*) filter (r = 2) n2, string_agg({kinds}[r + 1] || ':' || s || ':' || e, ',' order by s, r, e) filter (r < {len(RULES)}) base, string_agg({kinds}[r + 1] || ':' || s || ':' || e, ',' order by s, r, e) spans from x group by doc_id)
+select doc_id, coalesce(n0, 0) n_assign, coalesce(n1, 0) n_access, coalesce(n2, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join f using (doc_id)"""
+
+
+SQL = {"op6_secret_scan": _sql()}

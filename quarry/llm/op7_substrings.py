@@ -14,7 +14,8 @@ digest and aren't verified window by window.  FANOUT runs of one level are
 compacted to one of the next.
 
 Rows of a common fingerprint or window are pre-aggregated before they are dealt
-out, and the joins back are plain equi-joins of wide sides, which AQE can split.
+out.  What comes of that is written, so that each join back has a plain exchange
+on either side, and AQE can split the hot keys of the wide one.
 
 Batches are to be added in ascending doc_id; what a batch loses is final.
 
@@ -109,9 +110,10 @@ class FingerprintIndex:
         history: all documents added before, whose texts verification reads again."""
         fresh = _docs(batch)
         own = self._run(fresh.select("doc_id", "text").mapInArrow(_fingerprint_rows, "fp bigint, doc_id bigint"))
+        release(self.spark)
         seen = written(fresh.groupBy("digest").agg(F.min("doc_id").alias("first")), "texts")
         self.texts.append(seen)
-        first = reduce(DataFrame.unionAll, self.texts).groupBy("digest").agg(F.min("first").alias("first"))
+        first = written(reduce(DataFrame.unionAll, self.texts).groupBy("digest").agg(F.min("first").alias("first")), "first")
         known = fresh if history is None else fresh.unionByName(_docs(history))
         named = known.select("doc_id", "digest").distinct().join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first")).drop("first")
         named = written(named, "named")
@@ -121,6 +123,8 @@ class FingerprintIndex:
             meet = mine.join(old, "fp", "left").filter("old or a < b").select("fp")
         else:
             meet = mine.filter("a < b").select("fp")
+        meet = written(meet, "meet")
+        release(self.spark)
         self.runs.append((0, own))
         pairs = self._all().join(meet, "fp")
         wanted = pairs.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))  # at most a document's own
@@ -132,7 +136,9 @@ class FingerprintIndex:
         rows = texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text", "tag", "fresh", "fps").mapInArrow(_window_rows, "hash bigint, doc_id bigint, tag int, fresh boolean, at int")
         rows = written(rows, "windows")
         release(self.spark)
-        least = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
+        least = rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+        least = written(least.select("hash", "first"), "least")
+        release(self.spark)
         again = rows.filter("fresh").join(least, "hash").filter("first < doc_id")
         found = again.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
         whole = fresh.select("doc_id", "digest").distinct().join(named.filter("copy"), ["doc_id", "digest"], "left_semi").select("doc_id", F.hash("digest").alias("tag"), F.lit(None).cast("array<int>").alias("at"))

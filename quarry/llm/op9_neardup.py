@@ -167,11 +167,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = written(d.mapInArrow(_sketches, "doc_id bigint, n bigint, node bigint, bands array<bigint>"), "sketches")
     nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    many = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    many = written(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "many")  # written: then AQE can split hot keys of the join
     shared = written(rows.join(many, "key"), "buckets")
     release(spark)
     mass = shared.groupBy(F.col("node").alias("m_node")).agg(F.sum("c").alias("mass"))
     hubs = shared.join(mass, F.col("node") == F.col("m_node")).groupBy(F.col("key").alias("h_key")).agg(F.max(F.struct("mass", "node", "n")).alias("h"))
+    hubs = written(hubs, "hubs")
     stars = shared.join(hubs, F.col("key") == F.col("h_key")).filter((F.col("node") != F.col("h.node")) & _alike(F.col("n"), F.col("h.n")))
     pairs = written(stars.select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
     involved = shared.select("node").distinct().join(nodes.select("node", "label"), "node").withColumnRenamed("label", "l_id")
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             roots = components(links.unionByName(more))
     labels = nodes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labels.groupBy("root").agg(F.min("label").alias("component"))
+    least = written(labels.groupBy("root").agg(F.min("label").alias("component")), "least")
     of_node = labels.join(least, "root").select("node", "component")
     out = sketched.select("doc_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
