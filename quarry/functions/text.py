@@ -17,7 +17,7 @@ def _words(values) -> Column:
 
 def tokens(text: Column) -> Column:
     """F01 with repeats: lower case, runs of a-z and 0-9, over one character."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def primary_tokens(text: Column) -> Column:
@@ -40,6 +40,19 @@ def identifier_tokens(text: Column, distinct: bool = True) -> Column:
     return F.array_distinct(out) if distinct else out
 
 
+def identifier_bag(text: Column) -> Column:
+    """The same tokens, repeats and all, in another order: for whole texts.
+
+    Boundaries are cut in the text as a whole, so no identifier is handled by itself."""
+    whole = F.coalesce(text, F.lit(""))
+    raws = F.regexp_extract_all(F.lower(whole), F.lit("[a-z0-9](?:[a-z0-9_]*[a-z0-9])"), F.lit(0))
+    joined = F.transform(F.filter(raws, lambda r: F.contains(r, F.lit("_"))), lambda r: F.replace(r, F.lit("_"), F.lit("")))
+    cut = whole
+    for pattern in ("([a-z0-9])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])", "([A-Z])([A-Z][a-z])"):
+        cut = F.regexp_replace(cut, pattern, "$1_$2")
+    return F.concat(raws, joined, F.regexp_extract_all(F.lower(cut), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+
+
 def meaningful(token: Column) -> Column:
     return (F.length(token) > 1) & ~token.isin(fixed.STOP_TOKENS) & ~token.rlike("^[0-9]+$")
 

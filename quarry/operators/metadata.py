@@ -41,7 +41,7 @@ def search(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, int]],
 def search_cards(cards: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Weight + .08 for each query token among the card's own, + .05 for symbols and tests."""
     q = queries.select("query_id", F.explode(text.identifier_tokens(F.col("text"))).alias("token"))
-    c = cards.withColumn("tokens", text.identifier_tokens(F.concat_ws(" ", "name", "path", "summary")))
+    c = cards.withColumn("tokens", F.array_distinct(text.identifier_bag(F.concat_ws(" ", "name", "path", "summary"))))
     hits = c.select("kind", "name", "path", "line", F.explode("tokens").alias("token")).join(q, "token").groupBy("query_id", "kind", "name", "path", "line").agg(F.count("*").alias("hits"))
     weight = F.create_map(*[F.lit(x) for kv in fixed.CARD_WEIGHTS.items() for x in kv])
     score = F.try_element_at(weight, F.col("kind")) + 0.08 * F.col("hits") + F.when(F.col("kind").isin("symbol", "test"), 0.05).otherwise(0.0)
@@ -52,7 +52,7 @@ def exact_identifiers(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """for import-like queries, the candidates' share of the query's identifiers, rarer ones more, scaled to the best."""
     w = Window.partitionBy("query_id")
     q = queries.filter(text.has_import_context(F.col("text"))).select("query_id", F.explode(text.drop_low_signal(text.identifier_tokens(F.col("text")))).alias("token"))
-    c = candidates.withColumn("n", F.count("*").over(w)).select("query_id", "id", "n", F.explode(text.identifier_tokens(F.col("text"))).alias("token"))
+    c = candidates.withColumn("n", F.count("*").over(w)).select("query_id", "id", "n", F.explode(F.array_distinct(text.identifier_bag(F.col("text")))).alias("token"))
     j = c.join(q, ["query_id", "token"]).withColumn("df", F.count("*").over(Window.partitionBy("query_id", "token")))
     raw = j.groupBy("query_id", "id").agg(F.sum(F.log(1 + (F.col("n") + 1) / (F.col("df") + 1))).alias("raw"))
     return raw.withColumn("boost", fixed.EXACT_SCALE * F.col("raw") / F.max("raw").over(w)).drop("raw")

@@ -56,7 +56,7 @@ def bm25_term(tf: Column, df: Column, length: Column, n: Column, average: Column
 def candidate_bm25(queries: DataFrame, candidates: DataFrame, scale: float = fixed.BM25_SCALE) -> DataFrame:
     """F10 as a boost: statistics over each query's candidates (query_id, id, text), scaled to the best one."""
     w = Window.partitionBy("query_id")
-    listed = candidates.withColumn("tokens", text.identifier_tokens(F.col("text"), distinct=False))
+    listed = candidates.withColumn("tokens", text.identifier_bag(F.col("text")))
     sized = listed.withColumn("len", F.size("tokens")).withColumn("n", F.count("*").over(w)).withColumn("average", F.avg("len").over(w))
     rows = sized.select("query_id", "id", "len", "n", "average", F.explode("tokens").alias("token"))
     tf = rows.join(query_tokens(queries), ["query_id", "token"]).groupBy("query_id", "id", "token", "len", "n", "average").agg(F.count("*").alias("tf"))
@@ -165,15 +165,16 @@ def minmax(df: DataFrame, *features: str) -> DataFrame:
 
 def token_weights(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
     """query_id, token, weight from how many of the query's candidates contain the token as a substring."""
-    hits = tokens.join(candidates, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("n"), F.sum(F.contains(F.lower(F.col("text")), F.col("token")).cast("int")).alias("df"))
+    low = candidates.select("query_id", F.lower("text").alias("low"))
+    hits = tokens.join(low, "query_id").groupBy("query_id", "token").agg(F.count("*").alias("n"), F.sum(F.contains("low", F.col("token")).cast("int")).alias("df"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
     return hits.select("query_id", "token", "df", F.when(F.col("df") == 0, 1.0).otherwise(1 + fixed.IDF_BLEND * F.least(F.lit(fixed.IDF_CAP), idf)).alias("weight"))
 
 
 def lexical_boost(weights: DataFrame, candidates: DataFrame) -> DataFrame:
     """substring hits in topic and text, weighted; at most 0.85."""
-    r = weights.join(candidates, "query_id")
-    hit = lambda c: F.sum(F.when(F.contains(F.lower(F.col(c)), F.col("token")), F.col("weight")).otherwise(0.0))
+    r = weights.join(candidates.select("query_id", "id", F.lower("topic").alias("topic"), F.lower("text").alias("text")), "query_id")
+    hit = lambda c: F.sum(F.when(F.contains(c, F.col("token")), F.col("weight")).otherwise(0.0))
     g = r.groupBy("query_id", "id").agg(hit("topic").alias("t"), hit("text").alias("c"), F.sum("weight").alias("w"))
     return g.select("query_id", "id", F.least(0.12 * F.col("t") + 0.035 * F.col("c") + 0.20 * (F.col("t") + F.col("c")) / F.col("w"), F.lit(0.85)).alias("boost"))
 

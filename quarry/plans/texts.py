@@ -20,7 +20,7 @@ def primary_tokens(spark, sf):
 
 
 def identifier_tokens(spark, sf):
-    return _tokens(spark, sf, text.identifier_tokens)
+    return _tokens(spark, sf, lambda t: F.array_distinct(text.identifier_bag(t)))
 
 
 def identifier_tokens_names(spark, sf):
