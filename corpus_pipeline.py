@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import op2_quality, op3_bpe, op4_decontam, op6_secrets, op9_neardup
-from quarry.llm.common import table, written
+from quarry.llm.common import discard, table, written
 
 STAGES = [
     ("quality classifier", op2_quality.stage),
@@ -26,8 +26,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_BYTES = 1 << 20
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _own_dir: list[str] = []
 
@@ -51,7 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quarry_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that reads them is written too."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.quarry_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import calm, lists, pick, release, table, text_slices, written
+from .common import calm, discard, lists, pick, release, table, text_slices, written
 from .components import components
 from .words import LOWER, SPACE, Words, mix
 
@@ -131,8 +131,8 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(one, "v").join(two, "u").select("u", "v", "a", "b").mapInArrow(_compare, "u bigint, v bigint")
 
 
-def _prefixes(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs among members (node, n, s), exact for the likeness of PERCENT.
+def _prefixes(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs among members (node, n, s), exact for the likeness of PERCENT; and the tables they are read from.
 
     In the order of rarity a set's first n - ceil(0.8 n) + 1 shingles meet any set as
     alike and no longer in one of that one's first m - ceil(8/9 m) + 1; and what can
@@ -156,7 +156,7 @@ def _prefixes(members: DataFrame, roots: DataFrame) -> DataFrame:
     y = p.filter("i < n - ceil(160 * n / 180) + 1").select(F.col("node").alias("v"), F.col("n").alias("y_n"), F.col("root").alias("y_root"), F.col("i").alias("y_i"), "shingle")
     left = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
     meet = (F.col("x_root") != F.col("y_root")) & (F.struct("y_n", "v") < F.struct(F.col("x_n").alias("y_n"), F.col("u").alias("v"))) & _alike(F.col("x_n"), F.col("y_n")) & (180 * left >= 80 * (F.col("x_n") + F.col("y_n")))
-    return x.join(y, "shingle").filter(meet).select("u", "v").distinct()
+    return x.join(y, "shingle").filter(meet).select("u", "v").distinct(), [rows, p]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -185,13 +185,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     open_nodes = written(named.join(split, "key").select("node").distinct(), "open")
+    spare = []
     if open_nodes.limit(1).count():
-        more = written(_verified(_prefixes(members.join(open_nodes, "node", "left_semi"), roots), members), "links")
+        found, spare = _prefixes(members.join(open_nodes, "node", "left_semi"), roots)
+        more = written(_verified(found, members), "links")
+        spare.append(more)
         release(spark)
         if more.limit(1).count():
             roots = components(links.unionByName(more))
     labels = nodes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = written(labels.groupBy("root").agg(F.min("label").alias("component")), "least")
+    discard(many, shared, hubs, pairs, members, links, open_nodes, *spare)
     of_node = labels.join(least, "root").select("node", "component")
     out = sketched.select("doc_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
