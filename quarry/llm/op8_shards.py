@@ -41,7 +41,7 @@ from .pretok import Cache, pretokens
 from .words import mix
 
 VOCABULARY, END_ID, GAMMA, MAGIC = "byte_bpe_50k.json", 0, 2.0, b"IDSHARD1"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 _U = np.uint64
 
 
@@ -185,7 +185,7 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_I
         own, width = uuid.uuid4().hex, _words(name)[1]
         end = end_id.to_bytes(width, "little")
         out, part, at, keys, null, offsets = None, None, 0, [], [], []
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", 2 * SLICE_BYTES):
             if out is None:
                 out, part = fs.open_output_stream(f"{home}/{own}.ids"), b.column(2)[0].as_py()
             chunk = []
