@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, key_bounds, parts_for, pick, release, table, text_slices, written
+from .common import discard, fresh_dir, key_bounds, parts_for, pick, release, table, text_slices, written
 from .op4_decontam import Members
 from .words import Words, covered, sliding
 
@@ -98,8 +98,10 @@ class FingerprintIndex:
         n = parts_for(self.spark)
         dealt = rows.repartition(n, F.col("fp"), F.pmod(F.col("doc_id"), F.lit(16))).sortWithinPartitions("fp", "doc_id")
         path = fresh_dir(self.spark, "run")
-        dealt.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(dealt.schema).parquet(path)
+        dealt.write.parquet(path)
+        run = self.spark.read.schema(dealt.schema).parquet(path)
+        run.quarry_path = path
+        return run
 
     def _all(self) -> DataFrame:
         return reduce(DataFrame.unionAll, [r for _, r in self.runs])
@@ -143,6 +145,7 @@ class FingerprintIndex:
         found = again.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
         whole = fresh.select("doc_id", "digest").distinct().join(named.filter("copy"), ["doc_id", "digest"], "left_semi").select("doc_id", F.hash("digest").alias("tag"), F.lit(None).cast("array<int>").alias("at"))
         out = written(found.unionByName(whole), "repeats")
+        discard(first, named, meet, wanted, rows, least)
         release(self.spark)
         self.compact()
         return out
@@ -156,8 +159,10 @@ class FingerprintIndex:
             full = next((level for level, n in counts.items() if n >= self.fanout), None)
             if full is None:
                 return
-            merged = self._run(reduce(DataFrame.unionAll, [r for level, r in self.runs if level == full]))
+            old = [r for level, r in self.runs if level == full]
+            merged = self._run(reduce(DataFrame.unionAll, old))
             self.runs = [x for x in self.runs if x[0] != full] + [(full + 1, merged)]
+            discard(*old)
             release(self.spark)
 
 
