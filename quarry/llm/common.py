@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import reachable
+
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_BYTES = 1 << 20
 
@@ -21,7 +23,8 @@ _own_dir: list[str] = []
 
 
 def calm(spark: SparkSession) -> None:
-    """Whole texts go to Python workers in small Arrow batches, which bounds both sides' memory."""
+    """Whole texts go to Python workers in small Arrow batches, which bounds both sides' memory; and workers find this package."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
