@@ -58,11 +58,19 @@ def kind_order(kind: Column) -> Column:
     return F.when(kind.isin("class", "type", "interface", "struct"), 0).when(kind == "function", 1).when(kind == "method", 2).otherwise(3)
 
 
+def _first(rows: DataFrame, limit: int, *order) -> DataFrame:
+    """What can be among the first `limit` rows of a key once one path is left out: of each language 2 * limit rows, at most `limit` of a path."""
+    n = F.row_number().over(Window.partitionBy("key", "language", "path").orderBy(*order))
+    r = rows.filter("path is not null").withColumn("_n", n).filter(F.col("_n") <= limit)
+    n = F.row_number().over(Window.partitionBy("key", "language").orderBy(*order))
+    return r.withColumn("_n", n).filter(F.col("_n") <= 2 * limit).drop("_n")
+
+
 def callers(definitions: DataFrame, references: DataFrame, limit: int = 8) -> DataFrame:
     """J03.  definitions: name, language, path; references: name, language, path, line.  By definition at most `limit` call sites elsewhere, of its language first."""
     d = definitions.select(F.lower("name").alias("key"), F.col("name").alias("def_name"), F.col("language").alias("def_language"), F.col("path").alias("def_path"))
     r = references.select(F.lower("name").alias("key"), "language", "path", "line")
-    j = d.join(r, "key").filter(F.col("path") != F.col("def_path"))
+    j = d.join(_first(r, limit, "path", "line"), "key").filter(F.col("path") != F.col("def_path"))
     w = Window.partitionBy("def_name", "def_path").orderBy((F.col("language") != F.col("def_language")).cast("int"), "path", "line")
     return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("key")
 
@@ -71,7 +79,7 @@ def definitions_of(references: DataFrame, definitions: DataFrame, limit: int = 8
     """By call site its definitions elsewhere: language, then kind, path, line."""
     r = references.select(F.lower("name").alias("key"), F.col("name").alias("ref_name"), F.col("language").alias("ref_language"), F.col("path").alias("ref_path"), F.col("line").alias("ref_line"))
     d = definitions.select(F.lower("name").alias("key"), "kind", "language", "path", "line")
-    j = r.join(d, "key").filter(F.col("path") != F.col("ref_path"))
+    j = r.join(_first(d, limit, kind_order(F.col("kind")), "path", "line"), "key").filter(F.col("path") != F.col("ref_path"))
     w = Window.partitionBy("ref_name", "ref_path", "ref_line").orderBy((F.col("language") != F.col("ref_language")).cast("int"), kind_order(F.col("kind")), "path", "line")
     return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("key")
 

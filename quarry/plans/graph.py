@@ -68,14 +68,32 @@ def references(spark, sf):
     return read(spark, sf, "part").select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"), F.expr("if(p_size % 2 = 0, 'py', 'go')").alias("language"), F.concat(F.lit("b/"), F.col("p_type")).alias("path"), F.col("p_partkey").alias("line"))
 
 
+def _callers_of(d, r):
+    return G.callers(d, r).select("def_name", "def_path", "def_language", "path", "line", "place")
+
+
 def callers(spark, sf):
-    d = symbols(spark, sf).filter("line % 10 = 0")
-    return G.callers(d, references(spark, sf)).select("def_name", "def_path", "def_language", "path", "line", "place")
+    """J03 of one definition in ten."""
+    return _callers_of(symbols(spark, sf).filter("line % 10 = 0"), references(spark, sf))
+
+
+def callers_all(spark, sf):
+    """J03 of every definition."""
+    return _callers_of(symbols(spark, sf), references(spark, sf))
+
+
+def _definitions_of(r, d):
+    return G.definitions_of(r, d).select("ref_name", "ref_path", "ref_line", "kind", "path", "line", "place")
 
 
 def definitions(spark, sf):
-    r = references(spark, sf).filter("line % 10 = 0")
-    return G.definitions_of(r, symbols(spark, sf)).select("ref_name", "ref_path", "ref_line", "kind", "path", "line", "place")
+    """J04 of one call site in ten."""
+    return _definitions_of(references(spark, sf).filter("line % 10 = 0"), symbols(spark, sf))
+
+
+def definitions_all(spark, sf):
+    """J04 of every call site."""
+    return _definitions_of(references(spark, sf), symbols(spark, sf))
 
 
 def line_range_join(spark, sf):
@@ -99,12 +117,21 @@ def related_scores(spark, sf):
     return G.related(_signals(spark, sf), 5).select("source_path", "path", "score", "rank")
 
 
-def affected_paths(spark, sf):
-    changed = files(spark, sf).filter("k % 97 = 0").select("path").distinct()
-    a = G.affected(changed, files(spark, sf).select("path").distinct(), G.related(_signals(spark, sf), 5), 100_000)
+def _affected_by(spark, sf, changed):
+    a = G.affected(changed.select("path").distinct(), files(spark, sf).select("path").distinct(), G.related(_signals(spark, sf), 5), 100_000)
     return a.select("path", "confidence", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def affected_paths(spark, sf):
+    """K12 of one file in ninety-seven."""
+    return _affected_by(spark, sf, files(spark, sf).filter("k % 97 = 0"))
+
+
+def affected_paths_all(spark, sf):
+    """K12 with every file changed; there are fewer paths than the limit, 25 brands with 3000 at most."""
+    return _affected_by(spark, sf, files(spark, sf))
+
+
 def call_sites(spark, sf):
     """Names before an opening bracket, by line, without those that open the line's own definition."""
     d = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
@@ -133,7 +160,7 @@ def repo_map(spark, sf):
     return g.select("path", "n", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("names"))
 
 
-_ALL = (html_links, html_imports, link_in_degree, import_resolution, import_neighbours, callers, definitions, line_range_join, related_scores, affected_paths, call_sites, cards_union, repo_map)
+_ALL = (html_links, html_imports, link_in_degree, import_resolution, import_neighbours, callers, callers_all, definitions, definitions_all, line_range_join, related_scores, affected_paths, affected_paths_all, call_sites, cards_union, repo_map)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _PATH = "'src/' || lower(replace(p_brand, '#', '_')) || '/' || case when p_partkey % 9 = 0 then 'test_' else '' end || 'm' || p_partkey % 1500 || '.py'"
@@ -186,3 +213,7 @@ select kind, count(*) n, count(distinct name) names, round(sum(case kind when 's
 r as (select s.path, n, line, name from s join t using (path) qualify row_number() over (partition by s.path order by line) <= 25)
 select path, n, string_agg(name, ',' order by line, name) as names from r group by path, n""",
 }
+
+SQL["callers_all"] = SQL["callers"].replace("d.line % 10 = 0 and ", "")
+SQL["definitions_all"] = SQL["definitions"].replace("r.line % 10 = 0 and ", "")
+SQL["affected_paths_all"] = SQL["affected_paths"].replace(" where p_partkey % 97 = 0", "")
