@@ -14,7 +14,8 @@ fingerprint (one in 2^32 slips through; the stored key then decides).
 Shards hold ascending ranges of doc_id.  Task attempts name their files afresh
 and only those in the manifest, which Spark commits, are read.
 
-Cases: text null counts as empty (the end id alone); doc_id null comes before
+Cases: the strings of the vocabulary's added tokens in a text get those tokens' ids, as the library has it; text null counts as
+empty (the end id alone); doc_id null comes before
 every number and is kept beside the hash; of rows that share a doc_id the index
 leads to the first, all are in the payload, in order of their text; an empty
 table makes no shard; further columns are left.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -148,14 +150,21 @@ class Index:
 
 
 @functools.cache
-def _words(name: str) -> tuple[Cache, int]:
-    """(the cache of words' ids as bytes, bytes of an id)."""
+def _library(name: str):
+    """One a worker: a second one costs memory."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True  # their strings in a text are then ordinary text
+    t.encode_special_tokens = True  # words are what lies between added tokens, or ordinary text throughout
+    return t
+
+
+@functools.cache
+def _words(name: str) -> tuple[Cache, int]:
+    """(the cache of words' ids as bytes, bytes of an id)."""
+    t = _library(name)
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
     code = "H" if width == 2 else "I"
 
@@ -165,12 +174,29 @@ def _words(name: str) -> tuple[Cache, int]:
     return Cache(make, CACHE_WORDS), width
 
 
-def encode(texts: list[str], name: str = VOCABULARY) -> list[bytes]:
-    """Each text's ids, little-endian.  The library sees each distinct pre-token once: this vocabulary's pre-tokenizer never joins them."""
+@functools.cache
+def _added(name: str):
+    """(a function that splits a text at the vocabulary's added tokens, which it gives at odd places; their ids as bytes)."""
+    width = _words(name)[1]
+    own = _library(name).get_added_tokens_decoder()
+    if any(a.single_word or a.lstrip or a.rstrip for a in own.values()):
+        raise ValueError(f"{name} has added tokens that depend on what is around them")
+    ids = {a.content: i.to_bytes(width, "little") for i, a in own.items()}
+    if not ids:
+        return (lambda t: [t]), ids
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")").split, ids
+
+
+def encode(texts: list[str], name: str = VOCABULARY, added: bool = False) -> list[bytes]:
+    """Each text's ids, little-endian.  The library sees each distinct pre-token once: this vocabulary's pre-tokenizer never joins them.
+
+    added: the vocabulary's added tokens get their own ids, as the library gives them by default; else they are ordinary text."""
     cache = _words(name)[0]
-    words = [pretokens(t) for t in texts]
-    cache.ready(chain.from_iterable(words))
-    return [b"".join(cache.of(w)) for w in words]
+    split, own = _added(name) if added else (lambda t: [t], {})
+    pieces = [split(t) for t in texts]
+    words = [[pretokens(x) for x in p[::2]] for p in pieces]
+    cache.ready(chain.from_iterable(chain.from_iterable(words)))
+    return [b"".join(chain(cache.of(w[0]), *((own[x], *cache.of(v)) for x, v in zip(p[1::2], w[1:])))) for p, w in zip(pieces, words)]
 
 
 def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
@@ -189,7 +215,7 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_I
             if out is None:
                 out, part = fs.open_output_stream(f"{home}/{own}.ids"), b.column(2)[0].as_py()
             chunk = []
-            for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist(), name)):
+            for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist(), name, added=True)):
                 ids += end
                 keys.append(key or 0)
                 null.append(key is None)

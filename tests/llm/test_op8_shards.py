@@ -71,3 +71,21 @@ def test_by_brute_force(spark, docs, library, parts):
 def test_empty(spark, docs):
     uri = fresh_dir(spark, "shards")
     assert S.read(S.write(docs([]), uri), uri).count() == 0
+
+
+def test_added_tokens_as_the_untouched_library(spark, docs):
+    whole = Tokenizer.from_file(public_tokenizers.path(S.VOCABULARY))
+    r = random.Random(4)
+    special = "<|endoftext|>"
+    texts = ["abc <|endoftext|> def", special, special * 3, "a" + special, special + " b", "<|endoftext|", "x <|<|endoftext|>|>\n\n" + special + "  y"]
+    texts += ["".join(r.choice(["the", "ing", " ", "é", "'s", "\n", "12", "😀", special, "<|", "|>", "x　"]) for _ in range(r.randrange(30))) for _ in range(300)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [39305, 220, 50256, 825]
+    assert [np.frombuffer(b, "<u2").tolist() for b in S.encode(texts, added=True)] == want
+    uri = fresh_dir(spark, "shards")
+    got = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in S.read(S.write(docs(list(enumerate(texts))), uri), uri).collect()}
+    at = 0
+    for i, ids in enumerate(want):
+        ids = [*ids, S.END_ID]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
