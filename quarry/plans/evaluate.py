@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
@@ -17,38 +19,43 @@ def gold(spark, sf):
     return c.groupBy("query_id").agg(F.min("id").alias("gold"))
 
 
+def gold_all(spark, sf):
+    """The first document, by id, that holds the item's text as a whole; an item whose holders are no candidates is a miss."""
+    return V.holders(P.queries_of(spark, sf), P.corpus_of(spark, sf)).groupBy("query_id").agg(F.min("id").alias("gold"))
+
+
 def tops(spark, sf, system):
     if system == "bm25":
         return P.candidates(spark, sf).select("query_id", "id", "rank")
     return R.top_k(R.jaccard_scores(P.queries_of(spark, sf), P.corpus_of(spark, sf)), 5, F.desc(F.round("score", 9)), F.asc("id")).select("query_id", "id", "rank")
 
 
-def cases(spark, sf, system="bm25"):
-    return V.per_case(tops(spark, sf, system), gold(spark, sf))
+def cases(spark, sf, system="bm25", truth=gold):
+    return V.per_case(tops(spark, sf, system), truth(spark, sf))
 
 
-def eval_cases(spark, sf):
-    return cases(spark, sf).select("query_id", "gold_rank", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), "hit1", "hit5", "dup")
+def eval_cases(spark, sf, truth=gold):
+    return cases(spark, sf, truth=truth).select("query_id", "gold_rank", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"), "hit1", "hit5", "dup")
 
 
-def eval_metrics(spark, sf):
-    both = cases(spark, sf).withColumn("system", F.lit("bm25")).unionAll(cases(spark, sf, "jaccard").withColumn("system", F.lit("jaccard")))
+def eval_metrics(spark, sf, truth=gold):
+    both = cases(spark, sf, truth=truth).withColumn("system", F.lit("bm25")).unionAll(cases(spark, sf, "jaccard", truth).withColumn("system", F.lit("jaccard")))
     return V.summary(both, "system").select("system", *[F.round(m, 6).alias(m) for m in ("acc1", "acc3", "acc5", "mrr", "ndcg")], "dup", "samples")
 
 
-def hit_patterns(spark, sf):
-    return V.patterns(cases(spark, sf, "jaccard"))
+def hit_patterns(spark, sf, truth=gold):
+    return V.patterns(cases(spark, sf, "jaccard", truth))
 
 
-def eval_gates(spark, sf):
-    s = V.summary(cases(spark, sf))
+def eval_gates(spark, sf, truth=gold):
+    s = V.summary(cases(spark, sf, truth=truth))
     m = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("acc1", "acc5", "mrr")])).alias("x")).select("x.*")
     return V.gates(m, [("acc1", "min", 0.17), ("acc5", "min", 0.59), ("mrr", "max", 0.5)]).select("metric", "kind", "bound", F.round("value", 6).alias("value"), "passed")
 
 
-def weighted_macro(spark, sf):
+def weighted_macro(spark, sf, truth=gold):
     """Runs are the benchmark's items by remainder."""
-    c = cases(spark, sf, "jaccard").withColumn("run", F.col("query_id") % 3)
+    c = cases(spark, sf, "jaccard", truth).withColumn("run", F.col("query_id") % 3)
     return V.macro_and_weighted(V.summary(c, "run"), ["acc1", "mrr"]).select("metric", F.round("macro", 6).alias("macro"), F.round("weighted", 6).alias("weighted"))
 
 
@@ -72,12 +79,15 @@ def promotion(spark, sf):
     return P.shown(V.promote(rows, 1 / F.col("jaccard"), 0.2).filter("rank <= 5"), "rank")
 
 
-def rank_movements(spark, sf):
-    return V.movements(cases(spark, sf, "jaccard"), cases(spark, sf, "bm25"))
+def rank_movements(spark, sf, truth=gold):
+    return V.movements(cases(spark, sf, "jaccard", truth), cases(spark, sf, "bm25", truth))
 
 
 _ALL = (eval_cases, eval_metrics, hit_patterns, eval_gates, weighted_macro, token_f1, folds_split, promotion, rank_movements)
 QUERIES = {f.__name__: f for f in _ALL}
+#: With the ground truth from all documents.
+_TRUE = (eval_cases, eval_metrics, hit_patterns, eval_gates, weighted_macro, rank_movements)
+QUERIES |= {f"{f.__name__}_all": functools.partial(f, truth=gold_all) for f in _TRUE}
 
 _GOLD = f"""{P._CAND}, {P._JAC},
 go as materialized (select query_id, min(id) gold from c join q using (query_id) where contains(text, q_text) group by query_id),
@@ -103,3 +113,6 @@ k as (select a.query_id, id, case when id = p then 5 when rank >= 5 and p is not
 select query_id, id doc_id, rank from (select query_id, id, row_number() over (partition by query_id order by key, id) rank from k) where rank <= 5""",
     "rank_movements": f"with {_GOLD} select case when cj.gr is null and cb.gr is not null then 'recovered' when cj.gr is not null and cb.gr is null then 'lost' when cb.gr < cj.gr then 'improved' when cb.gr > cj.gr then 'worsened' else 'same' end movement, count(*) n from cb join cj using (query_id) group by 1",
 }
+
+_GOLD_ALL = _GOLD.replace("from c join q using (query_id) where contains(text, q_text)", "from dt join q on contains(text, q_text)")
+SQL |= {f"{f.__name__}_all": SQL[f.__name__].replace(_GOLD, _GOLD_ALL) for f in _TRUE}

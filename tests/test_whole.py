@@ -62,3 +62,25 @@ def test_callers_and_definitions_by_brute_force(spark):
         rows = sorted((a[2] != b[1], order.index(a[1]), a[3], a[4]) for a in d if a[0] == b[0].lower() and a[3] != b[2])
         want += [(b[3], n + 1, order[x[1]], x[2], x[3]) for n, x in enumerate(rows[:8])]
     assert got == sorted(want)
+
+
+def test_holders_are_found_in_all_documents(spark):
+    """Passages that begin or end within words, without inner tokens, held by documents that BM25 marks down, by none."""
+    from quarry.operators import evaluate as V
+
+    q = [(1, "ache store evicts ke"), (2, "x"), (3, "Store Evicts"), (4, "not there at all"), (5, "a1 İb c, store"), (6, None), (7, "?!")]
+    c = [(1, "The cache store evicts keys"), (2, "the Store Evicts " + "filler " * 2000), (3, "xa1 İb c, stores ?!"), (4, None), (5, "store evicts"), (6, "not there"), (7, "cache store evicts ke")]
+    got = V.holders(spark.createDataFrame(q, "query_id int, text string"), spark.createDataFrame(c, "id int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k) for i, a in q for k, b in c if a is not None and b is not None and a in b)
+
+
+def test_items_without_a_candidate_are_misses(spark, tmp_path):
+    """One holder, so long that the short documents with the item's words fill the candidates."""
+    from quarry.plans import evaluate as E
+
+    item = "zebra quartz violin harbor"
+    docs = [(1, "filler words here " * 4000 + item)] + [(k, "harbor violin quartz zebra") for k in range(2, 60)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert E.QUERIES["eval_cases"](spark, str(tmp_path)).count() == 0
+    assert [(r.query_id, r.gold_rank, r.rr) for r in E.QUERIES["eval_cases_all"](spark, str(tmp_path)).collect()] == [(1, None, 0.0)]
