@@ -97,7 +97,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [len(s) for s in found]
         keys = [bands(s) if len(s) else np.zeros(0, np.uint64) for s in found]
         nodes = pa.array([node_of(s) if len(s) else None for s in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), nodes, lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64())], ["doc_id", "n", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), nodes, lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()), *b.columns[2:]], ["doc_id", "n", "node", "bands", *b.schema.names[2:]])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +159,18 @@ def _prefixes(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[Dat
     return x.join(y, "shingle").filter(meet).select("u", "v").distinct(), [rows, p]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def _digest():
+    return F.unhex(F.sha2("text", 256))
+
+
+def _components(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """doc_id, n, node, component and root of every row, the last three null for empty sets; digests: and the digest of its text."""
     spark = docs.sparkSession
     calm(spark)
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sketched = written(d.mapInArrow(_sketches, "doc_id bigint, n bigint, node bigint, bands array<bigint>"), "sketches")
+    extra = (["digest"], ", digest binary") if digests else ([], "")
+    rows = d.withColumn("digest", _digest()) if digests else d
+    sketched = written(rows.mapInArrow(_sketches, "doc_id bigint, n bigint, node bigint, bands array<bigint>" + extra[1]), "sketches")
     nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
     many = written(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "many")  # written: then AQE can split hot keys of the join
@@ -196,15 +202,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = nodes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = written(labels.groupBy("root").agg(F.min("label").alias("component")), "least")
     discard(many, shared, hubs, pairs, members, links, open_nodes, *spare)
-    of_node = labels.join(least, "root").select("node", "component")
-    out = sketched.select("doc_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+    of_node = labels.join(least, "root").select("node", "component", "root")
+    return sketched.select("doc_id", "n", "node", *extra[0]).join(of_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    out = _components(docs).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component, by doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("near_duplicate_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("near_duplicate_id")), "left_anti")
+    """One row of each component: the first by doc_id (null last), then by the digest of its text."""
+    c = _components(docs, digests=True).filter("root is not null").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("c"))
+    c = written(c.withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")), "members")
+    first = written(c.groupBy("root").agg(F.min("key").alias("first")), "firsts")
+    judged = c.join(first, "root")
+    own = lambda rows: rows.select(F.col("doc_id").alias("near_duplicate_id"), F.col("digest").alias("near_duplicate_digest"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("near_duplicate_id")) & (_digest() == F.col("near_duplicate_digest"))
+    gone = written(own(judged.filter("key <> first")), "gone")
+    twice = written(own(judged.filter("key = first and c > 1")), "twice")  # rows alike in both
+    kept = docs.join(gone, same, "left_anti")
+    if twice.limit(1).count():
+        once = kept.join(twice, same).dropDuplicates(["near_duplicate_id", "near_duplicate_digest"]).drop("near_duplicate_id", "near_duplicate_digest")
+        kept = kept.join(twice, same, "left_anti").unionByName(once)
+    discard(c, first)
+    return kept
 
 
 def query(spark, sf_dir) -> DataFrame:

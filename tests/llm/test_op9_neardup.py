@@ -94,3 +94,13 @@ def test_stage_and_empty(spark, docs):
     out = N.stage(spark, d, "")
     assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
     assert N.near_duplicates(docs([])).count() == 0
+
+
+def test_stage_decides_by_row(spark, docs):
+    """Null and repeated ids: clean rows stay, of each component one row does."""
+    a, b, clean = "one two three four five six", "seven eight nine ten eleven twelve", "nobody else says a thing like this"
+    rows = [(1, a), (None, a), (None, clean), (2, b), (3, b), (3, "and this row is its own"), (4, "same row and same id"), (4, "same row and same id"), (None, "only null ids hold this one"), (None, "only null ids hold this one"), (5, ""), (5, ""), (None, None), (None, None)]
+    got = N.stage(spark, docs(rows), "")
+    want = [(1, a), (None, clean), (2, b), (3, "and this row is its own"), (4, "same row and same id"), (None, "only null ids hold this one"), (5, ""), (5, ""), (None, None), (None, None)]
+    assert got.columns == docs(rows).columns
+    assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
