@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: What operators read of documents; all other columns are set aside by sheltered().
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(docs) with docs' columns, in which run adds what columns it likes: those it doesn't read have other names meanwhile."""
+    names = {c: c if c in READ else f"own{k}_{uuid.uuid4().hex[:8]}" for k, c in enumerate(docs.columns)}
+    out = run(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into row ranges of about `limit` bytes of text, at least a row each."""
     for batch in batches:

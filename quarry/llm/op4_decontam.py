@@ -6,9 +6,10 @@ hash is kept, on either side alike; so a document and an item that share a windo
 share a kept gram, and a join of kept grams misses no shared span of WINDOW words.
 Each hit is then extended: the windows about it are looked up among the items'.
 Items of fewer words are one window each and are looked up by all grams of their
-length.  Windows are told apart by 64-bit hashes of 64-bit word hashes.
+length.  Windows are told apart by two 64-bit hashes
+of their words.
 
-Where the benchmark's text is at most BROADCAST_BYTES (checked), its index goes
+Where the benchmark has at most BROADCAST_BYTES of text and BROADCAST_ITEMS rows (checked), its index goes
 to every worker; beyond that, kept grams are joined by shuffle, row for row alike.
 
 Cases: text null has no words; items without words have no window; item_id null
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, pick, table, text_slices, written
-from .words import LOWER, NOT_ALNUM, Words, covered, minimizers, mix
+from .common import lists, pick, sheltered, table, text_slices, written
+from .words import LOWER, NOT_ALNUM, Words, covered, minimizers
 
-WINDOW, K, BROADCAST_BYTES = 10, 5, 16 << 20
+WINDOW, K, BROADCAST_BYTES, BROADCAST_ITEMS = 10, 5, 16 << 20, 200_000
 _U = np.uint64
 
 
@@ -36,23 +37,14 @@ def words(texts: pa.Array) -> Words:
     return Words(texts, NOT_ALNUM, LOWER)
 
 
-def windows_at(w: Words, starts: np.ndarray, n: int) -> np.ndarray:
-    """Words.grams(n) at these places only."""
-    out = np.full(len(starts), n, np.uint64)
-    for j in range(n):
-        out *= _U(0xD6E8FEB86659FD93)
-        out += w.hash[starts + j]
-    return mix(out)
-
-
-def item_windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, length in words, item's place) of all windows of a slice of items."""
+def item_windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, length in words, item's place) of all windows of a slice of items."""
     grams, valid = w.grams(WINDOW)
     at = np.flatnonzero(valid)
-    out = [(grams[at], np.full(len(at), WINDOW), w.doc[at])]
+    out = [(grams[at], w.grams_at(at, WINDOW, True), np.full(len(at), WINDOW), w.doc[at])]
     for n in range(1, WINDOW):
         d = np.flatnonzero(w.counts == n)
-        out.append((windows_at(w, w.off[d], n), np.full(len(d), n), d))
+        out.append((w.grams_at(w.off[d], n), w.grams_at(w.off[d], n, True), np.full(len(d), n), d))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -87,29 +79,37 @@ class BenchmarkIndex:
         self.names = sorted(set(ids))
         number = {x: i for i, x in enumerate(self.names)}
         own = np.array([number[x] for x in ids], np.int64)
-        hashes, sizes, item = item_windows(w)
+        hashes, seconds, sizes, item = item_windows(w)
         self.grams = Members(kept_grams(w)[1])
         self.by_size = {}
         for n in np.unique(sizes).tolist():
             of = sizes == n
-            pairs = np.unique(np.stack([hashes[of], own[item[of]].astype(np.uint64)]), axis=1)
-            members = Members(pairs[0])
-            edge = np.searchsorted(pairs[0], members.values)
-            self.by_size[n] = members, np.append(edge, pairs.shape[1]), pairs[1].astype(np.int64)
+            rows = np.unique(np.stack([hashes[of], seconds[of], own[item[of]].astype(np.uint64)]), axis=1)
+            windows, edge = np.unique(rows[:2], axis=1, return_index=True)
+            self.by_size[n] = Members(windows[0]), windows, np.append(edge, rows.shape[1]), rows[2].astype(np.int64)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, place in its size's members) of every window found."""
+        """(start, length, place in its size's windows) of every window found, by both hashes."""
         out = []
-        for n, (members, _, _) in self.by_size.items():
+        for n, (members, windows, _, _) in self.by_size.items():
             if n == WINDOW:
                 starts = about(w, kept_grams(w), self.grams)
-                at, spot = members.find(windows_at(w, starts, n))
+                at, first = members.find(w.grams_at(starts, n))
                 at = starts[at]
             else:
                 grams, valid = w.grams(n)
-                at, spot = members.find(grams)
-                at, spot = at[valid[at]], spot[valid[at]]
-            out.append((at, np.full(len(at), n), spot))
+                at, first = members.find(grams)
+                at, first = at[valid[at]], first[valid[at]]
+            spot = np.searchsorted(windows[0], members.values[first])
+            second = w.grams_at(at, n, True) if len(at) else np.zeros(0, np.uint64)
+            open_ = np.arange(len(at))
+            while len(open_):  # a round for each window of one first hash
+                same = windows[1, spot[open_]] == second[open_]
+                out.append((at[open_[same]], np.full(int(same.sum()), n), spot[open_[same]]))
+                open_ = open_[~same]
+                spot[open_] += 1
+                open_ = open_[spot[open_] < windows.shape[1]]
+                open_ = open_[windows[0, spot[open_]] == windows[0, spot[open_] - 1]]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
     def judge(self, w: Words) -> tuple[np.ndarray, list[list[str]]]:
@@ -118,7 +118,7 @@ class BenchmarkIndex:
         hit = np.zeros(len(w.hash), bool)
         items: list[list[str]] = [[] for _ in w.counts]
         found = [np.zeros((2, 0), np.int64)]
-        for n, (_, edge, item) in self.by_size.items():
+        for n, (_, _, edge, item) in self.by_size.items():
             of = size == n
             hit |= covered(start[of], n, len(hit))
             doc, s = np.unique(np.stack([w.doc[start[of]], spot[of]]), axis=1)
@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, broadcast_bytes: int = BROA
     b = pick(bench, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     kept = docs.drop("n_words", "starts", "ends", "items")
     size = b.agg(F.sum(F.octet_length("text")), F.count("*")).head()
-    if (size[0] or 0) <= broadcast_bytes and size[1] <= broadcast_bytes:
+    if (size[0] or 0) <= broadcast_bytes and size[1] <= BROADCAST_ITEMS:
         rows = b.collect()  # bounded by the check above
         shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([r[0] for r in rows], [r[1] for r in rows]))
 
@@ -190,8 +190,8 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
     def bench_rows(batches):
         for x in text_slices(batches, "text"):
             w = words(x.column(1))
-            h, n, d = item_windows(w)
-            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(n, pa.int32())], ["item_id", "hash", "n"])
+            h, h2, n, d = item_windows(w)
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n, pa.int32())], ["item_id", "hash", "second", "n"])
 
     def bench_grams(batches):
         for x in text_slices(batches, "text"):
@@ -205,7 +205,7 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
             fine = (starts >= 0) & (starts + WINDOW <= len(w.hash))
             fine[fine] = w.doc[starts[fine]] == w.doc[starts[fine] + WINDOW - 1]
             flat, many = starts[fine], fine.sum(1)
-            out = [(at, grams, flat, windows_at(w, flat, WINDOW), many, WINDOW)]
+            out = [(at, grams, flat, w.grams_at(flat, WINDOW), many, WINDOW)]
             for n in sizes:
                 if n < WINDOW:
                     g, valid = w.grams(n)
@@ -215,15 +215,15 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 doc = w.doc[a]
                 took = pa.array(doc)
                 base = np.repeat(w.off[doc], m)
-                yield pa.RecordBatch.from_arrays([x.column(0).take(took), x.column(1).take(took), pa.array(g.view(np.int64)), pa.array(np.full(len(a), n), pa.int32()), lists(s - base, m, pa.int64()), lists(h.view(np.int64), m, pa.int64())], ["k_id", "k_text", "gram", "n", "at", "hashes"])
+                yield pa.RecordBatch.from_arrays([x.column(0).take(took), x.column(1).take(took), pa.array(g.view(np.int64)), pa.array(np.full(len(a), n), pa.int32()), lists(s - base, m, pa.int64()), lists(h.view(np.int64), m, pa.int64()), lists(w.grams_at(s, n, True).view(np.int64), m, pa.int64())], ["k_id", "k_text", "gram", "n", "at", "hashes", "seconds"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    b_win = written(bench.mapInArrow(bench_rows, "item_id string, hash bigint, n int").distinct(), "windows")
+    b_win = written(bench.mapInArrow(bench_rows, "item_id string, hash bigint, second bigint, n int").distinct(), "windows")
     b_gram = written(bench.mapInArrow(bench_grams, "gram bigint").distinct(), "grams")
-    found = docs.select(*key, "text").mapInArrow(doc_rows, f"k_id {kind}, k_text string, gram bigint, n int, at array<bigint>, hashes array<bigint>")
+    found = docs.select(*key, "text").mapInArrow(doc_rows, f"k_id {kind}, k_text string, gram bigint, n int, at array<bigint>, hashes array<bigint>, seconds array<bigint>")
     long = found.filter(F.col("n") == WINDOW).join(b_gram, "gram", "left_semi")
-    near = long.unionByName(found.filter(F.col("n") < WINDOW)).select("k_id", "k_text", "n", F.explode(F.arrays_zip("at", "hashes")).alias("z"))
-    hits = near.select("k_id", "k_text", "n", F.col("z.at").alias("at"), F.col("z.hashes").alias("hash")).join(b_win, ["hash", "n"])
+    near = long.unionByName(found.filter(F.col("n") < WINDOW)).select("k_id", "k_text", "n", F.explode(F.arrays_zip("at", "hashes", "seconds")).alias("z"))
+    hits = near.select("k_id", "k_text", "n", F.col("z.at").alias("at"), F.col("z.hashes").alias("hash"), F.col("z.seconds").alias("second")).join(b_win, ["hash", "second", "n"])
     spans = hits.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     merged = F.aggregate(
         F.array_sort("spans"),
@@ -259,8 +259,8 @@ def digest(judged: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.size("starts") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that hold no benchmark window, with their columns as they were."""
+    return sheltered(docs, lambda d: decontaminate(d, table(spark, sf_dir, "benchmark")).filter(F.size("starts") == 0))
 
 
 def query(spark, sf_dir) -> DataFrame:

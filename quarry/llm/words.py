@@ -5,16 +5,20 @@ All separators are ASCII, so UTF-8 bytes can be classed one by one without decod
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from .common import utf8
 
 _U = np.uint64
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INV = pow(_B, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {"b": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
-_BYTE = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Words of more bytes are hashed one by one, by BLAKE2b.
+LONG = 512
+_SEEDS = 0x243F6A8885A308D3, 0x13198A2E03707344
+_STEP = _U(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,14 +28,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        step = _U(_B if kind == "b" else _B_INV)
-        full = np.full(max(n, 1 << 20), step, np.uint64)
-        full[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(full)
-    return have[:n]
+def fold(state: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """state with x taken in, in place.  Unlike a polynomial mod 2^64 this has no inputs that always collide."""
+    state ^= x
+    state *= _STEP
+    state ^= state >> _U(32)
+    return state
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight bytes a step; the two seeds give hashes that know nothing of each other."""
+    sizes = ends - starts
+    raw = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    out = mix(raw[starts] & _MASK[np.minimum(sizes, 8)] ^ (sizes.astype(np.uint64) + _U(1)) * _U(_SEEDS[seed] | 1))
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    at = 8
+    while len(left):
+        part = raw[starts[left] + at] & _MASK[np.minimum(sizes[left] - at, 8)]
+        out[left] = mix(fold(out[left], part) + _U(_SEEDS[seed]))
+        at += 8
+        left = left[sizes[left] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 def table(separators: str | bytes) -> np.ndarray:
@@ -48,7 +68,7 @@ LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 class Words:
-    """data: the bytes; starts, ends: of each word; off: words off[d] to off[d+1] are of text d; hash: by word."""
+    """data: the bytes; starts, ends: of each word; off: words off[d] to off[d+1] are of text d; hash, second: by word."""
 
     def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE, fold: np.ndarray = SAME):
         self.data, self.text_off = utf8(texts)
@@ -69,9 +89,12 @@ class Words:
         self.off = np.searchsorted(self.starts, self.text_off)
         self.counts = np.diff(self.off)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power("b", n), out=total[1:])
-        self.hash = mix((total[self.ends] - total[self.starts]) * _power("inv", n + 1)[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = word_hashes(self.data, self.starts, self.ends)
+
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        """Another hash by word; with the first, 128 bits."""
+        return word_hashes(self.data, self.starts, self.ends, 1)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words from each word on, whether they are all of one text)."""
@@ -80,10 +103,16 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         out = np.full(n, k, np.uint64)
         for j in range(k):
-            out *= _U(0xD6E8FEB86659FD93)
-            out += self.hash[j : j + n]
+            fold(out, self.hash[j : j + n])
         return mix(out), self.doc[:n] == self.doc[k - 1 :]
 
+    def grams_at(self, starts: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+        """grams(k) at these places only; second: by the other hash."""
+        hashes, out = self.second if second else self.hash, np.full(len(starts), k, np.uint64)
+        for j in range(k):
+            fold(out, hashes[starts + j])
+        return mix(out)
+
     def words_of(self, d: int) -> list[bytes]:
         data = self.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
         self._bytes = data

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm.pretok import Cache, pretokens
-from quarry.llm.words import LOWER, NOT_ALNUM, Words, minimizers, sliding
+from quarry.llm.words import LONG, LOWER, NOT_ALNUM, Words, minimizers, sliding
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aB é\t\n9.,ß😀", max_size=40)), max_size=6)
 
@@ -30,6 +30,19 @@ def test_equal_words_have_equal_hashes_wherever_they_are():
     assert h[0] == h[2] and h[1] == h[4] and len(set(h)) == 4
 
 
+def test_word_hashes_of_all_sizes():
+    """Words of 1 to 40 bytes and about LONG, by place and by another slice; no two alike, under either seed."""
+    own = ["x" * n for n in [*range(1, 40), LONG - 1, LONG, LONG + 1, 3 * LONG]] + ["y" + "x" * n for n in range(40)]
+    a, b = Words(pa.array([" ".join(own)])), Words(pa.array([f"zz {x}" for x in own]))
+    assert len(set(a.hash.tolist())) == len(set(a.second.tolist())) == len(own) and not set(a.hash.tolist()) & set(a.second.tolist())
+    assert a.hash.tolist() == b.hash[1::2].tolist() and a.second.tolist() == b.second[1::2].tolist()
+    x, y = "a", "b"
+    for _ in range(12):
+        x, y = x + y, y + x
+    w = Words(pa.array([x[:256], y[:256], x, y]))
+    assert len(set(w.hash.tolist())) == 4
+
+
 def test_sliding_and_minimizers():
     rng = np.random.default_rng(1)
     x = rng.integers(1, 50, 200).astype(np.uint64)
