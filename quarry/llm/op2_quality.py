@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table, text_slices, written
+from .common import pick, sheltered, table, text_slices, written
 from .words import SPACE, Words
 
 FIT_ROWS, RIDGE, BROADCAST_SITES, THRESHOLD = 20_000, 1.0, 100_000, 0.5
@@ -167,7 +167,7 @@ def sites(evidence: DataFrame, prior: float) -> Sites:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with doc_odds, host_rate, path_rate, score and keep.  What docs has under these names is replaced."""
-    own = docs.drop("doc_odds", "host_rate", "path_rate", "score", "keep", *_SITE)
+    own = docs.drop("doc_odds", "host_rate", "path_rate", "score", "keep", "own_share", "own_id", "own_good", *_SITE)
     model = fit(own, labels)
     prior = model.prior if model else 1 - 1e-6
     narrow = written(scored(pick(own, "doc_id", "source", "lang", "text"), model).select("doc_id", "source", "lang", "doc_odds"), "odds")
@@ -175,20 +175,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = F.coalesce("good", 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior))))))))
     s = sites(known.select(F.col("source").alias("host"), F.col("lang").alias("path"), share.alias("e")), prior)
     right = F.broadcast(s.table) if s.small else s.table
-    joined = scored(own, model).join(right, F.col("source").eqNullSafe(F.col("site_host")) & F.col("lang").eqNullSafe(F.col("site_path")), "left")
-    mine = 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior)))))))
+    judged = own.withColumn("own_share", F.lit(None).cast("double"))
+    if model:  # a label, where there is one, is what the document's own site counted
+        own_labels = _labels(labels).select(F.col("l_id").alias("own_id"), F.col("good").alias("own_good"))
+        judged = own.join(own_labels, F.col("doc_id") == F.col("own_id"), "left").withColumn("own_share", F.col("own_good")).drop("own_id", "own_good")
+    joined = scored(judged, model).join(right, F.col("source").eqNullSafe(F.col("site_host")) & F.col("lang").eqNullSafe(F.col("site_path")), "left")
+    mine = F.coalesce("own_share", 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior))))))))
     less = lambda c: F.greatest(F.col(c) - mine, F.lit(0.0))
     host = (less("site_hk") + s.host_strength * s.rate) / (F.col("site_hn") - 1 + s.host_strength)
     path = (less("site_k") + s.path_strength * F.col("host_rate")) / (F.col("site_n") - 1 + s.path_strength)
     base = float(np.log(prior / (1 - prior)))
     odds = F.coalesce(F.col("doc_odds") - base, F.lit(0.0)) + _odds(F.col("path_rate"))
     out = joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", F.col("score") >= THRESHOLD if model else F.lit(True)).drop(*_SITE)
+    return out.withColumn("keep", F.col("score") >= THRESHOLD if model else F.lit(True)).drop("own_share", *_SITE)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the classifier keeps, with their columns as they were."""
+    return sheltered(docs, lambda d: classify(d, table(spark, sf_dir, "labels")).filter("keep"))
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -18,7 +18,7 @@ def bad(r):
 
 def corpus(n=400):
     r = random.Random(2)
-    return [(i, good(r) if i % 4 else bad(r), "en", f"s{i % 5}", int(i % 4 > 0)) for i in range(n)]
+    return [(i, good(r) if i % 4 else bad(r), "en" if i % 3 else "de", f"s{i % 5}", int(i % 4 > 0)) for i in range(n)]
 
 
 def frames(spark):
@@ -51,11 +51,22 @@ def test_rates_by_brute_force(spark):
     noise = len(host) * rate * (1 - rate)
     between = max((spread - noise) / len(e), 0)
     strength = min(max(rate * (1 - rate) / between - 1, 1), 1e4) if between else 1e4
+    path = {}
+    for i, r in enumerate(rows):
+        path.setdefault((r[3], r[2]), []).append(i)
+    above = {k: (m[k[0]] + strength * rate) / (len(host[k[0]]) + strength) for k in path}
+    hit = {k: sum(e[i] for i in path[k]) for k in path}
+    apart = sum(len(path[k]) * (hit[k] / len(path[k]) - above[k]) ** 2 for k in path) - sum(above[k] * (1 - above[k]) for k in path)
+    within = sum(len(path[k]) * above[k] * (1 - above[k]) for k in path) / len(e)
+    path_strength = min(max(within / (apart / len(e)) - 1, 1), 1e4) if apart > 0 else 1e4
     for r in out:
         i = r.doc_id
         s = rows[i][3]
-        want = (max(m[s] - p[i], 0) + strength * rate) / (len(host[s]) - 1 + strength)
+        want = (max(m[s] - e[i], 0) + strength * rate) / (len(host[s]) - 1 + strength)
         assert abs(r.host_rate - want) < 1e-6
+        one = path[s, r.lang]
+        own_path = (max(sum(e[j] for j in one) - e[i], 0) + path_strength * want) / (len(one) - 1 + path_strength)
+        assert abs(r.path_rate - own_path) < 1e-6
         odds = model.log_odds(x[i : i + 1])[0] - np.log(model.prior / (1 - model.prior)) + np.log(r.path_rate / (1 - r.path_rate))
         assert abs(r.score - 1 / (1 + np.exp(-odds))) < 1e-6
 
@@ -73,6 +84,15 @@ def test_cases(spark, docs):
     assert kept.doc_odds is None and 0 < kept.score < 1
 
 
+def test_stage_leaves_own_columns(spark, docs, tmp_path):
+    rows, many, known = frames(spark)
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    d = many.selectExpr("*", "doc_id keep", "'mine' score", "1 l_id", "2 own_id", "3 site_n")
+    out = Q.stage(spark, d, str(tmp_path))
+    assert out.columns == d.columns
+    assert all(r.keep == r.doc_id and r.score == "mine" and r.l_id == 1 for r in out.collect())
+
+
 def test_sparse_sites_shrink(spark):
     ev = spark.createDataFrame([("big", "p", 0.9)] * 300 + [("big2", "p", 0.1)] * 300 + [("tiny", "p", 0.0)], "host string, path string, e double")
     s = Q.sites(ev, 0.5)
