@@ -1,7 +1,8 @@
 """Near-duplicates by one-permutation MinHash.
 
 A document's set holds its distinct SHINGLE-word shingles, as 64-bit hashes.
-Documents with one set are one node.  One permutation deals the set's hashes into
+Documents with one set are one node.  Its name has 64 bits, and 64 more tell
+whether two sets share a name; where any do, they are named anew.  One permutation deals the set's hashes into
 BINS bins, the least of each counts; an empty bin takes the value of the first
 filled bin in a random order of its own (optimal densification: the same in every
 document, and unlike bins choose independently).  ROWS bins make a band: sets with
@@ -24,6 +25,8 @@ each judged by their own text; further columns are left.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import calm, discard, lists, pick, release, table, text_slices, written
+from .common import calm, discard, lists, pick, release, sheltered, table, text_slices, written
 from .components import components
 from .words import LOWER, SPACE, Words, mix
 
-SHINGLE, ROWS, BANDS, PERCENT = 4, 5, 32, 80
+#: Words of a shingle: five, but four where op9's contract binds the query.
+SHINGLE, QUERY_SHINGLE, ROWS, BANDS, PERCENT = 5, 4, 5, 32, 80
 BINS = ROWS * BANDS
 _U = np.uint64
 _ORDER = np.stack([np.random.default_rng([9, j]).permutation(BINS) for j in range(BINS)])
@@ -51,18 +55,15 @@ def sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(grams[a : b - size + 1]))
         elif b > a:
-            h = np.full(1, b - a, np.uint64)
-            for x in w.hash[a:b]:
-                h = h * _U(0xD6E8FEB86659FD93) + x
-            out.append(mix(h))
+            out.append(w.grams_at(np.array([a]), b - a))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    return int(mix(np.array([s.sum() ^ mix(np.array([mix(s + _U(1)).sum()], np.uint64))[0]], np.uint64)).view(np.int64)[0])
+def node_of(s: np.ndarray) -> tuple[int, int]:
+    """A 64-bit name of the set, and 64 bits that check it."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -91,22 +92,30 @@ def _words(texts: pa.Array) -> Words:
     return Words(texts, SPACE, LOWER)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_slices(batches, "text"):
-        found = sets(_words(b.column(1)))
-        n = [len(s) for s in found]
-        keys = [bands(s) if len(s) else np.zeros(0, np.uint64) for s in found]
-        nodes = pa.array([node_of(s) if len(s) else None for s in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), nodes, lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()), *b.columns[2:]], ["doc_id", "n", "node", "bands", *b.schema.names[2:]])
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text"):
+            found = sets(_words(b.column(1)), size)
+            n = [len(s) for s in found]
+            keys = [bands(s) if len(s) else np.zeros(0, np.uint64) for s in found]
+            names = [node_of(s) if len(s) else (None, None) for s in found]
+            nodes = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *nodes, lists(np.concatenate(keys).view(np.int64), np.array([len(k) for k in keys]), pa.int64()), *b.columns[2:]], ["doc_id", "n", "node", "sure", "bands", *b.schema.names[2:]])
 
+    return run
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node): the node's set, where the text is indeed that node's."""
-    for b in text_slices(batches, "text"):
-        found = sets(_words(b.column(0)))
-        nodes = b.column(1).to_pylist()
-        take = [i for i, s in enumerate(found) if len(s) and node_of(s) == nodes[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in take], pa.int64()), pa.array([len(found[i]) for i in take], pa.int64()), pa.array([found[i].tobytes() for i in take], pa.binary())], ["node", "n", "s"])
+
+def _set_rows(size: int):
+    """(text, node, sure): the node's set, where the text is indeed that node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text"):
+            found = sets(_words(b.column(0)), size)
+            nodes, sure = b.column(1).to_pylist(), b.column(2).to_pylist()
+            take = [i for i, s in enumerate(found) if len(s) and node_of(s)[1] == sure[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in take], pa.int64()), pa.array([len(found[i]) for i in take], pa.int64()), pa.array([found[i].tobytes() for i in take], pa.binary())], ["node", "n", "s"])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +172,27 @@ def _digest():
     return F.unhex(F.sha2("text", 256))
 
 
-def _components(docs: DataFrame, digests: bool = False) -> DataFrame:
+def _named_apart(sketched: DataFrame) -> DataFrame:
+    """sketched, with one name for each set: of sets that share theirs, those that aren't first by `sure` get another."""
+    ends = sketched.groupBy(F.col("node").alias("c_node")).agg(F.min("sure").alias("c_first"), F.max("sure").alias("c_last"))
+    clash = written(ends.filter("c_first < c_last").select("c_node", "c_first"), "clashes")
+    if not clash.limit(1).count():
+        discard(clash)
+        return sketched
+    again = F.when(F.col("sure") > F.col("c_first"), F.xxhash64("node", "sure")).otherwise(F.col("node"))
+    return written(sketched.join(clash, F.col("node") == F.col("c_node"), "left").withColumn("node", again).drop("c_node", "c_first"), "sketches")
+
+
+def _components(docs: DataFrame, digests: bool = False, size: int = SHINGLE) -> DataFrame:
     """doc_id, n, node, component and root of every row, the last three null for empty sets; digests: and the digest of its text."""
     spark = docs.sparkSession
     calm(spark)
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     extra = (["digest"], ", digest binary") if digests else ([], "")
     rows = d.withColumn("digest", _digest()) if digests else d
-    sketched = written(rows.mapInArrow(_sketches, "doc_id bigint, n bigint, node bigint, bands array<bigint>" + extra[1]), "sketches")
-    nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    sketched = written(rows.mapInArrow(_sketches(size), "doc_id bigint, n bigint, node bigint, sure bigint, bands array<bigint>" + extra[1]), "sketches")
+    sketched = _named_apart(sketched)
+    nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sure").alias("sure"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
     many = written(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "many")  # written: then AQE can split hot keys of the join
     shared = written(rows.join(many, "key"), "buckets")
@@ -181,9 +202,9 @@ def _components(docs: DataFrame, digests: bool = False) -> DataFrame:
     hubs = written(hubs, "hubs")
     stars = shared.join(hubs, F.col("key") == F.col("h_key")).filter((F.col("node") != F.col("h.node")) & _alike(F.col("n"), F.col("h.n")))
     pairs = written(stars.select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    involved = shared.select("node").distinct().join(nodes.select("node", "label"), "node").withColumnRenamed("label", "l_id")
-    texts = d.join(involved, F.col("doc_id").eqNullSafe(F.col("l_id"))).select("text", "node")
-    members = written(texts.mapInArrow(_set_rows, "node bigint, n bigint, s binary").dropDuplicates(["node"]), "sets")
+    involved = shared.select("node").distinct().join(nodes.select("node", "sure", F.col("label").alias("l_id")), "node")
+    texts = d.join(involved, F.col("doc_id").eqNullSafe(F.col("l_id"))).select("text", "node", "sure")
+    members = written(texts.mapInArrow(_set_rows(size), "node bigint, n bigint, s binary").dropDuplicates(["node"]), "sets")
     release(spark)
     links = written(_verified(pairs, members), "links")
     release(spark)
@@ -206,14 +227,18 @@ def _components(docs: DataFrame, digests: bool = False) -> DataFrame:
     return sketched.select("doc_id", "n", "node", *extra[0]).join(of_node, "node", "left")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    out = _components(docs).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, by shingles of `size` words."""
+    out = _components(docs, size=size).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the first by doc_id (null last), then by the digest of its text."""
+    """One row of each component: the first by doc_id (null last), then by the digest of its text; further columns as they were."""
+    return sheltered(docs, _firsts)
+
+
+def _firsts(docs: DataFrame) -> DataFrame:
     c = _components(docs, digests=True).filter("root is not null").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("c"))
     c = written(c.withColumn("key", F.struct(F.col("doc_id").isNull(), "doc_id", "digest")), "members")
     first = written(c.groupBy("root").agg(F.min("key").alias("first")), "firsts")
@@ -231,7 +256,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), QUERY_SHINGLE)
 
 
 QUERIES = {"op9_oph_near_dedup": query}

@@ -8,14 +8,14 @@ from quarry.llm import op9_neardup as N
 from quarry.llm.components import components
 
 
-def shingles(t):
+def shingles(t, size=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    s = [shingles(t) for _, t in rows]
+def brute(rows, size=4):
+    s = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -59,9 +59,10 @@ def family(seed, n=120):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_by_brute_force(spark, docs, seed):
-    rows = family(seed) + [(None, None), (500, ""), (501, " \n"), (None, "w1 w2"), (502, "w1 w2"), (503, "only me here now"), (503, "only me here now"), (504, "long " * 5000), (None, "nobody else says this")]
-    got = N.near_duplicates(docs(rows)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+    rows = family(seed) + [(None, None), (500, ""), (501, " \n"), (None, "w1 w2"), (502, "w1 w2"), (503, "only me here now"), (503, "only me here now"), (504, "long " * 400_000), (505, "z" * 3_000_000), (None, "nobody else says this")]
+    for size in (N.QUERY_SHINGLE, N.SHINGLE):
+        got = N.near_duplicates(docs(rows), size).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, size)
 
 
 def test_no_link_is_lost_where_stars_fail(spark, docs, monkeypatch):
@@ -69,7 +70,36 @@ def test_no_link_is_lost_where_stars_fail(spark, docs, monkeypatch):
     monkeypatch.setattr(N, "bands", lambda s: np.array([7], np.uint64))
     rows = family(9, 60)
     got = N.near_duplicates(docs(rows)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5)
+
+
+def test_sets_that_share_a_name_stay_apart(spark, docs, monkeypatch):
+    """Names of two bits: all the rest must come from the check."""
+    real = N.node_of
+    monkeypatch.setattr(N, "node_of", lambda s: (real(s)[0] & 3, real(s)[1]))
+    rows = family(4, 60) + [(300, "a b c d e f"), (301, "a b c d e f")]
+    got = N.near_duplicates(docs(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5)
+
+
+def test_words_that_polynomials_confuse(spark, docs):
+    """Thue-Morse words of 2,048 bytes collide under any polynomial mod 2^64."""
+    x, y = thue_morse(11)
+    rows = [(1, f"a b c {x} d e f"), (2, f"a b c {y} d e f")]
+    assert all(r.kept for r in N.near_duplicates(docs(rows), 4).collect())
+
+
+def thue_morse(n):
+    a, b = "x", "y"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_stage_leaves_own_columns(spark, docs):
+    d = docs([(1, "a b c d e f"), (2, "a b c d e f")]).selectExpr("*", "doc_id * 5 near_duplicate_id", "'x' root", "'y' digest")
+    out = N.stage(spark, d, "")
+    assert out.columns == d.columns and [tuple(r) for r in out.collect()] == [tuple(r) for r in d.collect() if r.doc_id == 1]
 
 
 def test_signatures_estimate_likeness():

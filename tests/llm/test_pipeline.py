@@ -24,7 +24,7 @@ def test_stages_by_brute_force(spark):
     docs = [r.asDict() for r in table(spark, SF, "documents").collect()]
     keep = {r.doc_id for r in op2_quality.classify(table(spark, SF, "documents"), table(spark, SF, "labels")).filter("keep").collect()}
     docs = [d for d in docs if d["doc_id"] in keep]
-    first = {c[0] for c in near([(d["doc_id"], d["text"]) for d in docs]) if c[3]}
+    first = {c[0] for c in near([(d["doc_id"], d["text"]) for d in docs], 5) if c[3]}
     docs = [d for d in docs if d["doc_id"] in first]
     grams = set()
     for r in table(spark, SF, "benchmark").collect():
