@@ -59,12 +59,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once all that reads them is written too."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.quarry_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t.quarry_path)
+
+
+def work_names(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    fs, at = _at(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's, there as a whole or not at all."""
+    fs, part = _at(spark, path + ".part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, _at(spark, path)[1])
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _at(spark, path)
+    file = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
 
 
 def release(spark: SparkSession) -> None:
