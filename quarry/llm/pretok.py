@@ -46,15 +46,22 @@ def pretokens(text: str) -> list[str]:
 class Cache(dict):
     """Word -> whatever `make` gives for a list of new words.
 
-    Beyond `most` words, which bounds memory, the half that came last goes: common words come early."""
+    Beyond `most` words, which bounds memory, the half that came last goes: common words come early.  Words of over LONG
+    characters are kept until the next new ones come."""
+
+    LONG = 64
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.long = make, most, []
 
     def ready(self, words) -> None:
         wanted = set(words)
         new = {w for w in wanted if w not in self}
         if new:
+            for w in self.long:
+                if w not in wanted:
+                    self.pop(w, None)
+            self.long = [w for w in wanted if len(w) > self.LONG]
             if len(self) + len(new) > self.most:
                 for w in list(self)[self.most // 2 :]:
                     if w not in wanted:

@@ -64,3 +64,28 @@ def test_digests(spark, docs, reference):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert B.digests(docs([])).count() == 0
     assert {r.doc_id: r.ids for r in B.encode(docs(rows[2:3])).collect()} == {3: reference.encode_ordinary(rows[2][1])}
+
+
+def test_memory_of_a_long_pretoken():
+    """Eight megabytes in one pre-token: right, and in bounded memory a byte."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from quarry.llm import op3_bpe as B
+import public_tokenizers
+e = B.Encoder(B.load_ranks(public_tokenizers.path(B.RANKS)))
+r = random.Random(1)
+data = bytes(r.choice(b'abcdefgh') for _ in range(8_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = e.encode_many([data])[0]
+used = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+assert b''.join(e.bytes[i] for i in ids.tolist()) == data
+head = e.encode_many([data[:200_000]])[0]
+assert ids[:50_000].tolist() == list(head)[:50_000]
+print(used)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 500
