@@ -6,8 +6,8 @@ lengths add up to code-point offsets.
 
 Beside them, candidate strings are scanned by entropy.  For each character class
 below, a window of fixed length slides over each run of its characters; counts of
-the characters in the window and the sum of c * log2(c) are kept up step by step,
-so a step costs the same wherever it is.  Windows at or over the class's bits are
+the characters in the window, packed into a few numbers, and the sum of c * log2(c)
+are kept up step by step, so a step costs the same wherever it is.  Windows at or over the class's bits are
 joined to spans.  Runs on the allow-list (placeholders, plain words, paths, ids
 that are no secrets) give none, nor do spans within a base span.
 
@@ -19,11 +19,12 @@ is scanned whole; further columns are left.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, sheltered, table
 
 #: Fixed patterns: kind, pattern, group that is measured, its least length.
 RULES = [
@@ -47,42 +48,89 @@ ALLOW = [
 ]
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Counts of a window's characters are packed, BITS each, SLOTS to a 64-bit number.
+BITS, SLOTS = 5, 12
+#: Code points of a text's blocks, in which places are looked up.
+BLOCK = 4096
 
 
-def _none() -> Column:
-    return F.array().cast(_SPAN)
+def _none(kind: str = _SPAN) -> Column:
+    return F.array().cast(kind)
 
 
-def _places(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
-    """array<struct<start, rank, end>> of matches whose group has `least` characters."""
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(rows: Column, kind: str, measure, join) -> Column:
+    """array<struct<row, before>>: what `join` (+ or greatest) makes of the measures of all rows before each.
+
+    In blocks of the square root of the number of rows, as appending to an array copies it."""
+    out = f"array<struct<row:{kind},before:int>>"
+    zero = lambda t: F.struct(F.lit(0).alias("total"), _none(t).alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["total"], measure(x)).alias("total"), F.concat(acc["out"], F.array(F.struct(x.alias("row"), acc["total"].alias("before")))).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["out"], lambda y: F.struct(y["row"].alias("row"), join(acc["total"], y["before"]).alias("before")))
+        return F.struct(join(acc["total"], b["total"]).alias("total"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def run(all_: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda k: F.aggregate(F.slice(all_, k * size + 1, size), zero(out), one))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(blocks, zero(f"array<{out}>"), block, lambda acc: acc["out"]))).otherwise(_none(out))
+
+    return _let(rows, run)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _hits(text: Column, pattern: str, group: int, least: int) -> Column:
+    """array<struct<start, end, hit>> of matches whose group has `least` characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), measured.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    placed = _running(rows, "struct<gap:string,hit:string,part:string>", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)), _add)
+    kept = F.filter(placed, lambda y: F.length(y["row"]["part"]) >= least)  # the last row has a gap only
+    begin = lambda y: y["before"] + F.length(y["row"]["gap"])
+    found = F.transform(kept, lambda y: F.struct(begin(y).alias("start"), (begin(y) + F.length(y["row"]["hit"])).alias("end"), y["row"]["hit"].alias("hit")))
+    return F.when(text.rlike(pattern), found).otherwise(_none("array<struct<start:int,end:int,hit:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        keep = F.length(x["part"]) >= least  # the last row has a gap only
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(_none())
+def _places(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
+    return F.transform(_hits(text, pattern, group, least), lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end")))
 
 
-def _windows(run: Column, offset: Column, rank: int, width: int, bits: float) -> Column:
-    """Joined windows of one run that carry enough bits, as spans of the text."""
+def _windows(run: Column, offset: Column, rank: int, width: int, bits: float, chars: str) -> Column:
+    """Joined windows of one run, of these characters, that carry enough bits, as spans of the text."""
+    slot = {ord(c): k for k, c in enumerate(chars)}
+    words = -(-len(chars) // SLOTS)
+    by_code = lambda f: F.array(*[F.lit(f(slot[c]) if c in slot else 0) for c in range(128)])
+    word, shift = by_code(lambda k: k // SLOTS), by_code(lambda k: k % SLOTS * BITS)
     weigh = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     most = (math.log2(width) - bits) * width  # of the sum of c * log2(c)
-    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), _none().alias("out"))
+    counts = F.array_repeat(F.lit(0).cast("bigint"), words)
+    begin = F.struct(counts.alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), _none().alias("out"))
     f = lambda c: F.element_at(weigh, c + 1)
     one = lambda acc: F.array(F.struct((offset + acc["a"]).alias("start"), F.lit(rank).alias("rank"), (offset + acc["b"]).alias("end")))
 
+    def count(n: Column, code: Column) -> Column:
+        """Of this character: a shift and a mask."""
+        return F.call_function("shiftright", F.get(n, F.get(word, code)), F.get(shift, code)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def unit(code: Column, k: Column) -> Column:
+        return F.when(F.get(word, code) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.get(shift, code))).otherwise(F.lit(0).cast("bigint"))
+
     def step(acc: Column, x: Column) -> Column:
         code, gone = x["code"], x["gone"]
-        up = F.get(acc["n"], code)
-        down = F.when(gone >= 0, F.get(acc["n"], gone) + (gone == code).cast("int")).otherwise(F.lit(0))
+        up = count(acc["n"], code)
+        down = F.when(gone >= 0, count(acc["n"], gone) + (gone == code).cast("int")).otherwise(F.lit(0))
         s = acc["s"] + _let(up, lambda u: f(u + 1) - f(u)) + _let(down, lambda d: F.when(d > 0, f(d - 1) - f(d)).otherwise(F.lit(0.0)))
-        n = F.transform(acc["n"], lambda c, k: c + (k == code).cast("int") - (k == gone).cast("int"))
+        n = F.transform(acc["n"], lambda c, k: c + unit(code, k) - F.when(gone >= 0, unit(gone, k)).otherwise(F.lit(0).cast("bigint")))
         return _let(s, lambda bound: after(acc, n, bound))
 
     def after(acc: Column, n: Column, s: Column) -> Column:
@@ -105,20 +153,12 @@ def _windows(run: Column, offset: Column, rank: int, width: int, bits: float) ->
     return _let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), slide)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _scanner(text: Column, rank: int, width: int, bits: float):
+def _scanner(rank: int, width: int, bits: float, chars: str):
     def of_run(r: Column) -> Column:
-        return _let(F.substring(text, r["start"] + 1, r["end"] - r["start"]), lambda run: of_text(run, r["start"]))
-
-    def of_text(run: Column, offset: Column) -> Column:
         allowed = F.lit(False)
         for a in ALLOW:
-            allowed = allowed | run.rlike(a)
-        return F.when(allowed, _none()).otherwise(_windows(run, offset, rank, width, bits))
+            allowed = allowed | r["hit"].rlike(a)
+        return F.when(allowed, _none()).otherwise(_windows(r["hit"], r["start"], rank, width, bits, chars))
 
     return of_run
 
@@ -133,10 +173,13 @@ def scan(docs: DataFrame) -> DataFrame:
     out = kept.withColumn("base", F.array_sort(F.concat(*found)))
     extra = []
     for k, (_, pattern, width, bits) in enumerate(CLASSES, len(RULES)):
-        runs = _places(text, pattern, k, 0, width)
-        extra.append(F.when(text.rlike(pattern), F.flatten(F.transform(runs, _scanner(text, k, width, bits)))).otherwise(_none()))
-    own = F.filter(F.concat(*extra), lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", own)))
+        chars = "".join(c for c in map(chr, range(128)) if re.match(pattern.partition("{")[0], c))
+        runs = _hits(text, pattern, 0, width)
+        extra.append(F.when(text.rlike(pattern), F.flatten(F.transform(runs, _scanner(k, width, bits, chars)))).otherwise(_none()))
+    ranked = F.array_sort(F.concat("base", *extra))  # of spans that begin together the base ones come first
+    reach = _running(ranked, "struct<start:int,rank:int,end:int>", lambda x: F.when(x["rank"] < len(RULES), x["end"]).otherwise(F.lit(0)), F.greatest)
+    own = F.filter(reach, lambda y: (y["row"]["rank"] < len(RULES)) | (y["before"] < y["row"]["end"]))
+    return out.withColumn("spans", F.transform(own, lambda y: y["row"]))
 
 
 def _written(spans: str) -> Column:
@@ -153,13 +196,21 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """docs with the spans of secrets masked in text, and n_chars, if there is one, counted anew; other rows are as they were."""
     text = F.coalesce(F.col("text"), F.lit(""))
     scanned = scan(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, from the blocks they lie in."""
+        parts = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))
+        part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * BLOCK, F.lit(0)) + 1, b - F.greatest(a, k * BLOCK))
+        return F.when(b > a, F.array_join(F.transform(parts, part), "")).otherwise(F.lit(""))
+
+    def mask_all(blocks: Column) -> Column:
+        reach = _running(F.col("spans"), "struct<start:int,rank:int,end:int>", lambda x: x["end"], F.greatest)
+        fresh = F.filter(reach, lambda y: y["row"]["start"] >= y["before"])
+        parts = F.transform(fresh, lambda y: F.concat(between(blocks, y["before"], y["row"]["start"]), F.lit(mask)))
+        last = F.array_max(F.transform("spans", lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), between(blocks, last, F.length(text)))
 
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), mask_all)
     out = scanned.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -167,7 +218,10 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs)
+    """All documents, their secrets masked; further columns as they were.
+
+    text null stays null, empty stays empty; repeated rows are each masked; of spans that overlap one mask is left."""
+    return sheltered(docs, redact)
 
 
 def query(spark, sf_dir) -> DataFrame:

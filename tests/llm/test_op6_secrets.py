@@ -82,3 +82,23 @@ def test_main_path_has_no_python(spark, docs):
 
 def test_empty_table(spark, docs):
     assert S.digest(S.scan(docs([]))).count() == 0
+
+
+def test_many_matches_and_long_texts(spark, docs):
+    """Tens of thousands of matches in one text, and one match of a megabyte."""
+    r = random.Random(3)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    many = " ".join(f"é token={key(8)} {'0a1b2c3d' * 3}" for _ in range(15_000))
+    rows = [(1, many), (2, "password: " + "Ab1" * 350_000), (3, "x" * 2_000_000), (4, None)]
+    got = {x.doc_id: x for x in S.digest(S.scan(docs(rows))).collect()}
+    assert (got[1].n_assign, got[1].n_hex) == (15_000, 15_000) and got[2].n_assign == 1 and got[3].spans == ""
+    base, spans = brute(many)
+    assert got[1].spans == ",".join(f"{([k[0] for k in S.RULES] + [k[0] for k in S.CLASSES])[k]}:{a}:{b}" for a, k, b in spans)
+    masked = {x.doc_id: x.text for x in S.stage(spark, docs(rows), "").collect()}
+    assert masked[1].count(S.MASK) == 30_000 and "token" not in masked[1] and masked[2] == S.MASK and masked[3] == "x" * 2_000_000 and masked[4] is None
+
+
+def test_stage_leaves_own_columns(spark, docs):
+    d = docs([(1, "password = hunter22 and more"), (2, "clean")])
+    out = S.stage(spark, d, "")
+    assert out.columns == d.columns and all(x.base == x.spans == 7 for x in out.collect())
