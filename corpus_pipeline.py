@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
 returns the columns of documents; the last returns what byte-level BPE makes of
 the documents left: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+Cases: a text that is null or without words is judged by its site, is no
+near-duplicate, holds no passage and no secret, and ends as no tokens; doc_id null
+stays null, and a component whose members have ids keeps one with an id; of rows
+that are alike in all that counts one stays; rows that share a doc_id are each
+judged by their text; an empty table gives an empty one; without labels of both
+kinds no document is rejected; further columns, of whatever names, come through
+all stages but the last as they were.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's table is written to the shared folder and deleted once the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         kept = written(stage(spark, docs, sf_dir), f"stage-{k}")
