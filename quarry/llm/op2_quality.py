@@ -165,38 +165,69 @@ def sites(evidence: DataFrame, prior: float) -> Sites:
     return Sites(both, rate, m_host, m_path, both.count() <= BROADCAST_SITES)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with doc_odds, host_rate, path_rate, score and keep.  What docs has under these names is replaced."""
-    own = docs.drop("doc_odds", "host_rate", "path_rate", "score", "keep", "own_share", "own_id", "own_good", *_SITE)
-    model = fit(own, labels)
-    prior = model.prior if model else 1 - 1e-6
-    narrow = written(scored(pick(own, "doc_id", "source", "lang", "text"), model).select("doc_id", "source", "lang", "doc_odds"), "odds")
-    known = narrow.join(_labels(labels), F.col("doc_id") == F.col("l_id"), "left") if model else narrow.withColumn("good", F.lit(None).cast("double"))
-    share = F.coalesce("good", 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior))))))))
-    s = sites(known.select(F.col("source").alias("host"), F.col("lang").alias("path"), share.alias("e")), prior)
-    right = F.broadcast(s.table) if s.small else s.table
-    judged = own.withColumn("own_share", F.lit(None).cast("double"))
-    if model:  # a label, where there is one, is what the document's own site counted
-        own_labels = _labels(labels).select(F.col("l_id").alias("own_id"), F.col("good").alias("own_good"))
-        judged = own.join(own_labels, F.col("doc_id") == F.col("own_id"), "left").withColumn("own_share", F.col("own_good")).drop("own_id", "own_good")
-    joined = scored(judged, model).join(right, F.col("source").eqNullSafe(F.col("site_host")) & F.col("lang").eqNullSafe(F.col("site_path")), "left")
-    mine = F.coalesce("own_share", 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(float(np.log(prior / (1 - prior))))))))
-    less = lambda c: F.greatest(F.col(c) - mine, F.lit(0.0))
-    host = (less("site_hk") + s.host_strength * s.rate) / (F.col("site_hn") - 1 + s.host_strength)
-    path = (less("site_k") + s.path_strength * F.col("host_rate")) / (F.col("site_n") - 1 + s.path_strength)
-    base = float(np.log(prior / (1 - prior)))
-    odds = F.coalesce(F.col("doc_odds") - base, F.lit(0.0)) + _odds(F.col("path_rate"))
-    out = joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", F.col("score") >= THRESHOLD if model else F.lit(True)).drop("own_share", *_SITE)
+class Evidence:
+    """What is known of all documents: the model, its prior, the sites, and `rows`: doc_id, source, lang, digest, doc_odds, good (null without a label)."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame):
+        self.model = fit(docs, labels)
+        self.prior = self.model.prior if self.model else 1 - 1e-6
+        narrow = scored(pick(docs, "doc_id", "source", "lang", "text"), self.model).withColumn("digest", _digest()).drop("text")
+        labelled = _labels(labels) if self.model else _labels(labels).limit(0)
+        self.rows = written(narrow.join(labelled, F.col("doc_id") == F.col("l_id"), "left").drop("l_id"), "odds")
+        share = F.coalesce("good", self.chance())
+        self.sites = sites(self.rows.select(F.col("source").alias("host"), F.col("lang").alias("path"), share.alias("e")), self.prior)
+
+    def chance(self) -> Column:
+        """That a document is good, by its text alone."""
+        base = float(np.log(self.prior / (1 - self.prior)))
+        return 1 / (1 + F.exp(-F.coalesce("doc_odds", F.lit(base))))
+
+    def judge(self, rows: DataFrame, mine: Column) -> DataFrame:
+        """rows (source, lang, doc_odds, ...) with host_rate, path_rate, score and keep; mine: what a row's site counted for it."""
+        s = self.sites
+        right = F.broadcast(s.table) if s.small else s.table
+        joined = rows.withColumn("own_share", mine).join(right, F.col("source").eqNullSafe(F.col("site_host")) & F.col("lang").eqNullSafe(F.col("site_path")), "left")
+        less = lambda c: F.greatest(F.col(c) - F.col("own_share"), F.lit(0.0))
+        host = (less("site_hk") + s.host_strength * s.rate) / (F.col("site_hn") - 1 + s.host_strength)
+        path = (less("site_k") + s.path_strength * F.col("host_rate")) / (F.col("site_n") - 1 + s.path_strength)
+        base = float(np.log(self.prior / (1 - self.prior)))
+        odds = F.coalesce(F.col("doc_odds") - base, F.lit(0.0)) + _odds(F.col("path_rate"))
+        out = joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
+        return out.withColumn("keep", F.col("score") >= THRESHOLD if self.model else F.lit(True)).drop("own_share", *_SITE)
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def judgements(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, source, lang, digest (of the text), doc_odds, host_rate, path_rate, score and keep of every document; texts are read once and aren't shuffled."""
+    known = Evidence(docs, labels)
+    return known.judge(known.rows, F.coalesce("good", known.chance())).drop("good")
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents to keep, with their columns.
+
+    Texts aren't shuffled for the labels' sake: each is judged as if it had none, and only labelled documents
+    for which that makes a difference are looked up.  What docs has under the names of judgements() is replaced."""
+    known = Evidence(docs, labels)
+    plain = known.judge(scored(docs, known.model), known.chance())
+    labelled = known.rows.filter("good is not null")
+    right = known.judge(labelled, F.col("good")).withColumnRenamed("keep", "right")
+    both = known.judge(right.drop("host_rate", "path_rate", "score"), known.chance()).filter("keep <> right")
+    other = written(both.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), F.col("source").alias("other_source"), F.col("lang").alias("other_lang"), "right").distinct(), "other")
+    same = (F.col("doc_id") == F.col("other_id")) & (_digest() == F.col("other_digest")) & F.col("source").eqNullSafe(F.col("other_source")) & F.col("lang").eqNullSafe(F.col("other_lang"))
+    return plain.join(other, same, "left").filter(F.coalesce("right", "keep"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, with their columns as they were."""
-    return sheltered(docs, lambda d: classify(d, table(spark, sf_dir, "labels")).filter("keep"))
+    return sheltered(docs, lambda d: kept(d, table(spark, sf_dir, "labels")))
 
 
 def query(spark, sf_dir) -> DataFrame:
-    out = classify(pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    out = judgements(pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "doc_odds", "host_rate", "path_rate", "score", "keep")
 
 

@@ -30,7 +30,7 @@ def frames(spark):
 
 def test_held_out_accuracy(spark):
     rows, docs, labels = frames(spark)
-    got = {r.doc_id: r.keep for r in Q.classify(docs, labels).collect()}
+    got = {r.doc_id: r.keep for r in Q.judgements(docs, labels).collect()}
     held = [x for x in rows if x[0] >= 200 and x[0] % 2 == 0]
     assert np.mean([got[x[0]] == bool(x[4]) for x in held]) > 0.98
 
@@ -39,7 +39,7 @@ def test_rates_by_brute_force(spark):
     """With a fitted model's own odds, site rates and scores follow from the formula."""
     rows, docs, labels = frames(spark)
     model = Q.fit(docs, labels)
-    out = Q.classify(docs, labels).collect()
+    out = Q.judgements(docs, labels).collect()
     known = {r.l_id: r.good for r in Q._labels(labels).collect()}
     x, _ = Q.features(pa.array([r[1] for r in rows]))
     p = 1 / (1 + np.exp(-model.log_odds(x)))
@@ -74,16 +74,32 @@ def test_rates_by_brute_force(spark):
 def test_cases(spark, docs):
     d = docs([(1, None), (2, ""), (3, "   "), (None, "a b"), (4, "x" * 200_000), (4, "x" * 200_000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    out = Q.classify(d, none).collect()
+    out = Q.judgements(d, none).collect()
     assert len(out) == 6 and all(r.keep for r in out)
     labels = spark.createDataFrame([(4, 1, 0), (1, 0, 0), (2, None, 0), (None, 0, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
-    assert Q.classify(d, labels).count() == 6
-    assert Q.classify(docs([]), labels).count() == 0
+    assert Q.judgements(d, labels).count() == 6
+    assert Q.judgements(docs([]), labels).count() == 0
     rows, many, known = frames(spark)
-    kept = Q.classify(many.unionByName(docs([(1000, None)], False).select("doc_id", "text", "lang", "source")), known).filter("doc_id = 1000").head()
+    kept = Q.judgements(many.unionByName(docs([(1000, None)], False).select("doc_id", "text", "lang", "source")), known).filter("doc_id = 1000").head()
     assert kept.doc_odds is None and 0 < kept.score < 1
 
 
+def test_stage_keeps_what_judgements_keep(spark, tmp_path):
+    """Labels against the text's evidence decide near the threshold; rows that share a doc_id, and repeated ones, are each judged."""
+    rows, docs, _ = frames(spark)
+    docs = docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id between 40 and 60").withColumn("doc_id", docs.doc_id + 1))
+    labels = spark.createDataFrame([(i, int((i % 4 > 0) != (i % 7 == 0)), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    judged = Q.judgements(docs, labels)
+    known = Q.Evidence(docs, labels)
+    plain = known.judge(known.rows, known.chance()).filter("keep").count()
+    want = sorted((r.doc_id, bytes(r.digest)) for r in judged.filter("keep").collect())
+    got = sorted((r.doc_id, bytes(r.digest)) for r in Q.stage(spark, docs, str(tmp_path)).withColumn("digest", Q._digest()).collect())
+    assert got == want
+    assert plain != len(want) or judged.filter("not keep").count() > 0
+    assert "Exchange hashpartitioning(doc_id" not in Q.stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stage_leaves_own_columns(spark, docs, tmp_path):
     rows, many, known = frames(spark)
     known.write.parquet(f"{tmp_path}/labels.parquet")

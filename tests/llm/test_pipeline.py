@@ -22,7 +22,7 @@ def test_stages_by_brute_force(spark):
     from .test_op9_neardup import brute as near
 
     docs = [r.asDict() for r in table(spark, SF, "documents").collect()]
-    keep = {r.doc_id for r in op2_quality.classify(table(spark, SF, "documents"), table(spark, SF, "labels")).filter("keep").collect()}
+    keep = {r.doc_id for r in op2_quality.judgements(table(spark, SF, "documents"), table(spark, SF, "labels")).filter("keep").collect()}
     docs = [d for d in docs if d["doc_id"] in keep]
     first = {c[0] for c in near([(d["doc_id"], d["text"]) for d in docs], 5) if c[3]}
     docs = [d for d in docs if d["doc_id"] in first]
@@ -61,7 +61,7 @@ def test_held_out_quality(spark):
     """Fitted on even labels, judged on odd ones."""
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels")
-    got = op2_quality.classify(table(spark, sf, "documents"), labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    got = op2_quality.judgements(table(spark, sf, "documents"), labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
     n, right, good_lost = got.selectExpr("count(*)", "sum(int(keep = (quality = 1)))", "sum(int(quality = 1 and not keep))").head()
     assert right / n > 0.97 and good_lost <= 0.02 * n
 
