@@ -17,7 +17,8 @@ from .. import reachable
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever Arrow's batch size is.
 SLICE_BYTES = 1 << 20
 
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch on its way to a worker; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 _own_dir: list[str] = []
 
@@ -28,6 +29,7 @@ def calm(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
