@@ -29,7 +29,7 @@ from .pretok import Cache, pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Bytes of words that are encoded together.
 GROUP_BYTES = 1 << 18
 #: Ids that are written out at a time.
