@@ -71,6 +71,85 @@ def suffix_match(a: Column, b: Column) -> Column:
     return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
 
 
+def extra_tokens(tokens: Column, primary: Column) -> Column:
+    """Distinct tokens that aren't primary ones."""
+    return F.array_except(tokens, primary)
+
+
+def widens(tokens: Column, primary: Column) -> Column:
+    """Whether a query path brings a token of meaning that the primary ones lack."""
+    return F.exists(extra_tokens(tokens, primary), text.meaningful)
+
+
+def resolvable(language: Column, target: Column) -> Column:
+    """Whether an import may name a file of the corpus: relative ones do, else it's a question of the language's marks."""
+    t, l = F.trim(target), text.language(language)
+    slash = F.contains(t, F.lit("/")) | F.contains(t, F.lit("\\"))
+    named = F.when(l == "py", True).when(l.isin(fixed.SLASH_IMPORTS), slash).when(l == "go", F.contains(t, F.lit("/"))).when(l.isin(fixed.DOT_IMPORTS), F.contains(t, F.lit(".")))
+    named = named.when(l == "rs", F.contains(t, F.lit("::")) | t.rlike("^(crate|self|super)")).otherwise(slash | F.contains(t, F.lit(".")))
+    return F.when(t == "", False).otherwise(t.rlike("^(\\.|/|@/)") | named)
+
+
+def local_import(target: Column) -> Column:
+    """Begins with a dot, or has a path's or package's separator."""
+    t = F.trim(target)
+    return (t != "") & t.rlike(r"^\.|/|\\|\.")
+
+
+def has_references(language: Column) -> Column:
+    """P18."""
+    return text.language(language).isin(fixed.WITH_REFERENCES)
+
+
+def has_imports(language: Column) -> Column:
+    """P18."""
+    return text.language(language).isin(fixed.WITH_IMPORTS)
+
+
+def is_config_path(path: Column) -> Column:
+    """P19."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return low.rlike(r"/configs?/|(config|settings)[^/]*$|\.(toml|yaml|yml|json|env)$")
+
+
+def profile_routes(profile: str, prompt: Column, language: Column) -> tuple[Column, Column]:
+    """Whether the rank profile's language-symbol part, and its cards part, may act on this query."""
+    name = profile.strip().lower().replace("_", "-")
+    intent = text.query_intent(prompt)
+    symbols = F.lit(name in ("language-symbol", "language-symbol-cards")) & ~((language == "java") & (intent == "declaration"))
+    return symbols, F.lit(name == "language-symbol-cards") & language.isin("java", "py") & intent.isin("call", "import")
+
+
+def last_lines(code: Column, n: int = 3) -> Column:
+    """H16."""
+    lines = F.split(F.regexp_replace(code, r"\n$", ""), "\n")
+    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n), "\n")
+
+
+def completion_query(imports: Column, code: Column) -> Column:
+    """Imports, then the last lines."""
+    return F.trim(F.concat(F.coalesce(imports, F.lit("")), F.lit("\n"), last_lines(code)), F.lit(" \n\t"))
+
+
+def candidate_text(language: Column, path: Column, identifier: Column, snippet: Column) -> Column:
+    """A snippet under comments that name its path and identifier."""
+    mark = F.when(language == "python", "#").otherwise("//")
+    return F.concat(mark, F.lit(" Path: "), path, F.lit("\n"), mark, F.lit(" Identifier: "), identifier, F.lit("\n"), F.regexp_replace(snippet, r"\s+$", ""), F.lit("\n"))
+
+
+def path_number(path: Column) -> Column:
+    """The number that ends a file's stem, null without."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(.)\.[^.]*$", "$1")
+    return F.nullif(F.regexp_extract(stem, r"([0-9]+)$", 1), F.lit("")).cast("bigint")
+
+
+def safe_parts(path: Column) -> Column:
+    """A path's parts without roots, drives and steps up, odd characters as underscores."""
+    kept = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda p: ~p.isin("", ".", "..", "\\") & ~p.endswith(":"))
+    clean = F.transform(kept, lambda p: F.regexp_replace(F.regexp_replace(p, "[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""))
+    return F.filter(clean, lambda p: p != "")
+
+
 def focus(content: Column, first_line: Column, center: Column, radius: int) -> Column:
     """struct text, start_line, end_line of the lines about `center`, within the chunk."""
     lines = F.split(content, "\n")

@@ -53,15 +53,19 @@ def qnd(compressor: Compressor | None = None):
 
 
 def lcs_length(a: list, b: list) -> int:
-    """F06, a row of the table at a time."""
-    row = [0] * (len(b) + 1)
+    """F06, bit-parallel: a row of the table is one number, whose zero bits are where the length grows."""
+    if len(a) < len(b):
+        a, b = b, a
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = keep
-    return row[-1]
+        met = row & at.get(x, 0)
+        if met:
+            row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())

@@ -97,6 +97,13 @@ IMPORT_STARTS = ["import ", "from ", "using ", "use ", "require ", "require(", "
 # Marks of which two make a line look like code.
 CODE_MARKS = r"""[(){}\[\].:;=,"'`]"""
 
+# Languages whose calls, and whose imports, are drawn.
+WITH_REFERENCES = "go py rb js jsx ts tsx java rs php swift kt".split()
+WITH_IMPORTS = "go py rb js jsx ts tsx mjs cjs java kt kts rs php swift cs css scss sass less html vue svelte astro".split()
+# Languages whose imports name a file if they have a slash, or a dot.
+SLASH_IMPORTS = "rb js jsx ts tsx mjs cjs css scss sass less html vue svelte astro php".split()
+DOT_IMPORTS = "java kt kts cs swift".split()
+
 # A quoted value of 12 or more characters assigned to a secret's name.
 SECRET_ASSIGNMENT = r"""(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*['"][^'"]{12,}"""
 

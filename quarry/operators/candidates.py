@@ -28,6 +28,32 @@ def small_corpus(candidates: DataFrame, corpus: DataFrame, cap: int) -> DataFram
     return backfill(candidates, corpus, cap) if corpus.limit(cap + 1).count() <= cap else candidates.select("query_id", "id", "ord")
 
 
+def best_path_ranks(hits: DataFrame) -> DataFrame:
+    """W03.  hits: query_id, id, rank, of several query paths: the best rank of each."""
+    return hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+
+
+def structured_paths(symbols: DataFrame, references: DataFrame, imports: DataFrame, limit: int = 20) -> DataFrame:
+    """U09.  All: query_id, path, rank; imports have target_path too.  By query the first `limit` paths: of symbols, of references, of imports the target, then the source; a path counts where it comes first."""
+    of = lambda d, no, c, sub: d.select("query_id", F.col(c).alias("path"), F.struct(F.lit(no).alias("source_no"), "rank", F.lit(sub).alias("sub")).alias("at"))
+    u = of(symbols, 0, "path", 0).unionAll(of(references, 1, "path", 0)).unionAll(of(imports, 2, "target_path", 0)).unionAll(of(imports, 2, "path", 1))
+    once = u.filter("path <> ''").groupBy("query_id", "path").agg(F.min("at").alias("at"))
+    return top_k(once, limit, F.asc("at"), F.asc("path")).select("query_id", "path", "rank")
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """N rows without replacement, by a hash of seed and key; all where n is nought or there are no more."""
+    return df if n <= 0 else df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def merge_snippets(focused: DataFrame, fallback: DataFrame, limit: int) -> DataFrame:
+    """U07.  Both: query_id, path, start_line, end_line, rank.  Focused ones first; of one place the first; at most `limit` a query."""
+    place = ["query_id", "path", "start_line", "end_line"]
+    u = focused.select(*place, F.struct(F.lit(0).alias("source_no"), "rank").alias("at")).unionAll(fallback.select(*place, F.struct(F.lit(1).alias("source_no"), "rank").alias("at")))
+    once = u.groupBy(*place).agg(F.min("at").alias("at"))
+    return top_k(once, limit, F.asc("at"), F.asc("path"), F.asc("start_line"), F.asc("end_line")).withColumn("focused", F.col("at.source_no") == 0).drop("at")
+
+
 def chunks_of_paths(paths: DataFrame, knowledge: DataFrame, limit: int) -> DataFrame:
     """Of each path its first chunks, by line."""
     w = Window.partitionBy("path").orderBy("start_line", "id")

@@ -62,6 +62,54 @@ def patterns(cases: DataFrame) -> DataFrame:
     return cases.groupBy(F.concat(one("hit1"), one("hit3"), one("hit5")).alias("pattern")).agg(F.count("*").alias("n"))
 
 
+def gold_ranks(listed: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, at: where the list (query_id, id, rank) has the gold; null where it doesn't."""
+    found = listed.join(gold, "query_id").filter(F.col("id") == F.col("gold")).groupBy("query_id").agg(F.min("rank").alias("at"))
+    return gold.select("query_id").join(found, "query_id", "left")
+
+
+def recall_ceilings(listed: DataFrame, cases: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """Kind, n: how often a longer list has the gold, within each cut, and the same of cases (query_id, hit5) that missed it."""
+    j = gold_ranks(listed, gold).join(cases.select("query_id", "hit5"), "query_id")
+    within = [("gold_listed", F.col("at").isNotNull()), *((f"gold_listed@{c}", F.col("at") <= c) for c in cuts), ("gold_not_listed", F.col("at").isNull())]
+    missed = [(f"missed_{k}", c & ~F.col("hit5")) for k, c in within]
+    g = j.agg(*[F.count_if(c).alias(k) for k, c in within + missed])
+    return g.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("n")) for k, _ in within + missed])).alias("x")).select("x.*")
+
+
+def miss_ranks(listed: DataFrame, cases: DataFrame, gold: DataFrame) -> DataFrame:
+    """Of missed cases whose gold is in the longer list: cases, mean, least, median (the upper one) and greatest rank of it."""
+    w = Window.orderBy("at")
+    r = gold_ranks(listed, gold).join(cases.filter(~F.col("hit5")).select("query_id"), "query_id").filter("at is not null")
+    by_rank = r.groupBy("at").agg(F.count("*").alias("n"))  # as many rows as the list has places
+    run = by_rank.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    half = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("at"))).alias("median")
+    return run.agg(F.sum("n").alias("cases"), (F.sum(F.col("at") * F.col("n")) / F.sum("n")).alias("mean"), F.min("at").alias("least"), half, F.max("at").alias("greatest"))
+
+
+def opportunities(ours: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """Pattern, n: which systems hit (by their cases' hit5) how often; `none` where none does."""
+    j = ours.select("query_id", F.when(F.col("hit5"), "ours").alias("s0"))
+    for k, (name, cases) in enumerate(others.items(), 1):
+        j = j.join(cases.select("query_id", F.when(F.col("hit5"), name).alias(f"s{k}")), "query_id")
+    who = F.concat_ws(", ", *[f"s{k}" for k in range(len(others) + 1)])
+    return j.groupBy(F.when(who == "", "none").otherwise(who).alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def feature_deltas(candidates: DataFrame, cases: DataFrame, gold: DataFrame, features: list[str]) -> DataFrame:
+    """Feature, delta: over missed cases the mean of the gold's feature less the first candidate's.  candidates: query_id, id, rank, features."""
+    missed = cases.filter(~F.col("hit5")).select("query_id")
+    g = candidates.join(gold, "query_id").filter(F.col("id") == F.col("gold")).select("query_id", *[F.col(f).alias(f"g_{f}") for f in features])
+    top = candidates.filter("rank = 1").select("query_id", *features)
+    d = g.join(top, "query_id").join(missed, "query_id").agg(*[F.avg(F.col(f"g_{f}") - F.col(f)).alias(f) for f in features])
+    return d.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("delta")) for f in features])).alias("x")).select("x.*").filter("delta is not null")
+
+
+def metric_deltas(after: DataFrame, before: DataFrame) -> DataFrame:
+    """H19.  Both: metric, value.  metric, delta."""
+    return after.join(before.select("metric", F.col("value").alias("was")), "metric").select("metric", (F.col("value") - F.col("was")).alias("delta"))
+
+
 def gates(metrics: DataFrame, limits: list[tuple[str, str, float]], baseline: DataFrame | None = None) -> DataFrame:
     """V04.  metrics (and baseline): metric, value.  limits: (metric, kind, bound), kind min, max or delta (over the baseline)."""
     g = metrics.sparkSession.createDataFrame(limits, "metric string, kind string, bound double")

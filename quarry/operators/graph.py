@@ -25,17 +25,52 @@ def suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """J05.  edges: path, line, candidates (ordered list of paths); files: path.
+def resolve_imports(edges: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """J05.  edges: path, line, candidates (ordered list of paths); files: path.  `key` and line tell edges apart.
 
     Adds target_path: of the first candidate that meets any file the best one: exact
     before suffix, no test, shorter, then by name; null where none is met."""
-    c = edges.select("path", "line", F.posexplode("candidates").alias("cand_no", "key"))
+    c = edges.select(*dict.fromkeys((key, "path", "line")), F.posexplode("candidates").alias("cand_no", "key"))
     f = files.select(F.col("path").alias("target"), F.explode(suffixes(F.col("path"))).alias("key"))
     found = c.join(f, "key").filter(F.col("target") != F.col("path"))
     order = F.struct("cand_no", (F.col("key") != F.col("target")).cast("int").alias("by_suffix"), is_test_path(F.col("target")).cast("int").alias("test"), F.length("target").alias("size"), "target")
-    best = found.groupBy("path", "line").agg(F.min_by("target", order).alias("target_path"))
-    return edges.drop("candidates").join(best, ["path", "line"], "left")
+    best = found.groupBy(key, "line").agg(F.min_by("target", order).alias("target_path"))
+    return edges.drop("candidates").join(best, [key, "line"], "left")
+
+
+def file_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """J06.  edges: src, dst; path, other, direction: what these files bring in, and what brings them in."""
+    out = edges.select(F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("out").alias("direction"))
+    back = edges.select(F.col("dst").alias("path"), F.col("src").alias("other"), F.lit("in").alias("direction"))
+    return out.unionAll(back).join(paths.select("path").distinct(), "path", "left_semi")
+
+
+#: What a relation adds to a graph candidate's priority of 50.
+PRIORITIES = {"incoming": 15, "symbol_reference": 18, "symbol_definition": 22, "dependent_type": 26}
+
+
+def priority(path: Column, relation: Column) -> Column:
+    """And 20 for a test, -30 for a dependency."""
+    known = F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv])
+    return 50 + F.coalesce(F.try_element_at(known, relation), F.lit(0)) + F.when(is_test_path(path), 20).otherwise(0) - F.when(is_dependency_path(path), 30).otherwise(0)
+
+
+def merge_candidates(rows: DataFrame, limit: int, key: str = "path") -> DataFrame:
+    """U06.  rows: query_id, key, path, relation, reasons, evidence, confidence.  One row a key: greatest priority and confidence, all reasons and evidence; the first `limit` by priority, then path."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    g = rows.withColumn("priority", priority(F.col("path"), F.col("relation"))).groupBy(*dict.fromkeys(("query_id", key, "path"))).agg(F.max("priority").alias("priority"), F.max("confidence").alias("confidence"), every("reasons").alias("reasons"), every("evidence").alias("evidence"))
+    return ranked(g, F.desc("priority"), F.asc("path"), F.asc(key)).filter(F.col("rank") <= limit)
+
+
+def card_hits(cards: DataFrame, snippets: DataFrame) -> DataFrame:
+    """J11.  cards: path, line, rank, score; by snippet (path, start_line, end_line) the best rank and the best score, times 1.15."""
+    return in_ranges(cards, snippets).groupBy("path", "start_line", "end_line").agg(F.min("rank").alias("rank"), (1.15 * F.max("score")).alias("score"))
+
+
+def merge_commands(groups: list[DataFrame]) -> DataFrame:
+    """U08.  groups: command, confidence, in order of precedence; a command's first group wins, the best confidence in it."""
+    tagged = reduce(DataFrame.unionAll, [g.select("command", "confidence", F.lit(k).alias("group_no")) for k, g in enumerate(groups)])
+    return tagged.groupBy("command").agg(F.min(F.struct("group_no", -F.col("confidence"))).alias("b")).select("command", F.col("b.group_no").alias("group_no"), (-F.col("b.col2")).alias("confidence"))
 
 
 def in_degree(edges: DataFrame) -> DataFrame:

@@ -76,10 +76,9 @@ class Memory:
 
     def _reranked(self, found: DataFrame) -> DataFrame:
         """The reranker returns (id, place); both orders are fused with k = 20, missing places count as n + 1."""
-        n = F.count("*").over(Window.partitionBy("query_id"))
-        j = found.join(self.reranker(found).select("id", "place"), "id", "left").withColumn("place", F.coalesce("place", n + 1))
-        fused = 1 / (fixed.EXTERNAL_RRF_K + F.col("rank")) + 1 / (fixed.EXTERNAL_RRF_K + F.col("place"))
-        return R.ranked(j.withColumn("fusion", fused).drop("rank"), F.desc("fusion"), F.asc("id")).drop("place", "fusion")
+        other = self.reranker(found).select("id", "place").join(found.select("query_id", "id"), "id")
+        fused = R.external_fusion(found.select("query_id", "id", "rank"), other).select("query_id", "id", "rank")
+        return found.drop("rank").join(fused, ["query_id", "id"])
 
     def pack(self, prompt: str, mode: str = "", limit: int = 5, budget: int = packs.BUDGET) -> DataFrame:
         """Search, its graph neighbours, selection, budget."""

@@ -29,13 +29,49 @@ def points(row_columns: list[tuple[str, int]], token: Column, exact: int = EXACT
 def search(rows: DataFrame, queries: DataFrame, columns: list[tuple[str, int]], limit: int = 20) -> DataFrame:
     """By query the `limit` best rows; points of all its tokens add up; ties by path and line.
 
-    Rows meet tokens through the words of their own columns where those hold the token whole, and by
-    containment besides: queries are few, so their tokens are an array that each row is tested against,
-    and a row is kept once per query it meets."""
+    A row can hold a token only if it holds each three characters of it (two of a shorter one), so rows and tokens
+    meet by the rarest such piece of the token, and containment is tested after."""
     q = queries.select("query_id", F.slice(text.identifier_tokens(F.col("text")), 1, 16).alias("tokens"))
-    j = rows.join(F.broadcast(q), F.exists("tokens", lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), t) for c, _ in columns])))
-    score = F.aggregate("tokens", F.lit(0), lambda s, t: s + points(columns, t))
-    return top_k(j.withColumn("score", score).drop("tokens"), limit, F.desc("score"), F.asc("path"), F.asc("line"), F.asc(columns[0][0]))
+    asked = q.select("query_id", F.explode("tokens").alias("token")).distinct()
+    pieces = lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
+    cut = asked.select("query_id", "token", F.explode(F.array_distinct(pieces(F.col("token")))).alias("piece"))
+    low = F.array(*[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c, _ in columns])
+    grams = lambda n: F.flatten(F.transform(low, lambda x: F.when(F.length(x) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))))
+    own = rows.withColumn("row_no", F.monotonically_increasing_id())
+    held = rows.select(F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("piece"))
+    df = held.join(cut.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
+    keyed = cut.join(df, "piece").groupBy("query_id", "token").agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"))  # a token without a piece is in no row
+    met = own.withColumn("piece", F.explode(F.array_distinct(F.concat(grams(2), grams(3))))).join(keyed, "piece")
+    hit = met.filter(reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.col("token")) for c, _ in columns]))
+    one = F.first(F.struct(*rows.columns)).alias("r")
+    scored = hit.withColumn("score", points(columns, F.col("token"))).groupBy("query_id", "row_no").agg(F.sum("score").alias("score"), one)
+    return top_k(scored.select("query_id", "r.*", F.col("score").cast("int").alias("score")), limit, F.desc("score"), F.asc("path"), F.asc("line"), F.asc(columns[0][0]))
+
+
+#: What a token in a column counts for.
+SYMBOL_FIELDS = {"name": 8.0, "kind": 1.0, "signature": 4.0, "path": 1.0, "docstring": 2.0}
+
+
+def field_hits(rows: DataFrame, queries: DataFrame, weights: dict[str, float], limit: int = 20, ties: tuple[str, ...] = ("path", "line")) -> DataFrame:
+    """By query the `limit` best rows by the weighted number of its tokens in each column."""
+    weighed = lambda w: lambda t: F.struct(t.alias("token"), F.lit(float(w)).alias("w"))
+    bag = F.concat(*[F.transform(text.tokens(F.col(c)), weighed(w)) for c, w in weights.items()])
+    asked = queries.select("query_id", F.explode(text.primary_tokens(F.col("text"))).alias("token"))
+    held = rows.select(*ties, F.explode(bag).alias("x")).select(*ties, "x.token", "x.w").groupBy(*ties, "token").agg(F.sum("w").alias("w"))
+    return top_k(held.join(asked, "token").groupBy("query_id", *ties).agg(F.sum("w").alias("score")), limit, F.desc("score"), *[F.asc(c) for c in ties])
+
+
+def prefix_query(tokens: Column) -> Column:
+    """The tokens as a search for what begins with any of them."""
+    return F.array_join(F.transform(tokens, lambda t: F.concat(t, F.lit("*"))), " OR ")
+
+
+def prefix_hits(rows: DataFrame, queries: DataFrame, most: int = 24) -> DataFrame:
+    """P06.  rows: id, text; queries: query_id, text: query_id, id, tokens (of the row that begin with one of the query's), by the beginnings of tokens up to `most` characters."""
+    begins = lambda t: F.transform(F.sequence(F.lit(2), F.least(F.length(t), F.lit(most))), lambda n: F.substring(t, F.lit(1), n))
+    held = rows.select("id", F.explode(text.primary_tokens(F.col("text"))).alias("token")).select("id", "token", F.explode(begins(F.col("token"))).alias("begin"))
+    asked = queries.select("query_id", F.explode(text.primary_tokens(F.col("text"))).alias("begin"))
+    return held.join(asked, "begin").groupBy("query_id", "id").agg(F.count_distinct("token").alias("tokens"))
 
 
 def search_cards(cards: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:

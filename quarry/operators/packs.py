@@ -30,6 +30,14 @@ def expand_mode(query: str, mode: str) -> str:
     return " ".join([query, *(w for w in MODES.get(mode, "").split() if w not in own)]).strip()
 
 
+def mode_query(query: Column, mode: Column) -> Column:
+    """F25 by row: expand_mode as a column."""
+    known = F.create_map(*[F.lit(x) for k, v in MODES.items() for x in (k, v)])
+    own = F.split(F.lower(query), r"\s+")
+    more = F.filter(F.split(F.coalesce(F.try_element_at(known, mode), F.lit("")), " "), lambda w: (w != "") & ~F.array_contains(own, w))
+    return F.trim(F.array_join(F.concat(F.array(query), more), " "))
+
+
 def receipts(snippets: DataFrame, queries: DataFrame) -> DataFrame:
     """K02.  snippets: query_id, id, rank, path, topic, text, score (lower is better).  Adds matched, evidence, reasons, confidence.
 

@@ -108,6 +108,14 @@ def fuse(ranks: dict[str, DataFrame], weights: dict[str, float], k: int = fixed.
     return reduce(DataFrame.unionAll, parts).groupBy("query_id", "id").agg(F.sum("part").alias("fusion"))
 
 
+def external_fusion(base: DataFrame, other: DataFrame, k: int = fixed.EXTERNAL_RRF_K) -> DataFrame:
+    """W11.  base: query_id, id, rank; other: query_id, id, place.  Both orders are fused; a row that the other lacks counts as one beyond the last."""
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    j = base.join(other.select("query_id", "id", "place"), ["query_id", "id"], "left").withColumn("place", F.coalesce("place", n + 1))
+    fused = F.round(1 / (k + F.col("rank")) + 1 / (k + F.col("place")), 12)
+    return ranked(j.withColumn("fusion", fused).withColumnRenamed("rank", "before"), F.desc("fusion"), F.asc("before"), F.asc("id"))
+
+
 def apply_fusion(scored: DataFrame, fusion: DataFrame, top: int = fixed.FUSION_TOP, scale: float = fixed.FUSION_SCALE) -> DataFrame:
     """Within the first `top` (lower scores are better), score -= scale * fusion / best fusion; then ordered anew."""
     r = ranked(scored, F.asc("score"), F.asc("id"), name="before").join(fusion, ["query_id", "id"], "left").withColumn("fusion", F.coalesce("fusion", F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,26 @@ def replace_by_path(old: DataFrame, new: DataFrame, key: str = "path", keep_vani
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
 
 
+def without(df: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
+    """The rows whose path isn't among those that go; rows without a path stay."""
+    return df.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def newest_stamp(df: DataFrame, key: str, stamp: str) -> DataFrame:
+    """A04."""
+    return df.groupBy(key).agg(F.max(stamp).alias(stamp))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Table, n."""
+    return reduce(DataFrame.unionAll, [t.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, t in tables.items()])
+
+
+def ensure_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """With each of these columns; those that were not there are null, of the type that is named."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in df.columns})
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], stamp: str = "content_hash") -> DataFrame:
     """New rows win; `changed` says whether the hash differs from before."""
     tagged = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -87,8 +87,7 @@ def chunks(language: str, data: bytes, most: int = MAX_BYTES) -> list[tuple[int,
     packed = out[:1]
     for x, y, d in out[1:]:
         px, py, pd = packed[-1]
-        small = len(pd) + len(d) <= most // 4 and py + 1 == x
-        if small:
+        if len(pd) + len(d) <= most and py + 1 == x:
             packed[-1] = (px, y, pd + d)
         else:
             packed.append((x, y, d))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.code import is_config_path
 from ..functions.fixed import CARD_WEIGHTS
 
 _ID = r"([A-Za-z_][A-Za-z0-9_]*)"
@@ -196,16 +197,13 @@ def import_table(files: DataFrame) -> DataFrame:
     return t.dropDuplicates(["path", "import_path", "line"])
 
 
-_CONFIG = r"(^|/)(\.env|Dockerfile|Makefile|package\.json|go\.mod)$|\.(ya?ml|toml|json|ini|cfg|conf|properties)$"
-
-
 def cards(files: DataFrame, symbols_: DataFrame, references_: DataFrame, imports_: DataFrame) -> DataFrame:
     """X11: kind, name, path, language, line, summary, weight; a projection of the other tables."""
     test = F.lower("name").startswith("test") | F.col("path").rlike(r"(^|/)tests?/|(^|/)test_|_test\.")
     s = symbols_.select(F.when(test, "test").otherwise("symbol").alias("kind"), "name", "path", "language", "line", F.concat_ws(" ", "signature", "docstring").alias("summary"))
     r = references_.select(F.lit("usage").alias("kind"), "name", "path", "language", "line", F.col("context").alias("summary"))
     i = imports_.select(F.lit("import").alias("kind"), F.col("import_path").alias("name"), "path", "language", "line", F.col("context").alias("summary"))
-    c = files.filter(F.col("path").rlike(_CONFIG)).select(F.lit("config").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "language", F.lit(1).alias("line"), F.col("content").alias("summary"))
+    c = files.filter(is_config_path(F.col("path"))).select(F.lit("config").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "language", F.lit(1).alias("line"), F.col("content").alias("summary"))
     weight = F.create_map(*[F.lit(x) for kv in CARD_WEIGHTS.items() for x in kv])
     u = s.unionByName(r).unionByName(i).unionByName(c).withColumn("summary", F.substring(F.regexp_replace("summary", r"\s+", " "), 1, 512))
     return u.dropDuplicates(["kind", "name", "path", "line"]).withColumn("weight", F.try_element_at(weight, F.col("kind")))

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import subprocess
 from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -54,6 +52,29 @@ def crawl(spark: SparkSession, root: str, options: Options | None = None, only:
     return f.filter(is_text(F.col("content"))).withColumn("content", F.decode("content", "UTF-8"))
 
 
+def context_load(files: DataFrame, most: int = 2 << 20) -> DataFrame:
+    """Path, content, taken: files by path until `most` bytes are reached; of the last one only what fits counts as taken.
+
+    Files without bytes are left out, so at most `most` rows come before the limit: the running sum never sees more."""
+    sized = files.select("path", "content", F.octet_length("content").alias("size")).filter("size > 0").orderBy("path").limit(most)
+    before = F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    fits = sized.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
+    return fits.select("path", "content", F.least(F.col("size"), most - F.col("before")).cast("bigint").alias("taken"))
+
+
+def vocabulary(loaded: DataFrame) -> DataFrame:
+    """The distinct words of 4 to 19 bytes."""
+    return loaded.select(F.explode(F.regexp_extract_all("content", F.lit("(?<![A-Za-z0-9_])([A-Za-z0-9_]{4,19})(?![A-Za-z0-9_])"), F.lit(1))).alias("word")).distinct()
+
+
+def forbidden_lines(files: DataFrame, patterns: list[tuple[str, str]], most: int = 2 << 20) -> DataFrame:
+    """Path, line, label, found: lines of texts of at most `most` bytes, without NUL bytes, that match a pattern; label, pattern of each."""
+    some = files.filter((F.octet_length("content") <= most) & ~F.contains(F.substring("content", 1, 2048), F.lit("\0")))
+    lines = some.select("path", F.posexplode(F.split("content", "\n")).alias("at", "found"))
+    labels = F.array_compact(F.array(*[F.when(F.col("found").rlike(p), F.lit(name)) for name, p in patterns]))
+    return lines.select("path", (F.col("at") + 1).alias("line"), F.explode(labels).alias("label"), F.trim("found").alias("found"))
+
+
 def ignore_patterns(lines: str) -> list[str]:
     return [x.strip() for x in lines.splitlines() if x.strip() and not x.strip().startswith("#")]
 
@@ -94,25 +115,39 @@ class Index:
 
     def stats(self) -> DataFrame:
         """A01."""
-        rows = [getattr(self, t).agg(F.lit(t).alias("table"), F.count("*").alias("n")) for t in self.TABLES]
-        return reduce(DataFrame.unionAll, rows)
+        return store.row_counts({t: getattr(self, t) for t in self.TABLES})
 
 
 def build(files: DataFrame, options: Options | None = None) -> Index:
     """Every table of these files; imports are resolved once, against all of them."""
     o = options or Options()
     knowledge = chunks.chunk(files, o.max_chunk_bytes).join(files.select("path", F.col("mtime").alias("source_mtime")), "path")
-    s, r, raw = extract.symbol_table(files), extract.reference_table(files), extract.import_table(files)
-    targets = graph.resolve_imports(raw.select("path", "line", "candidates"), files.select("path"))
-    i = raw.drop("candidates").join(targets, ["path", "line"], "left").withColumn("target_path", F.coalesce("target_path", F.lit("")))
+    s, r = extract.symbol_table(files), extract.reference_table(files)
+    i = resolved(extract.import_table(files), files)
     return Index(files.select("path", "language", "size", "mtime"), knowledge, s, r, i, extract.cards(files, s, r, i))
 
 
+def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Imports with target_path, among these files; the candidates stay, to be resolved again when files come and go."""
+    raw = imports.drop("target_path")
+    edges = raw.select("path", "line", "import_path", "candidates")
+    numbered = edges.select(F.concat_ws("\0", "path", "import_path").alias("edge"), "path", "line", "candidates")
+    targets = graph.resolve_imports(numbered, files.select("path"), "edge").select("edge", "line", "target_path").distinct()
+    keyed = raw.withColumn("edge", F.concat_ws("\0", "path", "import_path"))
+    return keyed.join(targets, ["edge", "line"], "left").drop("edge").withColumn("target_path", F.coalesce("target_path", F.lit("")))
+
+
 def refresh(old: Index, files: DataFrame, options: Options | None = None) -> Index:
-    """Only new and changed files are read again; vanished ones go.  Imports are resolved anew."""
+    """Only new and changed files are read again; vanished ones go.  All imports, those of files that stay too, are resolved against all current files.
+
+    Nothing is done where not one indexed path is left, as when the folder isn't there."""
+    if not old.files.join(files.select("path"), "path", "left_semi").limit(1).count() and old.files.limit(1).count():
+        return old
     diff = store.snapshot_diff(old.files, files.select("path", "mtime"), "path", "mtime")
     stale = diff.filter("status in ('new', 'changed')").select("path")
     gone = diff.filter("status <> 'same'").select("path")
     fresh = build(files.join(stale, "path", "left_semi"), options)
     merged = [getattr(old, t).join(gone, "path", "left_anti").unionByName(getattr(fresh, t), allowMissingColumns=True) for t in Index.TABLES]
-    return Index(*merged)
+    named = dict(zip(Index.TABLES, merged))
+    named["imports"] = resolved(named["imports"], named["files"])
+    return Index(**named)

@@ -39,21 +39,37 @@ def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
 
 
 class Upserts:
-    """A keyed table, kept as snapshots: each batch is merged with the last one and written beside it."""
+    """A keyed table, kept as snapshots: each batch is merged with the last one and written beside it.
 
-    def __init__(self, spark: SparkSession, home: str, keys: list[str], schema: str):
-        self.spark, self.home, self.keys, self.schema, self.version = spark, home, keys, schema, -1
+    Of a key's rows in a batch that with the greatest `stamp` counts.  After a restart the last whole snapshot in `home` goes on;
+    a batch that comes again, as after a lost commit, is merged with the snapshot before it."""
 
-    def table(self) -> DataFrame:
-        if self.version < 0:
+    def __init__(self, spark: SparkSession, home: str, keys: list[str], schema: str, stamp: str | None = None):
+        self.spark, self.home, self.keys, self.schema = spark, home, keys, schema
+        self.stamp = stamp or [c.split()[0] for c in schema.split(", ") if c.split()[0] not in keys][0]
+
+    def versions(self) -> list[int]:
+        """Of the snapshots that were written as a whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/v*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
+
+    def table(self, before: int | None = None) -> DataFrame:
+        known = [v for v in self.versions() if before is None or v < before]
+        if not known:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.home}/v{self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.home}/v{known[-1]}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        fresh = store.latest(batch, self.keys, [c for c in batch.columns if c not in self.keys][0])
-        merged = store.replace_by_path(self.table(), fresh, self.keys[0]) if len(self.keys) == 1 else self.table().join(fresh.select(*self.keys), self.keys, "left_anti").unionByName(fresh)
+        fresh = store.latest(batch, self.keys, self.stamp)
+        old = self.table(number)
+        same = [old[k].eqNullSafe(fresh[k]) for k in self.keys]
+        merged = old.join(fresh, same, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
         merged.write.mode("overwrite").parquet(f"{self.home}/v{number}")
-        self.version = number
+        for v in self.versions():
+            if v < number - 1:  # the one before stays, for a batch that comes again
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/v{v}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def feedback_log(messages: DataFrame) -> DataFrame:
