@@ -72,11 +72,6 @@ def _callers_of(d, r):
     return G.callers(d, r).select("def_name", "def_path", "def_language", "path", "line", "place")
 
 
-def callers(spark, sf):
-    """J03 of one definition in ten."""
-    return _callers_of(symbols(spark, sf).filter("line % 10 = 0"), references(spark, sf))
-
-
 def callers_all(spark, sf):
     """J03 of every definition."""
     return _callers_of(symbols(spark, sf), references(spark, sf))
@@ -86,11 +81,6 @@ def _definitions_of(r, d):
     return G.definitions_of(r, d).select("ref_name", "ref_path", "ref_line", "kind", "path", "line", "place")
 
 
-def definitions(spark, sf):
-    """J04 of one call site in ten."""
-    return _definitions_of(references(spark, sf).filter("line % 10 = 0"), symbols(spark, sf))
-
-
 def definitions_all(spark, sf):
     """J04 of every call site."""
     return _definitions_of(references(spark, sf), symbols(spark, sf))
@@ -122,11 +112,6 @@ def _affected_by(spark, sf, changed):
     return a.select("path", "confidence", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def affected_paths(spark, sf):
-    """K12 of one file in ninety-seven."""
-    return _affected_by(spark, sf, files(spark, sf).filter("k % 97 = 0"))
-
-
 def affected_paths_all(spark, sf):
     """K12 with every file changed; there are fewer paths than the limit, 25 brands with 3000 at most."""
     return _affected_by(spark, sf, files(spark, sf))
@@ -160,7 +145,7 @@ def repo_map(spark, sf):
     return g.select("path", "n", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("names"))
 
 
-_ALL = (html_links, html_imports, link_in_degree, import_resolution, import_neighbours, callers, callers_all, definitions, definitions_all, line_range_join, related_scores, affected_paths, affected_paths_all, call_sites, cards_union, repo_map)
+_ALL = (html_links, html_imports, link_in_degree, import_resolution, import_neighbours, callers_all, definitions_all, line_range_join, related_scores, affected_paths_all, call_sites, cards_union, repo_map)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _PATH = "'src/' || lower(replace(p_brand, '#', '_')) || '/' || case when p_partkey % 9 = 0 then 'test_' else '' end || 'm' || p_partkey % 1500 || '.py'"
@@ -190,17 +175,17 @@ SQL = {
 s as (select distinct {_PATH} seed from part where p_partkey % 100 = 0),
 o as (select seed, dst node, 1 depth from s join b on seed = src), t as (select distinct seed, b.dst node, 2 depth from o join b on o.node = b.src)
 select seed, node, min(depth) depth from (select * from o union all select * from t) where seed <> node group by seed, node""",
-    "callers": f"""with d as ({_SYM}), r as ({_REF}),
-j as (select d.name def_name, d.path def_path, d.lang def_language, r.path, r.line, r.lang from d join r on lower(d.name) = lower(r.name) where d.line % 10 = 0 and d.path <> r.path)
+    "callers_all": f"""with d as ({_SYM}), r as ({_REF}),
+j as (select d.name def_name, d.path def_path, d.lang def_language, r.path, r.line, r.lang from d join r on lower(d.name) = lower(r.name) where d.path <> r.path)
 select def_name, def_path, def_language, path, line, row_number() over (partition by def_name, def_path order by lang <> def_language, path, line) place from j qualify place <= 8""",
-    "definitions": f"""with d as ({_SYM}), r as ({_REF}),
-j as (select r.name ref_name, r.path ref_path, r.line ref_line, d.kind, d.path, d.line, d.lang <> r.lang o from r join d on lower(d.name) = lower(r.name) where r.line % 10 = 0 and d.path <> r.path)
+    "definitions_all": f"""with d as ({_SYM}), r as ({_REF}),
+j as (select r.name ref_name, r.path ref_path, r.line ref_line, d.kind, d.path, d.line, d.lang <> r.lang o from r join d on lower(d.name) = lower(r.name) where d.path <> r.path)
 select ref_name, ref_path, ref_line, kind, path, line, row_number() over (partition by ref_name, ref_path, ref_line order by o, case kind when 'class' then 0 when 'type' then 0 when 'function' then 1 when 'method' then 2 else 3 end, path, line) place from j qualify place <= 8""",
     "line_range_join": """with l as (select doc_id, unnest(string_split(text, chr(10))) b, unnest(range(1, len(string_split(text, chr(10))) + 1)) n from documents),
 g as (select doc_id, unnest(range(1, (len(string_split(text, chr(10))) + 1)::bigint, 5)) s from documents)
 select g.doc_id, s start_line, count(*) lines, sum(length(b))::bigint chars from l join g on l.doc_id = g.doc_id and n between s and s + 7 group by g.doc_id, s""",
     "related_scores": f"with {_SIGN} select source_path, path, score, rank from rel where rank <= 5",
-    "affected_paths": f"""with {_SIGN}, c as (select distinct {_PATH} path from part where p_partkey % 97 = 0),
+    "affected_paths_all": f"""with {_SIGN}, c as (select distinct {_PATH} path from part),
 n as (select unnest(flatten(list_transform(['test_' || st || '.py', st || '_test.py', st || '.test.py', st || '.spec.py'], lambda x: [d || '/' || x, 'tests/' || x, 'test/' || x]))) path from (select {_DIR} d, {_STEM} st from c)),
 a as (select path, 0.95 k, 'changed test' z from c where {_TEST.replace('{x}', 'path')} union all select path, 0.85, 'named after a changed file' from n where path in (select path from f)
  union all select path, case when {_TEST.replace('{x}', 'path')} then 0.78 else 0.60 end, case when {_TEST.replace('{x}', 'path')} then 'related test' else 'related file' end from rel where rank <= 5 and source_path in (select path from c))
@@ -213,7 +198,3 @@ select kind, count(*) n, count(distinct name) names, round(sum(case kind when 's
 r as (select s.path, n, line, name from s join t using (path) qualify row_number() over (partition by s.path order by line) <= 25)
 select path, n, string_agg(name, ',' order by line, name) as names from r group by path, n""",
 }
-
-SQL["callers_all"] = SQL["callers"].replace("d.line % 10 = 0 and ", "")
-SQL["definitions_all"] = SQL["definitions"].replace("r.line % 10 = 0 and ", "")
-SQL["affected_paths_all"] = SQL["affected_paths"].replace(" where p_partkey % 97 = 0", "")

@@ -68,13 +68,8 @@ def _frames_of(p):
     return f.select("failure_id", "at", "path", "line_no", "function", F.col("frame_rank").cast("bigint").alias("frame_rank"))
 
 
-def repair_frames(spark, sf):
-    """X12, K08 over failure outputs made of parts, one part in twenty."""
-    return _frames_of(read(spark, sf, "part").filter("p_partkey % 20 = 0"))
-
-
 def repair_frames_all(spark, sf):
-    """The same over every part."""
+    """X12, K08 over failure outputs made of every part."""
     return _frames_of(read(spark, sf, "part"))
 
 
@@ -87,7 +82,7 @@ def stream_incremental_counts(spark, sf):
     return sink.table().select(F.date_format("hour", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n")
 
 
-_ALL = (receipts, context_pack, quality_score, qnd_topk, lcs_overlap, byte_chunks, text_sniff_filter, repair_frames, repair_frames_all, stream_incremental_counts)
+_ALL = (receipts, context_pack, quality_score, qnd_topk, lcs_overlap, byte_chunks, text_sniff_filter, repair_frames_all, stream_incremental_counts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _STOP = P.toks("q_text")
@@ -111,9 +106,7 @@ s as (select query_id, least(greatest(0.18::double + 0.18::double * floor(least(
  + 0.14::double * least(floor(e / n * 100 + 0.5) / 100 / 2, 1) + case when not tr then 0.08::double else 0 end - case when v > 0 and v >= n - t - v then 0.10::double else 0 end, 0), 1) x from g)
 select query_id, floor((x + 1e-9) * 100 + 0.5) / 100 score, case when x >= 0.75 then 'strong' when x >= 0.55 then 'usable' when x >= 0.35 then 'thin' else 'weak' end grade from s""",
     "text_sniff_filter": "select doc_id, doc_id % 9 <> 0 or strlen(text) >= 8192 is_text from documents",
-    "repair_frames": """with p as (select p_partkey k, p_brand b, p_size s from part where p_partkey % 20 = 0)
+    "repair_frames_all": """with p as (select p_partkey k, p_brand b, p_size s from part)
 select k failure_id, 1 as "at", 'src/' || b || '.py' path, s line_no, 'run' as function, 53::bigint frame_rank from p union all select k, 2, 'tests/test_x.py', 3, 'test_x', 29 from p""",
     "stream_incremental_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') as hour, event_type, count(*) n from events group by 1, 2",
 }
-
-SQL["repair_frames_all"] = SQL["repair_frames"].replace(" where p_partkey % 20 = 0", "")
