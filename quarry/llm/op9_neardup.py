@@ -247,7 +247,7 @@ def _firsts(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("near_duplicate_id")) & (_digest() == F.col("near_duplicate_digest"))
     gone = written(own(judged.filter("key <> first")), "gone")
     twice = written(own(judged.filter("key = first and c > 1")), "twice")  # rows alike in both
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")  # as it is for large tables at every size
     if twice.limit(1).count():
         once = kept.join(twice, same).dropDuplicates(["near_duplicate_id", "near_duplicate_digest"]).drop("near_duplicate_id", "near_duplicate_digest")
         kept = kept.join(twice, same, "left_anti").unionByName(once)
