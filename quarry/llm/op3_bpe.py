@@ -28,8 +28,8 @@ from .common import pick, table, text_slices
 from .pretok import Cache, pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps; in the pipeline, where workers hold other stages' data too, half as many.
+CACHE_WORDS, STAGE_CACHE_WORDS = 500_000, 250_000
 #: Bytes of words that are encoded together.
 GROUP_BYTES = 1 << 18
 #: Ids that are written out at a time.
@@ -112,7 +112,7 @@ class Encoder:
             buckets[r] = hold(places[edge[k] : edge[k + 1]])
             mark(r)
         del places
-        none = hold(np.zeros(0, np.int32))
+        none, small = hold(np.zeros(0, np.int32)), n <= GROUP_BYTES
         while buckets:
             for k, x in enumerate(w2):  # find first set, level by level
                 if x:
@@ -147,8 +147,7 @@ class Encoder:
                         if q in buckets:
                             buckets[q].append(i)
                         else:
-                            buckets[q] = none[:]
-                            buckets[q].append(i)
+                            buckets[q] = [i] if small else array("i", (i,))
                             mark(q)
                             lower |= q < r
                 h = before[i]
@@ -158,8 +157,7 @@ class Encoder:
                         if q in buckets:
                             buckets[q].append(h)
                         else:
-                            buckets[q] = none[:]
-                            buckets[q].append(h)
+                            buckets[q] = [h] if small else array("i", (h,))
                             mark(q)
                             lower |= q < r
                 if lower:  # only for ranks that no training gives: a new pair goes before the rest of this bucket
@@ -175,7 +173,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def _encoder(name: str) -> tuple[Encoder, Cache]:
+def _encoder(name: str, cache_words: int = CACHE_WORDS) -> tuple[Encoder, Cache]:
     """Words' ids are kept as bytes of 32-bit numbers, or 16-bit ones where they fit: a third of what a list takes."""
     import public_tokenizers
 
@@ -187,7 +185,7 @@ def _encoder(name: str) -> tuple[Encoder, Cache]:
         found = encoder.encode_many([w.encode() for w in words])
         return zip(words, (array(encoder.code, ids).tobytes() if isinstance(ids, list) else ids.astype(encoder.code).tobytes() for ids in found))
 
-    return encoder, Cache(make, CACHE_WORDS)
+    return encoder, Cache(make, cache_words)
 
 
 def _ids(encoder: Encoder, cache: Cache, words: list[str]) -> np.ndarray:
@@ -218,11 +216,11 @@ def _schema(docs: DataFrame, rest: str) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {rest}"
 
 
-def digests(docs: DataFrame, name: str = RANKS) -> DataFrame:
+def digests(docs: DataFrame, name: str = RANKS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text, then decodes its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = _encoder(name)
+        encoder, cache = _encoder(name, cache_words)
         piece, decimal = encoder.bytes.__getitem__, encoder.decimals.__getitem__
         for b in text_slices(batches, "text", 2 << 20):
             n, ids_sha, text_sha = [], [], []
@@ -245,7 +243,7 @@ def digests(docs: DataFrame, name: str = RANKS) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For the pipeline's end: what op3's query returns, over the documents left."""
-    return digests(docs)
+    return digests(docs, cache_words=STAGE_CACHE_WORDS)
 
 
 def query(spark, sf_dir) -> DataFrame:
