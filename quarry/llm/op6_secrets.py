@@ -37,14 +37,14 @@ CLASSES = [
     ("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.01),
     ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.76),
 ]
-#: Runs that match any of these are let be.
+#: Runs that match any of these are let be.  No group is repeated without bound here: the pattern engine recurses once a repetition.
 ALLOW = [
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|lorem|localhost|your[_-]",
     r"(?i)0123456789|abcdefghij|(.)\1{7}",
     r"^[^0-9]+$",
     r"^[0-9/_=+-]+$",
     r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$",
-    r"^/?([A-Za-z_-]*/)+[A-Za-z0-9_-]{0,19}$",
+    r"^[A-Za-z_/-]*/[A-Za-z0-9_-]{0,19}$",
 ]
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"

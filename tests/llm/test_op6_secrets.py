@@ -102,3 +102,21 @@ def test_stage_leaves_own_columns(spark, docs):
     d = docs([(1, "password = hunter22 and more"), (2, "clean")])
     out = S.stage(spark, d, "")
     assert out.columns == d.columns and all(x.base == x.spans == 7 for x in out.collect())
+
+
+def test_no_pattern_recurses():
+    """Java's matcher recurses once for each repetition of a group, so none may repeat without bound."""
+    for p in [*(x[1] for x in [*S.RULES, *S.CLASSES]), *S.ALLOW]:
+        assert not re.search(r"\)([*+]|\{\d+,\})", p.replace(r"\)", "")), p
+
+
+def test_a_million_path_segments(spark, docs):
+    path = "a/" * 1_000_000
+    key = "Zk9" + "qW3rT5yU8iO0pA2sD4fG6hJ1"
+    rows = [(1, path + "end"), (2, path + key), (3, "/" * 1_000_000), (4, "see -/_/b-c/" * 3 + "d_9 and /usr/local/share/doc")]
+    got = {x.doc_id: x.spans for x in S.digest(S.scan(docs(rows))).collect()}
+    assert got[1] == got[3] == got[4] == ""
+    spans = brute("a/" * 50 + key)[1]
+    assert got[2] == written([(a + len(path) - 100, k, b + len(path) - 100) for a, k, b in spans]) != ""
+    masked = {x.doc_id: x.text for x in S.stage(spark, docs(rows), "").collect()}
+    assert masked[1] == rows[0][1] and masked[2].endswith(S.MASK) and masked[3] == rows[2][1] and masked[4] == rows[3][1]

@@ -76,14 +76,14 @@ def test_cases(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
     long = " ".join(f"w{k}" for k in range(200_000))
-    rows = [(1, "river runs past old stone houses while people carry bread"), (2, "river runs past old stone houses while people carry bread"), (None, "river runs past old stone houses while people carry bread"), (None, None), (3, ""), (4, long), (4, long), (5, "x" * 1_000_000), (6, "one passage of the test that nobody may train on by any means"), (7, "password = hunter2222 is here")]
+    rows = [(1, "river runs past old stone houses while people carry bread"), (2, "river runs past old stone houses while people carry bread"), (None, "river runs past old stone houses while people carry bread"), (None, None), (3, ""), (4, long), (4, long), (5, "x" * 1_000_000), (6, "one passage of the test that nobody may train on by any means"), (7, "password = hunter2222 is here"), (8, "a/" * 1_000_000 + "end")]
     d = docs(rows).withColumn("lang", F.when(F.col("doc_id") != 3, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") != 4, F.col("source"))).withColumn("near_duplicate_id", F.lit("own"))
     spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([("b", "passage of the test that nobody may train on by any"), (None, "never seen at all"), ("c", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted([(r.doc_id, r.decoded_sha256) for r in P.run(spark, str(tmp_path)).collect()], key=str)
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    want = [(1, sha(rows[0][1])), (None, sha("")), (3, sha("")), (4, sha(long)), (5, sha(rows[7][1])), (7, sha("[SECRET] is here"))]
+    want = [(1, sha(rows[0][1])), (None, sha("")), (3, sha("")), (4, sha(long)), (5, sha(rows[7][1])), (7, sha("[SECRET] is here")), (8, sha(rows[-1][1]))]
     assert got == sorted(want, key=str)
     at = d
     for _, f in P.STAGES[:-1]:
