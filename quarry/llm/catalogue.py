@@ -17,6 +17,9 @@ for _name in (
     "op8_shards",
     "op9_neardup",
     "op10_counts",
+    "op11_packing",
+    "op12_sort_means",
+    "op13_merkle",
 ):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
