@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import scan
+
 MAX_BYTES, OVERLAP = 64 << 10, 0.2
 
 
@@ -44,37 +45,33 @@ def windows(data: bytes, most: int = MAX_BYTES) -> Iterator[tuple[int, int, byte
         at = following
 
 
-_OPENING = re.compile(rb"^(?:export\s+|public\s+|pub\s+|private\s+|protected\s+|static\s+|abstract\s+|final\s+|async\s+|default\s+)*(?:class|def|func|function|fn|fun|type|interface|struct|enum|trait|impl|module|object)\b")
-
-
-def spans(language: str, data: bytes) -> list[int]:
-    """Numbers (from 0) of the lines where top-level declarations begin, decorators and comments above included."""
-    lines = data.split(b"\n")
+def spans(language: str, data: bytes) -> list[tuple[int, int]]:
+    """(first line, last line) of top-level items; none where the text can't be read."""
     if language == "py":
         try:
-            tree = ast.parse(data)
-        except (SyntaxError, ValueError):
-            tree = None
-        if tree is not None:
-            return sorted({min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1 for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))})
-    out = []
-    for k, line in enumerate(lines):
-        if _OPENING.match(line):
-            while k and re.match(rb"\s*(//|#|\*|/\*|@)", lines[k - 1]):
-                k -= 1
-            out.append(k)
-    return sorted(set(out))
+            body = ast.parse(data).body
+            return [(min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]), n.end_lineno) for n in body]
+        except (SyntaxError, ValueError, RecursionError):
+            pass
+    if language not in scan.RULES:
+        return []
+    try:
+        return scan.spans(language, data.decode(errors="replace"))
+    except scan.Unreadable:
+        return []
 
 
 def chunks(language: str, data: bytes, most: int = MAX_BYTES) -> list[tuple[int, int, bytes]]:
-    """One chunk if it fits; else top-level blocks packed up to `most`; blocks that don't fit fall to windows."""
+    """One chunk if it fits; else top-level items, each with what is between it and the one before, packed up to `most`; those that
+    don't fit fall to windows."""
     if len(data) <= most:
         return [(1, _lines(data), data)]
-    starts = spans(language, data)
-    if not starts:
+    found = spans(language, data)
+    if not found:
         return list(windows(data, most))
-    lines = data.splitlines(keepends=True)
-    edges = sorted({0, *starts, len(lines)})
+    lines = [x + b"\n" for x in data.split(b"\n")]
+    lines[-1] = lines[-1][:-1]
+    edges = sorted({0, *(b for _, b in found if b < len(lines)), len(lines)})
     out: list[tuple[int, int, bytes]] = []
     for a, b in zip(edges, edges[1:]):
         block = b"".join(lines[a:b])

@@ -1,7 +1,7 @@
 """Symbols, references, imports and cards of source files.
 
-Python is parsed; other languages are read line by line with patterns of their
-family.  Patterns are ASCII.
+Python and Go are read by their grammars; of other languages declarations, calls and imports are
+found among the tokens, so what strings and comments hold is none.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,50 +17,101 @@ from pyspark.sql import functions as F
 
 from ..functions.code import is_config_path
 from ..functions.fixed import CARD_WEIGHTS
-
-_ID = r"([A-Za-z_][A-Za-z0-9_]*)"
-_MODIFIERS = r"^\s*(?:(?:export|default|public|private|protected|internal|static|abstract|final|open|pub|async|data)\s+)*"
-#: Family of languages: (kind, what follows the modifiers).
-PATTERNS = {
-    "go": [("function", r"func\s+(?:\([^)]*\)\s*)?" + _ID + r"\s*[(\[]"), ("type", r"type\s+" + _ID + r"\s+\w")],
-    "rb": [("class", r"class\s+([A-Za-z_][A-Za-z0-9_:]*)"), ("module", r"module\s+([A-Za-z_][A-Za-z0-9_:]*)"), ("method", r"def\s+(?:self\.)?([A-Za-z_][A-Za-z0-9_!?=]*)")],
-    "js": [("class", r"class\s+" + _ID), ("function", r"function\s*\*?\s*" + _ID + r"\s*\("), ("function", r"(?:const|let|var)\s+" + _ID + r"\s*=\s*(?:async\s*)?(?:\(|[A-Za-z_]\w*\s*=>|function\b)"), ("interface", r"interface\s+" + _ID), ("method", _ID + r"\s*\([^)]*\)\s*\{")],
-    "java": [("class", r"class\s+" + _ID), ("interface", r"interface\s+" + _ID), ("method", r"[A-Za-z0-9_<>\[\], ?]+\s+" + _ID + r"\s*\([^;]*$")],
-    "rs": [("function", r"fn\s+" + _ID), ("type", r"(?:struct|enum|trait)\s+" + _ID)],
-    "php": [("class", r"class\s+" + _ID), ("function", r"function\s+" + _ID + r"\s*\(")],
-    "swift": [("type", r"(?:class|struct|enum|protocol)\s+" + _ID), ("function", r"func\s+" + _ID)],
-    "kt": [("type", r"(?:class|interface|object)\s+" + _ID), ("function", r"fun\s+" + _ID + r"\s*\(")],
+from . import golang, scan
+
+#: What a declaration's keyword makes of the name after it, by language.
+KINDS = {
+    "go": {"func": "function", "type": "type"},
+    "rb": {"class": "class", "module": "module", "def": "method"},
+    "js": {"class": "class", "interface": "interface", "function": "function"},
+    "java": {"class": "class", "interface": "interface", "record": "class"},
+    "rs": {"fn": "function", "struct": "type", "enum": "type", "trait": "type"},
+    "php": {"class": "class", "function": "function"},
+    "swift": {"class": "type", "struct": "type", "enum": "type", "protocol": "type", "func": "function"},
+    "kt": {"class": "type", "interface": "type", "object": "type", "fun": "function"},
+    "py": {"class": "class", "def": "function"},
 }
-PATTERNS |= {k: PATTERNS["js"] for k in ("jsx", "ts", "tsx")} | {"cs": PATTERNS["java"], "scala": PATTERNS["kt"]}
-_COMPILED = {k: [(kind, re.compile(_MODIFIERS + p, re.ASCII)) for kind, p in v] for k, v in PATTERNS.items()}
-_NOT_NAMES = {"if", "for", "while", "switch", "return", "catch", "else", "new", "do", "with", "function"}
-_CALL = re.compile(r"\b" + _ID + r"\s*\(", re.ASCII)
+KINDS |= {k: KINDS["js"] for k in ("jsx", "ts", "tsx")} | {"cs": KINDS["java"], "scala": KINDS["kt"] | {"def": "function", "trait": "type"}}
+#: Languages whose methods have no keyword: a name, parameters and a body.
+_BARE = {"js", "jsx", "ts", "tsx", "java", "cs"}
+_NOT_NAMES = {"if", "for", "while", "switch", "return", "catch", "else", "new", "do", "with", "function", "super", "throw", "await", "typeof", "async", "fn", "fun", "import", "require", "require_once", "include", "include_once", "url", "sizeof"}
+_CALL = re.compile(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", re.ASCII)
 #: Names that say nothing about what is called.
 COMMON = set("append array assert bool boolean cap copy delete dict error format int len list log make object open panic print printf println set str string super tuple def class func function".split()) | _NOT_NAMES
 
 
 def symbols(language: str, text: str) -> list[tuple[str, str, str, int, str]]:
     """(name, kind, signature, line, docstring)."""
-    if language == "py":
-        found = _python_symbols(text)
-        if found is not None:
-            return found
-        language = "py-lines"
-    patterns = _COMPILED.get(language) or ([("class", re.compile(r"^\s*class\s+" + _ID)), ("function", re.compile(r"^\s*(?:async\s+)?def\s+" + _ID))] if language == "py-lines" else [])
-    lines, out = text.split("\n"), []
-    for k, line in enumerate(lines):
-        for kind, p in patterns:
-            m = p.match(line)
-            if m and m[1] not in _NOT_NAMES:
-                above, j = [], k - 1
-                while j >= 0 and re.match(r"\s*(//|#|\*|/\*)", lines[j]):
-                    above.insert(0, lines[j].strip(" \t/*#"))
-                    j -= 1
-                out.append((m[1], kind, line.strip().rstrip("{ "), k + 1, " ".join(filter(None, above))))
-                break
+    if language == "py" and (found := _python_symbols(text)) is not None:
+        return found
+    if language == "go" and (go := golang.read(text)):
+        return go.symbols
+    if language not in KINDS:
+        return []
+    lines, out, seen = text.split("\n"), [], set()
+    for name, kind, line in _declared(language, scan.code(language, text)):
+        if (name, line) in seen:
+            continue
+        seen.add((name, line))
+        above, j = [], line - 2
+        while j >= 0 and re.match(r"\s*(//|#|\*|/\*)", lines[j]):
+            above.insert(0, lines[j].strip(" \t/*#"))
+            j -= 1
+        out.append((name, kind, lines[line - 1].strip().rstrip("{ "), line, " ".join(filter(None, above))))
     return out
 
 
+def _declared(language: str, code: list[scan.Token]) -> Iterator[tuple[str, str, int]]:
+    """(name, kind, line) of what tokens declare."""
+    kinds, end = KINDS[language], scan.Token("end", "", 0, 0)
+    at = lambda k: code[k] if 0 <= k < len(code) else end
+    for k, t in enumerate(code):
+        if t.kind != "word" or at(k - 1).text in (".", "::", "import"):
+            continue
+        if t.text in kinds and at(k + 1).text not in kinds:
+            kind, j = kinds[t.text], k + 1
+            if language == "go" and at(j).text == "(":  # a receiver
+                kind, j = "method", _closing(code, j) + 1
+            j += at(j).text == "*"
+            while at(j + 1).text in (".", "::") and at(j + 2).kind == "word" and t.text not in ("class", "module"):
+                j += 2
+            if at(j).kind == "word" and at(j).text not in ("extends", "implements"):
+                last = j
+                while at(last + 1).text == "::" and at(last + 2).kind == "word":
+                    last += 2
+                name = "".join(x.text for x in code[j : last + 1])
+                if language == "rb" and at(last + 1).text in ("?", "!", "=") and at(last + 1).at == at(last).at + len(at(last).text) and kind == "method":
+                    name += at(last + 1).text
+                yield name, kind, t.line
+        elif language in _BARE and t.text in ("const", "let", "var") and at(k + 1).kind == "word":
+            j = k + 2
+            while j < len(code) and at(j).text not in ("=", ";") and at(j).line == t.line:
+                j += 1
+            if at(j).text == "=":
+                j += 1 + (at(j + 1).text == "async")
+                end_of = _closing(code, j) if at(j).text == "(" else j
+                if at(j).text == "function" or at(end_of + 1).text in ("=>", ":") and (at(j).text == "(" or at(j).kind == "word"):
+                    yield at(k + 1).text, "function", t.line
+        elif language in _BARE and at(k + 1).text == "(" and t.text not in _NOT_NAMES:
+            before, after = at(k - 1), at(_closing(code, k + 1) + 1)
+            typed = before.kind == "word" and before.text not in _NOT_NAMES or before.text in (">", "]", "?")
+            if language in ("java", "cs"):
+                if typed and after.text in ("{", "throws", "where", "=>", "", ":"):
+                    yield t.text, "method", t.line
+            elif (before.text in ("{", "}", ";", "", "*") or before.line < t.line or before.text in ("static", "async", "get", "set", "public", "private", "protected")) and (after.text == "{" or after.text == ":"):
+                yield t.text, "method", t.line
+
+
+def _closing(code: list[scan.Token], k: int) -> int:
+    """Where the bracket at k is closed; the last token, if nowhere."""
+    depth = 0
+    for j in range(k, len(code)):
+        depth += (code[j].kind == "open") - (code[j].kind == "close")
+        if depth <= 0:
+            return j
+    return len(code)
+
+
 def _python_symbols(text: str):
     try:
         tree = ast.parse(text)
@@ -84,57 +136,163 @@ def _python_symbols(text: str):
 
 def references(language: str, text: str) -> list[tuple[str, int, str]]:
     """(name, line, context), each name once a line, without the line's own definition and common names."""
-    own = {(s[3], s[0]) for s in symbols(language, text)}
-    mark, out = {"py": "#", "rb": "#", "css": None, "html": None}.get(language, "//"), []
-    for k, line in enumerate(text.split("\n"), 1):
-        code = line.split(mark, 1)[0] if mark else line
-        for name in dict.fromkeys(_CALL.findall(code)):
-            if (k, name) not in own and name.lower() not in COMMON:
-                out.append((name, k, line.strip()[:200]))
-    return out
-
-
-_QUOTED = r"""["'`]([^"'`]+)["'`]"""
-_IMPORTS = {
-    "js": [r"^\s*import\s+(?:(.*?)\s+from\s+)?" + _QUOTED, r"^\s*export\s+(.*?)\s+from\s+" + _QUOTED, r"(?:(?:const|let|var)\s+([^=]+?)\s*=\s*)?require\(\s*" + _QUOTED],
-    "go": [r"^\s*(?:import\s+)?(?:([A-Za-z_.]\w*)\s+)?" + r'"([^"]+)"\s*$'],
-    "rb": [r"^\s*()(?:require|require_relative|load)\s+" + _QUOTED],
-    "java": [r"^\s*()import\s+(?:static\s+)?([^;\s]+)"],
-    "cs": [r"^\s*using\s+(?:(\w+)\s*=\s*)?([^;\s]+)"],
-    "rs": [r"^\s*()(?:pub\s+)?use\s+([^;]+)", r"^\s*()extern\s+crate\s+(\w+)"],
-    "swift": [r"^\s*()(?:@testable\s+)?import\s+([\w.]+)"],
-    "php": [r"^\s*()use\s+([^;]+)", r"^\s*()(?:require|include)(?:_once)?\s*\(?\s*" + _QUOTED],
-    "css": [r"()@import\s+(?:url\(\s*)?[\"']?([^\"')\s;]+)"],
-    "html": [r"(?i)()<(?:script|img|source|iframe)[^>]+src=" + _QUOTED, r"(?i)()<link[^>]+href=" + _QUOTED],
-}
-_IMPORTS |= {k: _IMPORTS["js"] for k in ("jsx", "ts", "tsx")} | {k: _IMPORTS["java"] for k in ("kt", "scala")} | {k: _IMPORTS["css"] for k in ("scss", "less", "sass")} | {k: _IMPORTS["html"] for k in ("vue", "svelte", "astro")}
-_IMPORTS = {k: [re.compile(p, re.ASCII) for p in v] for k, v in _IMPORTS.items()}
+    own, lines = {(s[3], s[0]) for s in symbols(language, text)}, text.split("\n")
+    if language == "go" and (go := golang.read(text)):
+        called = go.calls
+    elif language in scan.RULES:
+        code = scan.code(language, text)
+        called = [(a.text, a.line) for a, b in zip(code, code[1:]) if a.kind == "word" and b.text == "("]
+    else:
+        called = [(name, k) for k, line in enumerate(lines, 1) for name in _CALL.findall(line)]
+    found = dict.fromkeys((name, k) for name, k in called if (k, name) not in own and name.lower() not in COMMON)
+    return [(name, k, lines[k - 1].strip()[:200]) for name, k in sorted(found, key=lambda x: x[1])]
 
 
 def imports(language: str, text: str) -> list[tuple[str, str, int, str]]:
     """(import path, alias, line, context)."""
-    out = []
+    lines = text.split("\n")
     if language == "py":
-        for k, line in enumerate(text.split("\n"), 1):
-            m = re.match(r"\s*from\s+(\.*[\w.]*)\s+import\s+(.+)", line, re.ASCII)
-            if m and m[1]:
-                out.append((m[1], m[2].strip(" ()\\"), k, line.strip()))
-            elif m := re.match(r"\s*import\s+([\w., ]+)", line, re.ASCII):
-                for part in m[1].split(","):
-                    name, _, alias = part.strip().partition(" as ")
-                    if name:
-                        out.append((name, alias, k, line.strip()))
-        return out
-    block = False
+        found = _python_imports(text)
+    elif language in ("html", "vue", "svelte", "astro"):
+        found = _tags(text)
+    elif language == "go" and (go := golang.read(text)):
+        found = go.imports
+    elif language in _STATEMENTS:
+        found = _STATEMENTS[language](scan.code(language, text), text)
+    else:
+        found = []
+    return [(path, alias, k, lines[k - 1].strip() if k <= len(lines) else "") for path, alias, k in found]
+
+
+def _python_imports(text: str) -> Iterator[tuple[str, str, int]]:
     for k, line in enumerate(text.split("\n"), 1):
-        if language == "go":
-            opens = bool(re.match(r"\s*import\s*\(", line))
-            if not (block or re.match(r"\s*import\s", line)):
+        words = line.replace("\t", " ").split("#")[0].strip()
+        if words.startswith("from ") and " import " in words:
+            module, _, names = words[5:].partition(" import ")
+            if module.strip() and re.fullmatch(r"\.*[\w.]*", module.strip()):
+                yield module.strip(), names.strip(" ()\\"), k
+        elif words.startswith("import "):
+            for part in words[7:].split(","):
+                name, _, alias = part.strip().partition(" as ")
+                if re.fullmatch(r"[\w.]+", name):
+                    yield name, alias.strip(), k
+
+
+class _Tags(HTMLParser):
+    """Addresses that a page loads, by tag and attribute."""
+
+    LOADS = {"script": "src", "img": "src", "source": "src", "iframe": "src", "link": "href"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str, int]] = []
+
+    def handle_starttag(self, tag: str, attributes) -> None:
+        value = dict(attributes).get(self.LOADS.get(tag))
+        if value:
+            self.found.append((value, "", self.getpos()[0]))
+
+
+def _tags(text: str) -> list[tuple[str, str, int]]:
+    p = _Tags()
+    try:
+        p.feed(text)
+        p.close()
+    except AssertionError:  # of the parser, on declarations that are none
+        pass
+    return p.found
+
+
+def _bare(t: scan.Token) -> str:
+    return t.text.strip("\"'`")
+
+
+def _js_imports(code: list[scan.Token], text: str) -> Iterator[tuple[str, str, int]]:
+    """import … from "x"; import "x"; import("x"); export … from "x"; require("x")."""
+    for k, t in enumerate(code):
+        before = code[k - 1].text if k else ""
+        if t.text in ("import", "export") and before != ".":
+            for j in range(k + 1, min(len(code), k + 200)):
+                if code[j].kind == "string" and (code[j - 1].text == "from" or j == k + 1 and t.text == "import"):
+                    clause = text[code[k + 1].at : code[j - 1].at] if j > k + 1 else ""
+                    yield _bare(code[j]), " ".join(clause.split()).removeprefix("type ").strip(" {}"), t.line
+                    break
+                if code[j].text in (";", "=", "(") or code[j].kind == "string":
+                    break
+        if t.text in ("require", "import") and before != "." and k + 2 < len(code) and code[k + 1].text == "(" and code[k + 2].kind == "string":
+            j = k - 1
+            while j > 0 and code[j].line == t.line and code[j].text not in ("const", "let", "var"):
+                j -= 1
+            bound = text[code[j + 1].at : code[k - 1].at] if before == "=" and code[j].text in ("const", "let", "var") else ""
+            yield _bare(code[k + 2]), bound.strip(" {}"), t.line
+
+
+def _statements(*words: str, to: str = ";", skip: tuple[str, ...] = (), strings: tuple[str, ...] = ()):
+    """Statements that begin with one of the words, up to `to`, where the language has it, or the end of the line; after those of `strings` a
+    string is loaded."""
+
+    def read(code: list[scan.Token], text: str) -> Iterator[tuple[str, str, int]]:
+        for k, t in enumerate(code):
+            fresh = k == 0 or code[k - 1].line < t.line or code[k - 1].text in (";", "{", "}", "pub", "php", "@testable")
+            if t.kind != "word" or not fresh and t.text not in strings:
                 continue
-            block = (block or opens) and ")" not in line
-        for p in _IMPORTS.get(language, []):
-            out += [(m[2].strip(), (m[1] or "").strip(" {}"), k, line.strip()) for m in p.finditer(line)]
-    return out
+            if t.text in strings:
+                j = k + 1 + (k + 1 < len(code) and code[k + 1].text == "(")
+                if j < len(code) and code[j].kind == "string":
+                    yield _bare(code[j]), "", t.line
+            elif t.text in words:
+                j = k + 1
+                while j < len(code) and code[j].text in skip:
+                    j += 1
+                end = next((i for i in range(j, min(len(code), j + 500)) if code[i].text == to), j) if to else j
+                while end < len(code) and end <= j + 500 and code[end].text != ";" and code[end].line == t.line:
+                    end += 1
+                if end > j:
+                    path = " ".join(text[code[j].at : code[end - 1].at + len(code[end - 1].text)].split())
+                    alias = ""
+                    if " = " in path:
+                        alias, _, path = path.partition(" = ")
+                    if " as " in path and "{" not in path and t.text == "import":
+                        path, _, alias = path.partition(" as ")
+                    yield path, alias, t.line
+
+    return read
+
+
+def _css_imports(code: list[scan.Token], text: str) -> Iterator[tuple[str, str, int]]:
+    for k, t in enumerate(code):
+        if t.text in ("import", "use", "forward") and k and code[k - 1].text == "@":
+            for x in code[k + 1 : k + 5]:
+                if x.kind == "string":
+                    yield _bare(x), "", t.line
+                    break
+                if x.text not in ("url", "("):
+                    if code[k + 1].text == "url":
+                        yield re.split(r"[)\s]", text[x.at :], maxsplit=1)[0], "", t.line
+                    break
+
+
+_STATEMENTS = {
+    "go": lambda code, text: ((_bare(t), code[k - 1].text if k and code[k - 1].line == t.line and code[k - 1].text not in ("import", "(") else "", t.line) for k, t in enumerate(code) if t.kind == "string" and _in_go_imports(code, k)),
+    "rb": _statements(strings=("require", "require_relative", "load")),
+    "java": _statements("import", skip=("static",)),
+    "cs": _statements("using", skip=("static",)),
+    "rs": _statements("use"),
+    "swift": _statements("import", to="", skip=("class", "struct", "func", "enum", "protocol", "var", "let", "typealias")),
+    "kt": _statements("import", to=""),
+    "php": _statements("use", skip=("function", "const"), strings=("require", "require_once", "include", "include_once")),
+    "css": _css_imports,
+}
+_STATEMENTS |= {k: _js_imports for k in ("js", "jsx", "ts", "tsx")} | {"scala": _STATEMENTS["kt"]} | {k: _css_imports for k in ("scss", "less", "sass")}
+
+
+def _in_go_imports(code: list[scan.Token], k: int) -> bool:
+    """For Go that can't be read as a whole: whether a string is in an import."""
+    while k >= 0 and code[k].text != "import":
+        k -= 1
+        if k >= 0 and (code[k].kind == "close" or code[k].text in ("func", "var", "const", "type")):
+            return False
+    return k >= 0
 
 
 def candidates(language: str, path: str, target: str) -> list[str]:

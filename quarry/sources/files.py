@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, store
-from . import chunks, extract
+from . import chunks, extract, shared
 
 SKIP_DIRECTORIES = [".git", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "target"]
 SKIP_FILES = ["package-lock.json", "yarn.lock", "go.sum"]
 MAX_FILE_BYTES = 1 << 20
+#: Up to so many named files are opened one by one; of more, those found under the root are taken.
+NAMED = 10_000
 
 
 @dataclass
@@ -34,21 +37,40 @@ def is_text(content) -> F.Column:
     return ~pairs.rlike(r"(^| )00 ") & (control * 100 < 30 * F.greatest(F.least(F.octet_length(content), F.lit(8192)), F.lit(1)))
 
 
-def crawl(spark: SparkSession, root: str, options: Options | None = None, only: list[str] | None = None) -> DataFrame:
-    """Path (relative), language, content, size, mtime.  Sizes and names are judged before contents are read."""
-    o = options or Options()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= o.max_file_bytes)
+def _found(spark: SparkSession, root: str, o: Options, only: list[str] | None = None) -> DataFrame:
+    """path (relative), language, content (bytes), size, mtime of the files that names and sizes let through.  Files that are named are the only ones opened."""
     home = root.split("://", 1)[-1].rstrip("/") + "/"
+    many = only is not None and len(only) > NAMED
+    if only is None or many:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    else:
+        there = [p for p in only if shared.there(spark, f"{root.rstrip('/')}/{p}")]
+        open_ = [f"{root.rstrip('/')}/{re.sub(r'[][{}*?,^]', '?', p)}" for p in there]  # which may match others, too
+        files = spark.read.format("binaryFile").load(open_) if open_ else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     rel = F.substring_index(F.regexp_replace("path", "^file:/+", "/"), home, -1)
-    f = files.select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    f = files.filter(F.col("length") <= o.max_file_bytes).select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
     f = f.filter(~store.skipped(F.col("path"), F.col("size"), o.skip_directories, o.skip_files, o.max_file_bytes))
+    if many:
+        f = f.join(spark.createDataFrame([(p,) for p in only], "path string").distinct(), "path", "left_semi")
+    elif only is not None:
+        f = f.filter(F.col("path").isin(there))
     if o.ignore:
         f = f.filter(~store.ignored(F.col("path"), o.ignore))
-    if only is not None:
-        f = f.join(spark.createDataFrame([(p,) for p in only], "path string"), "path", "left_semi")
     f = f.withColumn("language", text.path_language(F.col("path")))
     wanted = text.language_filter(o.languages)
-    f = f.filter(F.col("language").isin(sorted(wanted)) if wanted else F.col("language") != "")
+    return f.filter(F.col("language").isin(sorted(wanted)) if wanted else F.col("language") != "")
+
+
+def listed(spark: SparkSession, root: str, options: Options | None = None) -> DataFrame:
+    """S01 without contents: path, language, size, mtime.  Whether a file is text shows only when it is read."""
+    return _found(spark, root, options or Options()).drop("content")
+
+
+def crawl(spark: SparkSession, root: str, options: Options | None = None, only: list[str] | None = None) -> DataFrame:
+    """Path (relative), language, content, size, mtime.  Sizes and names are judged before contents are read.
+
+    only: paths to read, nothing else is opened; those that aren't there are left out."""
+    f = _found(spark, root, options or Options(), only)
     return f.filter(is_text(F.col("content"))).withColumn("content", F.decode("content", "UTF-8"))
 
 
