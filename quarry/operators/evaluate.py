@@ -41,6 +41,26 @@ def holders(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return found.filter(F.contains("text", F.col("q"))).select("query_id", "id").distinct()
 
 
+def completion_proxy(cases: DataFrame, tops: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
+    """By system and case how far its first k texts would help to write the next line.
+
+    cases: query_id, prompt, next_line, identifier, gold; tops: system, query_id, id, rank (a row of rank null for a case
+    without hits); corpus: id, text.  gold_rank, rr, hit1, hit3, hit5; coverage: of the next line's tokens that the prompt lacks the share that
+    the texts hold; identifier_hit: whether one of them holds the identifier."""
+    c = cases.withColumn("new", F.array_except(F.array_distinct(text.tokens(F.col("next_line"))), text.tokens(F.col("prompt"))))
+    every = tops.select("system", "query_id").distinct()
+    t = tops.filter(F.col("rank") <= k).join(corpus.select("id", "text"), "id").join(c.select("query_id", "new", "identifier"), "query_id")
+    held = F.array_intersect("new", text.tokens(F.col("text")))
+    g = t.groupBy("system", "query_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(held)))).alias("held"), F.max((F.coalesce("identifier", F.lit("")) != "") & F.contains("text", F.col("identifier"))).alias("identifier_hit")
+    )
+    first = tops.filter(F.col("rank") <= k).join(cases.select("query_id", "gold"), "query_id").filter(F.col("id") == F.col("gold")).groupBy("system", "query_id").agg(F.min("rank").alias("gold_rank"))
+    j = every.join(c.select("query_id", F.size("new").alias("n_new")), "query_id").join(g, ["system", "query_id"], "left").join(first, ["system", "query_id"], "left")
+    hit = lambda n: F.coalesce(F.col("gold_rank") <= n, F.lit(False))
+    coverage = F.when(F.col("n_new") > 0, F.coalesce("held", F.lit(0)) / F.col("n_new")).otherwise(0.0)
+    return j.select("system", "query_id", "gold_rank", F.coalesce(1 / F.col("gold_rank"), F.lit(0.0)).alias("rr"), hit(1).alias("hit1"), hit(3).alias("hit3"), hit(5).alias("hit5"), coverage.alias("coverage"), F.coalesce("identifier_hit", F.lit(False)).alias("identifier_hit"))
+
+
 METRICS = {"acc1": "hit1", "acc3": "hit3", "acc5": "hit5"}
 
 

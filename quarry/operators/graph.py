@@ -62,6 +62,48 @@ def merge_candidates(rows: DataFrame, limit: int, key: str = "path") -> DataFram
     return ranked(g, F.desc("priority"), F.asc("path"), F.asc(key)).filter(F.col("rank") <= limit)
 
 
+#: Rows of the graph that a pack takes, by mode; one in others.
+ROOM = {"debug": 2, "refactor": 2, "test": 2, "review": 2, "docs": 0}
+
+
+def room_of(mode: Column, limit: int) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in ROOM.items() for x in kv])
+    return F.least(F.coalesce(F.try_element_at(known, mode), F.lit(1)), F.lit(limit - 1))
+
+
+def merge_into(found: DataFrame, candidates: DataFrame, limit: int = 5, room: Column | int = 1) -> DataFrame:
+    """K03, for many queries at once: the best hit, then up to `room` rows of the graph with one to a path, then the other hits; `limit` in all.
+
+    found: query_id, id, rank, path, text, topic, score, matched, reasons, evidence, confidence.  candidates: query_id, id, path, text, topic, place
+    (their order, from 1), reasons, evidence, confidence; room may be a column of found.  A candidate of a path that is in already adds its receipt to that row, as
+    long as there is room; one that is a hit as well keeps the hit's score and both receipts.  The result has found's columns, rank is the new place."""
+    every = lambda *c: F.array_distinct(F.flatten(F.array(*c)))
+    none = F.array().cast("array<string>")
+    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id")))
+    lead = best.filter("nth = 1").select("query_id", F.col("path").alias("l_path"), (F.lit(room) if isinstance(room, int) else room).alias("room"))
+    c = candidates.join(lead, "query_id")
+    c = c.withColumn("again", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("place", "id")))
+    c = c.withColumn("fresh", (F.col("again") == 1) & ~F.col("path").eqNullSafe(F.col("l_path")))
+    c = c.withColumn("taken", F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("query_id").orderBy("place", "id")))
+    c = c.withColumn("added", F.col("fresh") & (F.col("taken") <= F.col("room")))
+    seen = c.filter((F.col("taken") < F.col("room")) | F.col("added"))  # what comes before the room is used up
+    receipts_ = seen.groupBy("query_id", F.col("path").alias("r_path")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "reasons", "evidence"))).alias("r"), F.max("confidence").alias("r_confidence")
+    )
+    receipts_ = receipts_.select("query_id", "r_path", F.flatten(F.transform("r", lambda x: x["reasons"])).alias("r_reasons"), F.flatten(F.transform("r", lambda x: x["evidence"])).alias("r_evidence"), "r_confidence")
+    own = c.filter("added").select("query_id", "id", "path", "text", "topic", "place")
+    hits = best.select(F.col("query_id").alias("h_query"), F.col("id").alias("h_id"), "nth", F.col("score").alias("h_score"), F.col("matched").alias("h_matched"), F.col("reasons").alias("h_reasons"), F.col("evidence").alias("h_evidence"), F.col("confidence").alias("h_confidence"))
+    graph = own.join(hits, (F.col("query_id") == F.col("h_query")) & (F.col("id") == F.col("h_id")), "left")
+    left = best.join(own.select(F.col("query_id").alias("o_query"), F.col("id").alias("o_id")), (F.col("query_id") == F.col("o_query")) & (F.col("id") == F.col("o_id")), "left_anti")
+    out = left.select("query_id", "id", "path", "text", "topic", "score", "matched", "reasons", "evidence", "confidence", F.when(F.col("nth") == 1, 0).otherwise(2).alias("turn"), F.col("nth").alias("at"))
+    of_graph = graph.select("query_id", "id", "path", "text", "topic", F.coalesce("h_score", F.lit(0.0)).alias("score"), F.coalesce("h_matched", none).alias("matched"), F.coalesce("h_reasons", none).alias("reasons"), F.coalesce("h_evidence", none).alias("evidence"), F.coalesce("h_confidence", F.lit(0.0)).alias("confidence"), F.lit(1).alias("turn"), F.col("place").alias("at"))
+    u = out.unionByName(of_graph).join(receipts_.withColumnRenamed("query_id", "r_query"), (F.col("query_id") == F.col("r_query")) & F.col("path").eqNullSafe(F.col("r_path")) & (F.col("turn") < 2), "left")
+    u = u.withColumn("reasons", every(F.col("reasons"), F.coalesce("r_reasons", none))).withColumn("evidence", every(F.col("evidence"), F.coalesce("r_evidence", none)))
+    u = u.withColumn("confidence", F.greatest("confidence", F.coalesce("r_confidence", F.lit(0.0))))
+    placed = u.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "at", "id"))).filter(F.col("rank") <= limit)
+    return placed.select("query_id", "id", "rank", "path", "topic", "text", "score", "matched", "evidence", "reasons", "confidence", (F.col("turn") == 1).alias("of_graph"))
+
+
 def card_hits(cards: DataFrame, snippets: DataFrame) -> DataFrame:
     """J11.  cards: path, line, rank, score; by snippet (path, start_line, end_line) the best rank and the best score, times 1.15."""
     return in_ranges(cards, snippets).groupBy("path", "start_line", "end_line").agg(F.min("rank").alias("rank"), (1.15 * F.max("score")).alias("score"))

@@ -5,18 +5,17 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, fixed, text
+from ..sources import shared
 from ..sources.files import Index
-from . import failure, graph, metadata, packs
+from . import failure, graph, metadata, outside, packs
 from . import retrieval as R
 
-#: How many graph neighbours may join a result.
-GRAPH_ROOM = {"debug": 2, "refactor": 2, "test": 2, "review": 2, "docs": 0}
-
 
 @dataclass
 class Config:
@@ -37,6 +36,16 @@ def text_lang(name: str) -> str:
     return fixed.LANGUAGE_ALIASES.get(name.lower(), name.lower())
 
 
+@dataclass
+class Diagnosis:
+    """K15.  frames and pack: of a command that failed."""
+
+    ran: outside.Ran
+    verdict: str  # passed, failed, stopped (over time), not run (no such command)
+    frames: DataFrame | None = None
+    pack: DataFrame | None = None
+
+
 class Memory:
     def __init__(self, index: Index, compressor: distance.Compressor | None = None, reranker: Callable[[DataFrame], DataFrame] | None = None):
         self.index, self.compressor, self.reranker = index, compressor or distance.Zlib(), reranker
@@ -80,19 +89,47 @@ class Memory:
         fused = R.external_fusion(found.select("query_id", "id", "rank"), other).select("query_id", "id", "rank")
         return found.drop("rank").join(fused, ["query_id", "id"])
 
+    def graph_rows(self, seeds: DataFrame, mode: str = "") -> DataFrame:
+        """What the graph offers beside the seeds (query_id, id, path, text), a row for each path with its best chunk and place: imports two steps out and in,
+        types that the seeds name, and in modes about changes their callers and the definitions of what they call."""
+        edges = self.index.imports.filter("target_path <> ''").select(F.col("path").alias("src"), F.col("target_path").alias("dst")).distinct()
+        from_ = seeds.select("query_id", F.col("path").alias("seed")).distinct()
+        tell = lambda rows, relation, reason, evidence, confidence, line=F.lit(None).cast("int"): rows.select(
+            "query_id", "path", line.alias("line"), F.lit(relation).alias("relation"), F.array(F.lit(reason)).alias("reasons"), F.array(evidence).alias("evidence"), F.lit(confidence).cast("double").alias("confidence")
+        )
+        offered = []
+        for relation, e in (("outgoing", edges), ("incoming", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
+            near = from_.join(e, F.col("seed") == F.col("src")).select("query_id", "seed", F.col("dst").alias("path"), F.lit(1).alias("depth"))
+            far = near.select("query_id", "seed", F.col("path").alias("via")).join(e, F.col("via") == F.col("src")).select("query_id", "seed", F.col("dst").alias("path"), F.lit(2).alias("depth"))
+            steps = near.unionAll(far).groupBy("query_id", "seed", "path").agg(F.min("depth").alias("depth")).filter("path <> seed")
+            for depth, confidence in ((1, 0.82), (2, 0.70)):
+                offered.append(tell(steps.filter(F.col("depth") == depth), relation, "resolved local import graph", F.concat(F.lit("imported by " if relation == "outgoing" else "imports "), "seed"), confidence))
+        types = metadata.dependent_types(seeds.select(F.struct("query_id", "id", "path").alias("id"), "text"), self.index.symbols).select("id.query_id", F.col("id.path").alias("seed"), "path", "name").filter("path <> seed")
+        offered.append(tell(types, "dependent_type", "type that a hit names", F.concat(F.lit("names "), "name"), 0.84))
+        if mode in graph.ROOM and graph.ROOM[mode]:
+            s, r = self.index.symbols, self.index.references
+            paths = from_.select(F.col("seed").alias("path")).distinct()
+            calls = graph.callers(s.join(paths, "path", "left_semi"), r).select(F.col("def_path").alias("seed"), "def_name", "path", "line")
+            offered.append(tell(from_.join(calls, "seed"), "symbol_reference", "call of what a hit defines", F.concat(F.lit("calls "), "def_name"), 0.80, F.col("line")))
+            named = graph.definitions_of(r.join(paths, "path", "left_semi"), s).select(F.col("ref_path").alias("seed"), "ref_name", "path", "line")
+            offered.append(tell(from_.join(named, "seed"), "symbol_definition", "definition of what a hit calls", F.concat(F.lit("defines "), "ref_name"), 0.83, F.col("line")))
+        rows = reduce(DataFrame.unionAll, offered)
+        merged = graph.merge_candidates(rows, 16)
+        at = rows.groupBy("query_id", "path").agg(F.min("line").alias("line"))
+        held = F.coalesce(F.col("line").between(F.col("start_line"), F.col("end_line")), F.lit(False))
+        spots = merged.join(at, ["query_id", "path"]).withColumnRenamed("rank", "place").join(self.corpus(), "path")
+        spots = spots.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "path").orderBy((~held).cast("int"), "start_line", "id"))).filter("nth = 1")
+        return spots.select("query_id", "id", "path", "text", "topic", "place", "reasons", "evidence", "confidence")
+
     def pack(self, prompt: str, mode: str = "", limit: int = 5, budget: int = packs.BUDGET) -> DataFrame:
-        """Search, its graph neighbours, selection, budget."""
-        found = self.search(prompt, mode, 2 * packs.limit_of(limit))
-        receipted = packs.receipts(found.select("query_id", "id", "rank", "path", "topic", "text", "score"), self._query(prompt))
-        room = GRAPH_ROOM.get(mode, 1)
-        if room:
-            e = self.index.imports.filter("target_path <> ''").select(F.col("path").alias("src"), F.col("target_path").alias("dst"))
-            near = graph.neighbours(e, found.filter("rank <= 3").select(F.col("path").alias("seed")).distinct(), 1)
-            near = near.join(found.select(F.col("path").alias("node")), "node", "left_anti").select("node").distinct().orderBy((~graph.is_test_path(F.col("node"))).cast("int"), "node").limit(room)
-            rows = self.corpus().join(near.withColumnRenamed("node", "path"), "path").withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("start_line"))).filter("nth = 1")
-            extra = rows.select(F.lit(1).cast("long").alias("query_id"), "id", F.lit(2).alias("rank"), "path", "topic", "text", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched"), F.array(F.lit("import edge")).alias("evidence"), F.array(F.lit("resolved local import graph")).alias("reasons"), F.lit(0.82).cast("double").alias("confidence"))
-            receipted = receipted.unionByName(extra)
-        return packs.pack(receipted, limit, budget, mode)
+        """Search, what the graph offers merged in, selection, budget."""
+        most = packs.limit_of(limit)
+        found = packs.receipts(self.search(prompt, mode, 2 * most).select("query_id", "id", "rank", "path", "topic", "text", "score"), self._query(prompt))
+        room = min(graph.ROOM.get(mode, 1), most - 1)
+        if room > 0:
+            found = shared.written(found, "found")  # read for seeds and for the merge
+            found = graph.merge_into(found, self.graph_rows(found.filter("rank <= 3"), mode), 2 * most, room)
+        return packs.pack(found, limit, budget, mode)
 
     def repair_pack(self, output: str, prompt: str = "", limit: int = 5, budget: int = packs.BUDGET) -> DataFrame:
         """Chunks of frames and of named symbols come first, ranked search after."""
@@ -148,6 +185,25 @@ class Memory:
         a = self.affected(paths).select("path").union(self.spark.createDataFrame([(p,) for p in paths], "path string")).distinct()
         return graph.validation_plan(a.withColumn("language", text.path_language(F.col("path"))), (config or Config()).validation)
 
+    def diagnose(self, command: str, folder: str | None = None, seconds: float = 600, prompt: str = "", limit: int = 5, budget: int = packs.BUDGET) -> Diagnosis:
+        """The command is run; where it fails, what it said is read for frames and names, and a repair pack is made of them."""
+        ran = outside.run(command, folder, seconds)
+        if ran.passed:
+            return Diagnosis(ran, "passed")
+        said = self.spark.createDataFrame([(1, ran.output)], "failure_id long, output string")
+        frames = failure.frame_rank(failure.frames(said)).select("at", "path", "line_no", "function", "frame_rank")
+        verdict = "stopped" if ran.code == outside.STOPPED else "not run" if ran.code == outside.ABSENT else "failed"
+        return Diagnosis(ran, verdict, frames, self.repair_pack(ran.output, prompt, limit, budget) if verdict == "failed" else None)
+
+    def validate(self, paths: list[str], config: Config | None = None, folder: str | None = None, seconds: float = 600) -> list[Diagnosis]:
+        """The plan's commands, surest first, up to the first that fails."""
+        out = []
+        for r in self.validation(paths, config).orderBy(F.desc("confidence"), "command").limit(outside.MOST_ROWS).collect():
+            out.append(self.diagnose(r["command"], folder, seconds))
+            if out[-1].verdict != "passed":
+                break
+        return out
+
     def report(self, paths: list[str], limit: int = 5) -> dict[str, DataFrame]:
         """What a change touches, how to check it, what to read."""
         return {"affected": self.affected(paths), "validation": self.validation(paths), "pack": self.pack("review changes to " + " ".join(paths), "review", limit)}

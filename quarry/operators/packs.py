@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -50,52 +49,73 @@ def receipts(snippets: DataFrame, queries: DataFrame) -> DataFrame:
     return s.withColumn("evidence", evidence).withColumn("reasons", reasons).withColumn("confidence", F.when(n >= 2, 0.62).when(n == 1, 0.58).otherwise(0.55)).drop("q")
 
 
-PACK = "query_id bigint, place int, id bigint, path string, content string, truncated boolean, matched int, evidence int, receipt boolean, used_bytes int"
-
-
-def _cut(data: bytes, most: int) -> bytes:
-    """at a line break beyond the half, else at a code point."""
-    if len(data) <= most:
-        return data
-    at = data.rfind(b"\n", 0, most)
-    if at <= most // 2:
-        at = most
-        while at > 0 and data[at] & 0xC0 == 0x80:
-            at -= 1
-    return data[:at]
+#: Rendered bytes of a section besides its path, content and note; of a gap between sections; the least that a cut content keeps.
+FRAME, GAP, PIECE = len("### \n```\n\n```"), len("\n\n"), 80
+MARKER = "\n[truncated]"
+
+
+def cut(content: Column, most: Column) -> Column:
+    """the first `most` bytes: up to a line break beyond the half, else up to a whole character."""
+    raw = F.encode(content, "UTF-8")
+    back = [F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string") for k in range(4)]
+    piece = F.coalesce(*[F.when(F.is_valid_utf8(b), b) for b in back], F.lit(""))
+    at = F.octet_length(piece) - F.octet_length(F.substring_index(piece, "\n", -1)) - 1
+    line = F.substring(F.encode(piece, "UTF-8"), F.lit(1), F.greatest(at, F.lit(0))).cast("string")
+    return F.when(F.octet_length(content) <= most, content).when(piece.contains("\n") & (at > F.floor(most / 2)), line).otherwise(piece)
+
+
+def note(reasons: Column, evidence: Column) -> Column:
+    """A receipt as it is rendered under its snippet."""
+    told = F.array_compact(F.array(F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")), F.when(F.size(evidence) > 0, F.array_join(evidence, ", "))))
+    return F.when(F.size(told) > 0, F.concat(F.lit("\n> "), F.array_join(told, "; "))).otherwise("")
+
+
+def select(found: DataFrame, limit: int = 5, mode: str = "") -> DataFrame:
+    """Of each query's receipted snippets those worth keeping, with their place.
+
+    Kept are the first; those with evidence or a confidence of .65; those within .08 of the first's score; and lexical ones within the mode's
+    margin, as long as fewer than two with evidence were kept before."""
+    most, margin = limit_of(limit), MARGIN.get(mode, 0.40)
+    w = Window.partitionBy("query_id").orderBy("rank")
+    sure = (F.size("evidence") > 0) | (F.col("confidence") >= 0.65)
+    top = found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)
+    top = top.withColumn("best", F.first("score").over(w)).withColumn("sure", sure)
+    strong = F.coalesce(F.sum((F.col("sure") & (F.col("nth") > 1)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lexical = (F.size("matched") > 0) & (F.col("score") <= F.col("best") + margin) & (strong < 2)
+    kept = top.withColumn("kept", (F.col("nth") == 1) | F.col("sure") | (F.col("score") <= F.col("best") + 0.08) | lexical).filter("kept")
+    return kept.withColumn("place", F.row_number().over(w)).drop("nth", "best", "sure", "kept")
+
+
+def fit(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The largest pack whose rendering has at most `budget` bytes.  rows: query_id, place, path, text, note; adds content, truncated, receipt, used_bytes.
+
+    Sizes add up, so the snippets that fit as a whole are those up to a place; the next one is cut to what is left, if that is PIECE bytes or
+    more.  Of a pack of one snippet the note goes before the content is cut below that.  used_bytes is the rendering's size up to that place."""
+    size = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    frame = size(F.col("path")) + FRAME + F.when(F.col("place") > 1, GAP).otherwise(0)
+    w = Window.partitionBy("query_id").orderBy("place")
+    r = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("frame", frame).withColumn("full", frame + size(F.col("text")) + size(F.col("note")))
+    r = r.withColumn("used_bytes", F.sum("full").over(w)).withColumn("before", F.col("used_bytes") - F.col("full"))
+    r = r.withColumn("whole", F.col("used_bytes") <= budget).withColumn("last", F.col("whole") | (F.col("before") <= budget))
+    noted = budget - F.col("before") - F.col("frame") - size(F.col("note")) - len(MARKER)
+    bare = budget - F.col("before") - F.col("frame")
+    first = F.col("place") == 1
+    how = F.when(F.col("whole"), "whole").when(noted >= PIECE, "cut").when(first & (size(F.col("text")) <= bare), "bare").when(first, "bare cut")
+    r = r.withColumn("how", how).filter(F.col("last") & F.col("how").isNotNull())
+    most = F.greatest(F.when(F.col("how") == "cut", noted).otherwise(bare - len(MARKER)), F.lit(0))
+    trimmed = F.col("how").isin("cut", "bare cut")
+    content = F.when(trimmed, F.concat(cut(F.col("text"), most), F.lit(MARKER))).otherwise(F.col("text"))
+    r = r.withColumn("content", content).withColumn("truncated", trimmed).withColumn("receipt", F.col("how").isin("whole", "cut") & (F.col("note") != ""))
+    r = r.withColumn("note", F.when(F.col("receipt"), F.col("note")).otherwise("")).withColumn("used_bytes", (F.col("before") + F.col("frame") + size(F.col("content")) + size(F.col("note"))).cast("int"))
+    return r.filter((F.col("used_bytes") <= budget) | first).drop("frame", "full", "before", "whole", "last", "how", "text")
 
 
 def pack(found: DataFrame, limit: int = 5, budget: int = BUDGET, mode: str = "") -> DataFrame:
-    """Of each query's receipted snippets (at most 100) those worth keeping, fitted to `budget` bytes.
-
-    Kept are the first; those with evidence or confidence of .65; those within .08 of
-    the first's score; and lexical ones within the mode's margin, until two with
-    evidence are kept.  Then the last is cut and, if need be, dropped."""
-    most, margin, room = limit_of(limit), MARGIN.get(mode, 0.40), budget_of(budget)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("rank").head(most).itertuples())
-        kept, strong = rows[:1], 0
-        for r in rows[1:]:
-            sure = len(r.evidence) > 0 or r.confidence >= 0.65
-            near = r.score <= rows[0].score + 0.08
-            lexical = len(r.matched) > 0 and r.score <= rows[0].score + margin and strong < 2
-            if sure or near or lexical:
-                kept.append(r)
-                strong += sure
-        out, used = [], 0
-        for r in kept:
-            head = len((r.path or "").encode()) + 16
-            data = (r.text or "").encode()
-            piece = _cut(data, max(room - used - head, 0))
-            if not piece and data:
-                break
-            used += head + len(piece)
-            out.append((r.query_id, len(out) + 1, r.id, r.path, piece.decode(), len(piece) < len(data), len(r.matched), len(r.evidence), True, used))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PACK.split(", ")])
-
-    top = found.filter(F.col("rank") <= 100).select("query_id", "id", "rank", "path", "text", "score", "matched", "evidence", "confidence")
-    return top.groupBy("query_id").applyInPandas(run, PACK)
+    """Selection, then the byte budget."""
+    kept = select(found, limit, mode)
+    notes = note(F.col("reasons"), F.col("evidence")) if "reasons" in found.columns else F.lit("")
+    rows = kept.select("query_id", "place", "id", "path", "text", notes.alias("note"), F.size("matched").alias("matched"), F.size("evidence").alias("evidence"))
+    return fit(rows, budget_of(budget)).select("query_id", "place", "id", "path", "content", "note", "truncated", "matched", "evidence", "receipt", "used_bytes")
 
 
 def half_up(c: Column) -> Column:
@@ -120,6 +140,6 @@ def quality(rows: DataFrame) -> DataFrame:
 
 
 def render(packed: DataFrame) -> DataFrame:
-    """Markdown by query."""
-    part = F.concat(F.lit("### "), "path", F.lit("\n```\n"), "content", F.lit("\n```"))
+    """Markdown by query: each snippet with its note."""
+    part = F.concat(F.lit("### "), F.coalesce("path", F.lit("")), F.lit("\n```\n"), "content", F.lit("\n```"), "note")
     return packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("markdown"))

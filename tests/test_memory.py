@@ -12,8 +12,8 @@ CORPUS = {
     "app/cache.py": 'from app.config import CacheConfig\n\n\nclass CacheStore:\n    """Keeps keys."""\n\n    def evict_keys(self, limit):\n        return drop_expired(limit, CacheConfig)\n',
     "app/config.py": "class CacheConfig:\n    size = 10\n",
     "tests/test_cache.py": "from app.cache import CacheStore\n\n\ndef test_evict():\n    make_store(CacheStore).evict_keys(3)\n",
-    "app/feedback.py": "def negative_feedback_sentiment(text):\n    # negative feedback sentiment error handling\n    return handle_error(text)\n",
-    "tests/test_feedback.py": "def test_negative_feedback_sentiment():\n    # negative feedback sentiment error handling\n    pass\n",
+    "app/ledger.py": "def carry_rounding(total):\n    # what rounding leaves is carried to the next ledger page\n    return split_cents(total)\n",
+    "tests/test_ledger.py": "def test_carry_rounding():\n    # what rounding leaves is carried to the next ledger page\n    pass\n",
     "noise/one.py": "def filler():\n    return 'plain'\n",
     "noise/two.go": "package noise\n\nfunc Other() int {\n\treturn 2\n}\n",
 }
@@ -36,7 +36,7 @@ def paths(df, by="rank"):
 
 
 def test_search_ranks_sources_before_tests(memory):
-    assert paths(memory.search("negative feedback sentiment error handling"))[0] == "app/feedback.py"
+    assert paths(memory.search("rounding carried to the ledger page"))[0] == "app/ledger.py"
     assert paths(memory.search("CacheStore evict_keys"))[0] in ("app/cache.py", "tests/test_cache.py")
     assert memory.search("zzzz unmatched").count() == 0
 
@@ -55,6 +55,39 @@ def test_pack_keeps_budget_and_adds_a_neighbour(memory):
     assert not any(r.path.startswith("noise") for r in got)
 
 
+def test_graph_rows_are_of_every_kind(memory):
+    seeds = memory.corpus().filter("path = 'app/cache.py'").selectExpr("1L query_id", "id", "path", "text")
+    got = {r.path: r for r in memory.graph_rows(seeds, "debug").collect()}
+    assert set(got) == {"app/config.py", "tests/test_cache.py"}
+    assert "type that a hit names" in got["app/config.py"].reasons and "imported by app/cache.py" in got["app/config.py"].evidence
+    assert {"call of what a hit defines", "resolved local import graph"} <= set(got["tests/test_cache.py"].reasons)
+    assert got["tests/test_cache.py"].place == 1  # tests come first
+    assert "call of what a hit defines" not in {x for r in memory.graph_rows(seeds).collect() for x in r.reasons}
+
+
+def test_pack_takes_the_graph_by_mode(memory, monkeypatch):
+    alone = lambda mode: {r.path for r in memory.pack("evict_keys limit drop_expired", mode, 3, 8000).collect()}
+    assert "app/config.py" not in alone("docs") and {"app/config.py", "tests/test_cache.py"} <= alone("debug")
+    monkeypatch.setattr(Memory, "graph_rows", lambda self, seeds, mode="": seeds.limit(0).selectExpr("query_id", "id", "path", "text", "'' topic", "1 place", "array('') reasons", "array('') evidence", "0.0D confidence"))
+    assert "app/config.py" not in alone("debug")
+
+
+def test_diagnose(memory, tmp_path):
+    import sys
+
+    assert memory.diagnose(f"{sys.executable} -c pass").verdict == "passed"
+    script = tmp_path / "fails.py"
+    script.write_text("print('Traceback (most recent call last):\\n  File \"app/cache.py\", line 8, in evict_keys\\nNameError: drop_expired')\nraise SystemExit(3)\n")
+    got = memory.diagnose(f"{sys.executable} {script}")
+    assert (got.verdict, got.ran.code) == ("failed", 3) and got.frames.head().path == "app/cache.py"
+    assert got.pack.orderBy("place").head().path == "app/cache.py"
+    slow = memory.diagnose(f"{sys.executable} -c 'import time; print(1, flush=True); time.sleep(60)'", seconds=1)
+    assert slow.verdict == "stopped" and slow.pack is None and "stopped after 1 s" in slow.ran.output
+    assert memory.diagnose("no-such-command-anywhere").verdict == "not run"
+    ran = memory.validate(["app/cache.py"], Config({"py": f"{sys.executable} {script}"}), seconds=30)
+    assert [d.verdict for d in ran] == ["failed"]
+
+
 def test_repair_pack_leads_with_the_frame(memory):
     out = 'Traceback (most recent call last):\n  File "app/cache.py", line 8, in evict_keys\nNameError: name \'drop_expired\' is not defined'
     assert memory.repair_pack(out).orderBy("place").head().path == "app/cache.py"
