@@ -189,10 +189,11 @@ def _components(docs: DataFrame, digests: bool = False, size: int = SHINGLE) ->
     calm(spark)
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     extra = (["digest"], ", digest binary") if digests else ([], "")
-    rows = d.withColumn("digest", _digest()) if digests else d
-    sketched = written(rows.mapInArrow(_sketches(size), "doc_id bigint, n bigint, node bigint, sure bigint, bands array<bigint>" + extra[1]), "sketches")
+    rows = d.withColumn("own", F.xxhash64("text"))  # with doc_id it leads back to the text, also where many rows share a doc_id or have none
+    rows = rows.withColumn("digest", _digest()) if digests else rows
+    sketched = written(rows.mapInArrow(_sketches(size), "doc_id bigint, n bigint, node bigint, sure bigint, bands array<bigint>, own bigint" + extra[1]), "sketches")
     sketched = _named_apart(sketched)
-    nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("sure").alias("sure"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("least"), F.first("n").alias("n"), F.first("sure").alias("sure"), F.first("bands").alias("bands")).withColumn("label", F.col("least.doc_id")), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "node", "n")
     many = written(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "many")  # written: then AQE can split hot keys of the join
     shared = written(rows.join(many, "key"), "buckets")
@@ -202,8 +203,8 @@ def _components(docs: DataFrame, digests: bool = False, size: int = SHINGLE) ->
     hubs = written(hubs, "hubs")
     stars = shared.join(hubs, F.col("key") == F.col("h_key")).filter((F.col("node") != F.col("h.node")) & _alike(F.col("n"), F.col("h.n")))
     pairs = written(stars.select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    involved = shared.select("node").distinct().join(nodes.select("node", "sure", F.col("label").alias("l_id")), "node")
-    texts = d.join(involved, F.col("doc_id").eqNullSafe(F.col("l_id"))).select("text", "node", "sure")
+    involved = shared.select("node").distinct().join(nodes.select("node", "sure", F.col("label").alias("l_id"), F.col("least.own").alias("l_own")), "node")
+    texts = d.join(involved, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_own"))).select("text", "node", "sure")
     members = written(texts.mapInArrow(_set_rows(size), "node bigint, n bigint, s binary").dropDuplicates(["node"]), "sets")
     release(spark)
     links = written(_verified(pairs, members), "links")

@@ -134,3 +134,33 @@ def test_stage_decides_by_row(spark, docs):
     want = [(1, a), (None, clean), (2, b), (3, "and this row is its own"), (4, "same row and same id"), (None, "only null ids hold this one"), (5, ""), (5, ""), (None, None), (None, None)]
     assert got.columns == docs(rows).columns
     assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_rows_without_an_id_are_read_once_each(spark, docs, monkeypatch):
+    """Rows that share a doc_id, or have none, aren't paired with each other."""
+    import random
+
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice(["one", "two", "three", "four", "five", "six", "seven"]) + str(r.randrange(50)) for _ in range(30))
+    base = [text() for _ in range(300)]
+    rows = [(None, t + " end") for t in base] + [(None, t + " fin") for t in base] + [(7, t + " end of it") for t in base[:100]]
+    read = spark.sparkContext.accumulator(0)
+    plain = N._set_rows
+
+    def counted(size):
+        run = plain(size)
+
+        def wrapped(batches):
+            def seen():
+                for b in batches:
+                    read.add(b.num_rows)
+                    yield b
+
+            yield from run(seen())
+
+        return wrapped
+
+    monkeypatch.setattr(N, "_set_rows", counted)
+    got = N.near_duplicates(docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert 0 < read.value <= 2 * len(rows)
