@@ -7,8 +7,9 @@ offsets into NAME.ids, laid out as INDEX says below.
 The hash is built level by level: a level has GAMMA bits per key left; a key
 alone on its bit there keeps it, the others go on to the next level; a key's
 slot is the number of bits set before its own, so n keys fill n slots.  A slot
-stores a 32-bit fingerprint of its key, its offset and its length: a lookup
-reads a bit or a few, a rank and a slot, and an absent key is told by its
+stores a 32-bit fingerprint of its key and its row: a lookup reads, for each level it
+tries (two on average), a block of bits and the number of bits set before that, then a
+fingerprint, a row and its offset, each by its place in the file; and an absent key is told by its
 fingerprint (one in 2^32 slips through; the stored key then decides).
 
 Shards hold ascending ranges of doc_id.  Task attempts name their files afresh
@@ -42,7 +43,9 @@ from .ordered import sorted_parts
 from .pretok import Cache, pretokens
 from .words import mix
 
-VOCABULARY, END_ID, GAMMA, MAGIC = "byte_bpe_50k.json", 0, 2.0, b"IDSHARD1"
+VOCABULARY, END_ID, GAMMA, MAGIC = "byte_bpe_50k.json", 0, 2.0, b"IDSHARD2"
+#: Bits of a level to each stored rank.
+RANK_BITS = 512
 CACHE_WORDS = 1_200_000
 _U = np.uint64
 
@@ -92,9 +95,9 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """INDEX: MAGIC; bytes of an id, counts of rows, slots and levels (u64); each level's size (u64) and bits (packed, padded to 8 bytes);
-    by slot fingerprint (u32), row (u64); by row key (i64), is-null (u8), offset (u64); and the payload's length (u64).
-    Row i's ids lie from its offset to the next row's, or to the payload's end."""
+    """INDEX: MAGIC; bytes of an id, counts of rows, slots and levels, the payload's length (u64); each level's size in bits (u64); for each level its bits, packed and
+    filled up to whole blocks of RANK_BITS, and for each block the number of slots before it (u64); by slot fingerprint (u32) and row (u64); by row
+    key (i64), is-null (u8), offset (u64).  Row i's ids lie from its offset to the next row's, or to the payload's end."""
 
     def __init__(self, keys: np.ndarray, null: np.ndarray, offsets: np.ndarray, total: int, width: int, hashed=None, prints=None, rows=None):
         self.keys, self.null, self.offsets, self.total, self.width = keys, null, offsets, total, width
@@ -109,29 +112,23 @@ class Index:
         self.hashed, self.prints, self.rows = hashed, prints, rows
 
     def dump(self) -> bytes:
-        out = [MAGIC, struct.pack("<4Q", self.width, len(self.keys), len(self.prints), len(self.hashed.levels))]
-        for b in self.hashed.levels:
-            packed = np.packbits(b, bitorder="little").tobytes()
-            out += [struct.pack("<Q", len(b)), packed, bytes(-len(packed) % 8)]
-        out += [self.prints.astype("<u4").tobytes(), self.rows.astype("<u8").tobytes(), self.keys.astype("<i8").tobytes(), self.null.astype("u1").tobytes(), self.offsets.astype("<u8").tobytes(), struct.pack("<Q", self.total)]
+        out = [MAGIC, struct.pack("<5Q", self.width, len(self.keys), len(self.prints), len(self.hashed.levels), self.total)]
+        out.append(np.array([len(b) for b in self.hashed.levels], "<u8").tobytes())
+        for before, b in zip(self.hashed.before, self.hashed.levels):
+            blocks = np.zeros(-(-len(b) // RANK_BITS) * RANK_BITS, bool)
+            blocks[: len(b)] = b
+            set_ = blocks.reshape(-1, RANK_BITS).sum(1)
+            out += [np.packbits(blocks, bitorder="little").tobytes(), (before + np.cumsum(set_) - set_).astype("<u8").tobytes()]
+        out += [self.prints.astype("<u4").tobytes(), self.rows.astype("<u8").tobytes(), self.keys.astype("<i8").tobytes(), self.null.astype("u1").tobytes(), self.offsets.astype("<u8").tobytes()]
         return b"".join(out)
 
     @classmethod
     def load(cls, data: bytes) -> Index:
-        if data[:8] != MAGIC:
-            raise ValueError("not an index")
-        width, n, slots, levels = struct.unpack_from("<4Q", data, 8)
-        at, bits = 40, []
-        for _ in range(levels):
-            (size,) = struct.unpack_from("<Q", data, at)
-            raw = np.frombuffer(data, np.uint8, -(-size // 8), at + 8)
-            bits.append(np.unpackbits(raw, count=size, bitorder="little").astype(bool))
-            at += 8 + -(-size // 64) * 8
-        parts = []
-        for kind, count in (("<u4", slots), ("<u8", slots), ("<i8", n), ("u1", n), ("<u8", n)):
-            parts.append(np.frombuffer(data, kind, count, at))
-            at += parts[-1].nbytes
-        return cls(parts[2], parts[3].astype(bool), parts[4], struct.unpack_from("<Q", data, at)[0], width, MinimalPerfectHash(bits), parts[0], parts[1])
+        at = Layout(data)
+        bits = [np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), spot), count=size, bitorder="little").astype(bool) for size, spot, _ in at.levels]
+        part = lambda kind, count, spot: np.frombuffer(data, kind, count, spot)
+        keys, null, offsets = part("<i8", at.n, at.keys), part("u1", at.n, at.null).astype(bool), part("<u8", at.n, at.offsets)
+        return cls(keys, null, offsets, at.total, at.width, MinimalPerfectHash(bits), part("<u4", at.slots, at.prints), part("<u8", at.slots, at.rows))
 
     def find(self, keys) -> np.ndarray:
         """The row that holds each key's ids; -1 for absent keys."""
@@ -149,6 +146,61 @@ class Index:
         return int(self.offsets[row]), int(self.offsets[row + 1]) if row + 1 < len(self.offsets) else int(self.total)
 
 
+class Layout:
+    """Where an index file's parts lie, from its head."""
+
+    HEAD = 48
+
+    def __init__(self, head: bytes):
+        if head[:8] != MAGIC:
+            raise ValueError("not an index")
+        self.width, self.n, self.slots, many, self.total = struct.unpack_from("<5Q", head, 8)
+        self.head = self.HEAD + 8 * many
+        self.levels: list[tuple[int, int, int]] = []  # size, place of the bits, place of the ranks
+        at = self.head
+        for size in struct.unpack_from(f"<{many}Q", head, self.HEAD) if len(head) >= self.head else ():
+            blocks = -(-size // RANK_BITS)
+            self.levels.append((size, at, at + blocks * RANK_BITS // 8))
+            at += blocks * (RANK_BITS // 8 + 8)
+        self.prints = at
+        self.rows = self.prints + 4 * self.slots
+        self.keys = self.rows + 8 * self.slots
+        self.null = self.keys + 8 * self.n
+        self.offsets = self.null + self.n
+
+
+class IndexFile:
+    """Lookups in an index that stays on disk: its head is read once, then a key takes a few short reads at known places, however many keys there are."""
+
+    def __init__(self, file):
+        self.file = file
+        head = file.read_at(Layout.HEAD, 0)
+        many = Layout(head).head - Layout.HEAD
+        self.at = Layout(head + (file.read_at(many, Layout.HEAD) if many else b""))
+
+    def _read(self, kind: str, at: int) -> int:
+        return int(np.frombuffer(self.file.read_at(np.dtype(kind).itemsize, at), kind)[0])
+
+    def row(self, key: int) -> int:
+        """The row that holds the key's ids; -1 if there is none."""
+        own = np.array([key], np.int64).view(np.uint64)
+        for level, (size, bits, ranks) in enumerate(self.at.levels):
+            spot = int(MinimalPerfectHash._spot(own, level, size)[0])
+            block, bit = divmod(spot, RANK_BITS)
+            held = np.unpackbits(np.frombuffer(self.file.read_at(RANK_BITS // 8, bits + block * RANK_BITS // 8), np.uint8), bitorder="little")
+            if held[bit]:
+                slot = self._read("<u8", ranks + 8 * block) + int(held[:bit].sum())
+                if self._read("<u4", self.at.prints + 4 * slot) != int(fingerprint(own)[0]):
+                    return -1
+                row = self._read("<u8", self.at.rows + 8 * slot)
+                return row if self._read("<i8", self.at.keys + 8 * row) == key else -1
+        return -1
+
+    def span(self, row: int) -> tuple[int, int]:
+        begin = self._read("<u8", self.at.offsets + 8 * row)
+        return begin, self._read("<u8", self.at.offsets + 8 * (row + 1)) if row + 1 < self.at.n else self.at.total
+
+
 @functools.cache
 def _library(name: str):
     """One a worker: a second one costs memory."""
@@ -235,14 +287,15 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end_id: int = END_I
 
 
 def lookup(fs, home: str, name: str, keys) -> list[np.ndarray | None]:
-    """Keyed access: each key's ids by the index, None where absent."""
-    with fs.open_input_stream(f"{home}/{name}.idx") as f:
-        index = Index.load(f.read())
+    """Keyed access: each key's ids by the index, None where absent; neither file is read as a whole."""
     out: list = []
-    with fs.open_input_file(f"{home}/{name}.ids") as f:
-        for row in index.find(keys).tolist():
+    with fs.open_input_file(f"{home}/{name}.idx") as f, fs.open_input_file(f"{home}/{name}.ids") as payload:
+        index = IndexFile(f)
+        width = index.at.width
+        for key in keys:
+            row = index.row(int(key))
             a, b = index.span(row) if row >= 0 else (0, 0)
-            out.append(np.frombuffer(f.read_at((b - a) * index.width, a * index.width), f"<u{index.width}").astype("<u4") if row >= 0 else None)
+            out.append(np.frombuffer(payload.read_at((b - a) * width, a * width), f"<u{width}").astype("<u4") if row >= 0 else None)
     return out
 
 

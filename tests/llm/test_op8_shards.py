@@ -89,3 +89,36 @@ def test_added_tokens_as_the_untouched_library(spark, docs):
         ids = [*ids, S.END_ID]
         assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+class Counted:
+    """A file in memory that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.reads, self.read = data, 0, 0
+
+    def read_at(self, n, at):
+        assert 0 <= at and at + n <= len(self.data)
+        self.reads, self.read = self.reads + 1, self.read + n
+        return self.data[at : at + n]
+
+
+def test_a_lookup_reads_a_few_places_however_many_keys_there_are():
+    cost = {}
+    for n in (0, 1, 1000, 200_000):
+        r = np.random.default_rng(n)
+        keys = r.choice(1 << 60, n, replace=False).astype(np.int64) - (1 << 59)
+        index = S.Index(keys, np.zeros(n, bool), np.arange(n, dtype=np.uint64) * 3, 3 * n, 2)
+        file = Counted(index.dump())
+        on_disk = S.IndexFile(file)
+        asked = np.concatenate([keys[:200], r.integers(1 << 61, 1 << 62, 200)])
+        assert [on_disk.row(int(k)) for k in asked] == index.find(asked).tolist()
+        assert all(on_disk.span(k) == index.span(k) for k in range(min(n, 50)))
+        opened = Counted(file.data)
+        fresh = S.IndexFile(opened)
+        head = opened.read
+        for k in asked.tolist():
+            fresh.row(k)
+        cost[n] = (opened.read - head) / len(asked)
+        assert head <= 48 + 8 * 64 and opened.reads <= 2 + 25 * len(asked)
+    assert cost[200_000] < 2 * cost[1000] < 600
