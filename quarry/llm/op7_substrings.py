@@ -110,7 +110,7 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).withColumn("tag", F.hash("digest"))
+    return docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).withColumn("tag", F.hash("digest"))
 
 
 #: Runs are read in their order, and in buckets wherever they are read.  Spark 4.1 takes a union of bucketed column batches
@@ -216,7 +216,9 @@ class FingerprintIndex:
         release(spark)
         rows = fresh.join(wanted.join(named.filter("not copy"), "doc_id").select("doc_id", "digest", "fps"), ["doc_id", "digest"]).withColumn("fresh", F.lit(True))
         if history is not None:
-            rows = rows.unionByName(_docs(history).join(wanted, "doc_id").withColumn("fresh", F.lit(False)))
+            old = pick(history, "doc_id", "text").filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+            old = old.join(wanted, "doc_id").withColumns({"fresh": F.lit(False), "tag": F.lit(0), "digest": F.lit(None).cast("binary")})  # only what the batch holds is judged
+            rows = rows.unionByName(old)
         rows = rows.select("doc_id", "text", "tag", "fresh", "fps").mapInArrow(_window_rows, "hash bigint, second bigint, doc_id bigint, tag int, fresh boolean, at int")
         rows = written(rows, "windows")
         release(spark)
