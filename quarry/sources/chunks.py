@@ -106,3 +106,14 @@ def chunk(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return files.select("path", "language", "content").mapInArrow(run, "path string, language string, topic string, seq int, start_line int, end_line int, content string, content_hash string")
+
+
+def span_table(files: DataFrame) -> DataFrame:
+    """X04.  files: path, language, content.  path, start_line, end_line: a row for each top-level item of a file that can be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *s) for path, language, content in zip(*(b.column(i).to_pylist() for i in range(3))) for s in spans(language or "", (content or "").encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32()))], ["path", "start_line", "end_line"])
+
+    return files.select("path", "language", "content").mapInArrow(run, "path string, start_line int, end_line int")
