@@ -21,6 +21,7 @@ further columns are left.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -48,16 +49,19 @@ def cut(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, size: int = SIZE, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """The pieces with their ids, little-endian 32-bit, as a table; nth numbers a task's pieces of one length from 0."""
+    """The pieces with their ids (little-endian, 16-bit if the vocabulary allows it, else 32-bit), as a table; nth numbers a task's pieces of
+    one length from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        width = _words(name)[1]
+        end = end_id.to_bytes(width, "little")
         for b in text_slices(batches, "text"):
-            ids = [np.frombuffer(x, f"<u{_words(name)[1]}") for x in encode(b.column(1).to_pylist(), name, added=True)]
-            flat = np.concatenate([y for x in ids for y in (x, [end_id])]).astype("<u4")
-            n = np.array([len(x) + 1 for x in ids], np.int64)
+            ids = encode(b.column(1).to_pylist(), name, added=True)
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // width + 1
+            flat = end.join(ids) + end
             doc, start, length = cut(n, size)
             order = np.argsort(length, kind="stable")
             run_of = length[order]
@@ -66,13 +70,13 @@ def pieces(docs: DataFrame, size: int = SIZE, name: str = VOCABULARY, end_id: in
             seen += np.bincount(length, minlength=size + 1)
             first = np.cumsum(n) - n
             piece = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            most = max(1, SLICE_BYTES // (4 * size))  # pieces at a time: a long text has many
+            most = max(1, SLICE_BYTES // (width * size))  # pieces at a time: a long text has many
             for a in range(0, len(doc), most):
                 z = slice(a, a + most)
                 lo = first[doc[z]] + start[z]
                 bounds = np.append(lo, lo[-1] + length[z][-1])  # pieces follow each other without a gap
-                data = pa.py_buffer(flat[bounds[0] : bounds[-1]].tobytes())
-                offsets = pa.py_buffer(((bounds - bounds[0]) * 4).astype(np.int32).tobytes())
+                data = pa.py_buffer(flat[bounds[0] * width : bounds[-1] * width])
+                offsets = pa.py_buffer(((bounds - bounds[0]) * width).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(lo), task, np.int32)),
@@ -176,7 +180,7 @@ def places(cut_: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def pack(docs: DataFrame, size: int = SIZE, name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary, little-endian 32-bit), sequence_id, offset: a row for each piece."""
+    """doc_id, piece, start, length, ids (binary, as of pieces()), sequence_id, offset: a row for each piece."""
     cut_ = pieces(docs, size, name, end_id)
     spots = places(cut_, size).withColumnsRenamed({"task": "s_task", "length": "s_length"})
     found = cut_.join(spots, (F.col("task") == F.col("s_task")) & (F.col("length") == F.col("s_length")) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi")))
@@ -194,8 +198,22 @@ def sequences(packed: DataFrame) -> DataFrame:
     return rows.select("sequence_id", "n_tokens", F.col("p.doc_id").alias("doc_ids"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"))
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """packed with ids_crc32, of the ids as little-endian unsigned 32-bit numbers, in place of ids."""
+    own = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = b.column(0).to_pylist(), b.column(b.schema.get_field_index("length")).to_pylist()
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // k}").astype("<u4")) for x, k in zip(ids, n)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(crc, pa.int64())], [*own, "ids_crc32"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.select(*own).schema)
+    return packed.select("ids", *own).mapInArrow(run, f"{kinds}, ids_crc32 bigint")
+
+
 def query(spark, sf_dir) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return digests(pack(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op11_best_two_fit": query}

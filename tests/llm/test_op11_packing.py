@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import op11_packing as P
@@ -73,7 +72,8 @@ def test_by_brute_force(spark, docs, size):
     rows += [(None, "no id"), (None, "no id"), (7, None), (8, ""), (9, ""), (9, "tie"), (9, "tie"), (500, "word " * 30_000)]
     whole = Tokenizer.from_file(public_tokenizers.path(P.VOCABULARY))
     packed = P.pack(docs(rows).repartition(3), size)
-    got = packed.withColumn("ids_crc32", F.crc32("ids")).collect()
+    crc = {(g.sequence_id, g.offset): g.ids_crc32 for g in P.digests(packed).collect()}
+    got = packed.collect()
     want, counts = [], Counter()
     for i, t in rows:
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, P.END_ID]
@@ -82,7 +82,7 @@ def test_by_brute_force(spark, docs, size):
         for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
             want.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
             counts[b - a] += 1
-    assert Counter((g.doc_id, g.piece, g.start, g.length, g.ids_crc32) for g in got) == Counter(want)
+    assert Counter((g.doc_id, g.piece, g.start, g.length, crc[g.sequence_id, g.offset]) for g in got) == Counter(want)
     bins = {}
     for g in got:
         bins.setdefault(g.sequence_id, []).append((g.offset, g.length))
@@ -96,7 +96,7 @@ def test_by_brute_force(spark, docs, size):
     whole_ = {s.sequence_id: s for s in P.sequences(packed).collect()}
     for g in got:
         s = whole_[g.sequence_id]
-        assert s.ids[4 * g.offset : 4 * (g.offset + g.length)] == g.ids and len(s.ids) == 4 * s.n_tokens and g.doc_id in s.doc_ids
+        assert s.ids[2 * g.offset : 2 * (g.offset + g.length)] == g.ids and len(s.ids) == 2 * s.n_tokens and g.doc_id in s.doc_ids
 
 
 def test_empty(spark, docs):
