@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import distance, fixed, text
+from ..functions import code, distance, fixed, text
 from ..sources import shared
 from ..sources.files import Index
+from . import candidates as C
 from . import failure, graph, metadata, outside, packs
 from . import retrieval as R
 
@@ -59,13 +60,17 @@ class Memory:
         return self.index.knowledge.select(F.xxhash64("topic").alias("id"), "path", "topic", "language", "start_line", "end_line", F.col("content").alias("text"))
 
     def search(self, prompt: str, mode: str = "", limit: int = 5) -> DataFrame:
-        """Candidates, features, score (lower is better), fusion, protected, diverse; then a reranker's order, if there is one."""
+        """Candidates of several query paths and of paths that symbols, references and imports lead to; features, score (lower is better), fusion, protected,
+        diverse; then a reranker's order, if there is one."""
         most = packs.limit_of(limit)
         q = self._query(packs.expand_mode(prompt, mode))
         corpus = self.corpus()
         cap = min(max(20 * most, 50), 200)
-        hits = R.top_k(R.bm25(q, corpus), cap, F.desc(F.round("score", 9)), F.asc("id"))
-        c = hits.select("query_id", "id", F.col("rank").alias("primary_rank")).join(corpus, "id")
+        found = shared.written(self._hits(q, corpus, cap), "hits")
+        structured = shared.written(self._structured(q, cap), "structured-paths")
+        places = C.chunks_of_paths(structured, corpus, 2).select("id", "path").join(structured, "path")
+        ids = found.select("query_id", "id", "primary_rank", "path_rank").join(places.select("query_id", "id", F.col("rank").alias("structured_rank")), ["query_id", "id"], "full_outer")
+        c = shared.written(ids.join(corpus, "id"), "candidates")
         boost = R.lexical_boost(R.token_weights(R.query_tokens(q), c), c)
         bm25 = R.candidate_bm25(q, c)
         exact = metadata.exact_identifiers(q, c)
@@ -75,14 +80,43 @@ class Memory:
         intent = text.structure_intent(F.col("q_text"))
         structure = F.when((intent != "") & (intent == text.structure_intent(F.col("text"))), 0.10).otherwise(0.0)
         zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
-        score = qnd - zero("boost") - zero("bm25") - zero("exact") - text.path_token_boost(F.col("q"), F.col("path")) - structure + text.topic_penalty(F.col("q"), F.col("topic"))
+        led = s.withColumn("primary", F.col("primary_rank").isNotNull()).select("query_id", "id", "path", "primary")
+        s = s.join(C.structured_boost(led, structured).select("query_id", "id", "structured"), ["query_id", "id"])
+        score = qnd - zero("structured") - zero("boost") - zero("bm25") - zero("exact") - text.path_token_boost(F.col("q"), F.col("path")) - structure + text.topic_penalty(F.col("q"), F.col("topic"))
         s = s.withColumn("qnd", qnd).withColumn("score", F.round(score, 9))
-        ranks = {"primary": c.select("query_id", "id", F.col("primary_rank").alias("primary")), "bm25": R.value_ranks(bm25, "bm25", "bm25"), "relevance": R.value_ranks(boost, "boost", "relevance")}
+        of = lambda column, name: c.filter(F.col(column).isNotNull()).select("query_id", "id", F.col(column).alias(name))
+        ranks = {"primary": of("primary_rank", "primary"), "query_path": of("path_rank", "query_path"), "structured": of("structured_rank", "structured"), "bm25": R.value_ranks(bm25, "bm25", "bm25"), "relevance": R.value_ranks(boost, "boost", "relevance")}
+        ranks["bm25f"] = self._lexical(q, c, ranks["bm25"])
         fused = R.apply_fusion(s, R.fuse(ranks, fixed.FUSION_WEIGHTS))
         out = R.diversify(fused.withColumn("base", F.col("score")), most)
         out = out.withColumn("rank", F.col("place")).select("query_id", "id", "rank", "path", "topic", "language", "start_line", "end_line", "text", "score", "qnd")
         return self._reranked(out) if self.reranker else out
 
+    def _hits(self, q: DataFrame, corpus: DataFrame, cap: int) -> DataFrame:
+        """query_id, id, primary_rank (of the prompt as it is), path_rank (the best of the two other query paths: tokens of the plan, structural tokens)."""
+        plan = code.plan(F.col("text"))
+        ways = F.array(F.struct(F.lit(0).alias("way"), "text"), F.struct(F.lit(1).alias("way"), F.array_join(plan["fts"], " ").alias("text")), F.struct(F.lit(2).alias("way"), plan["structured"].alias("text")))
+        asked = q.select("query_id", F.explode(ways).alias("w")).select(F.struct("query_id", "w.way").alias("query_id"), "w.text")
+        top = R.top_k(R.bm25(asked, corpus), cap, F.desc(F.round("score", 9)), F.asc("id")).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.way").alias("way"), "id", "rank")
+        first = top.filter("way = 0").select("query_id", "id", F.col("rank").alias("primary_rank"))
+        others = C.best_path_ranks(top.filter("way > 0")).withColumnRenamed("rank", "path_rank")
+        return first.join(others, ["query_id", "id"], "full_outer")
+
+    def _structured(self, q: DataFrame, cap: int) -> DataFrame:
+        """query_id, path, rank: paths of the symbols, references and imports that answer the prompt."""
+        of = lambda rows, columns: metadata.search(rows, q, columns, 10)
+        s, r, i = of(self.index.symbols, metadata.SYMBOL_POINTS), of(self.index.references, metadata.REFERENCE_POINTS), of(self.index.imports, metadata.IMPORT_POINTS)
+        return C.structured_paths(s.select("query_id", "path", "rank"), r.select("query_id", "path", "rank"), i.select("query_id", "path", "target_path", "rank"), min(cap, 20))
+
+    def _lexical(self, q: DataFrame, c: DataFrame, bm25: DataFrame) -> DataFrame:
+        """One rank of the candidates out of Jaccard, BM25 and BM25F by field."""
+        fields = {"path": text.tokens(F.col("path")), "topic": text.tokens(F.col("topic")), "content": text.tokens(F.col("text"))}
+        weighed = {f: (t, *fixed.BM25F_FIELDS[f]) for f, t in fields.items()}
+        by_field = R.value_ranks(R.bm25f(q, c.select("id", "path", "topic", "text"), weighed).withColumn("score", F.round("score", 9)), "score", "bm25f")
+        jaccard = R.value_ranks(R.jaccard_scores(q, c.select("id", "text")).withColumn("score", F.round("score", 9)), "score", "jaccard")
+        fused = R.fuse({"jaccard": jaccard, "bm25": bm25, "bm25f": by_field}, fixed.LEXICAL_WEIGHTS).withColumn("fusion", F.round("fusion", 9))
+        return R.value_ranks(fused, "fusion", "bm25f")
+
     def _reranked(self, found: DataFrame) -> DataFrame:
         """The reranker returns (id, place); both orders are fused with k = 20, missing places count as n + 1."""
         other = self.reranker(found).select("id", "place").join(found.select("query_id", "id"), "id")
@@ -132,7 +166,7 @@ class Memory:
         return packs.pack(found, limit, budget, mode)
 
     def repair_pack(self, output: str, prompt: str = "", limit: int = 5, budget: int = packs.BUDGET) -> DataFrame:
-        """Chunks of frames and of named symbols come first, ranked search after."""
+        """Chunks of frames and of named symbols come first, ranked search after."""
         f = self.spark.createDataFrame([(1, output)], "failure_id long, output string")
         frames = failure.frame_rank(failure.frames(f))
         terms = failure.terms(f)
@@ -140,12 +174,13 @@ class Memory:
         named = failure.symbol_rank(terms, self.index.symbols, frames)
         held = graph.in_ranges(named.select("path", "line", "score"), self.index.knowledge.select("path", "start_line", "end_line")).select("path", "start_line", F.col("score").alias("points"))
         best = spots.unionAll(held).groupBy("path", "start_line").agg(F.max("points").alias("points"))
-        focus = self.corpus().join(best, ["path", "start_line"]).select("id", "path", "topic", "text", F.lit(0).alias("origin"), (-F.col("points")).cast("double").alias("key"))
+        focus = R.ranked(self.corpus().join(best, ["path", "start_line"]).withColumn("query_id", F.lit(1).cast("long")), F.desc("points"), F.asc("path"), F.asc("id"))
         words = " ".join([prompt, *(terms.head()["terms"] if terms.head() else [])]).strip()
-        rest = self.search(words or "failure", "debug", max(3 * packs.limit_of(limit), 12)).select("id", "path", "topic", "text", F.lit(1).alias("origin"), F.col("score").alias("key"))
-        u = focus.unionByName(rest).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("origin", "key"))).filter("nth = 1").withColumn("query_id", F.lit(1).cast("long"))
-        r = R.top_k(u, packs.limit_of(limit), F.asc("origin"), F.asc("key"), F.asc("path"), F.asc("id"))
-        rows = packs.receipts(r.withColumn("score", F.when(F.col("origin") == 0, -1.0).otherwise(F.col("key"))).select("query_id", "id", "rank", "path", "topic", "text", "score"), self._query(words))
+        rest = shared.written(self.search(words or "failure", "debug", max(3 * packs.limit_of(limit), 12)), "ranked")
+        place = ["path", "start_line", "end_line"]
+        merged = C.merge_snippets(focus.select("query_id", *place, "rank"), rest.select("query_id", *place, "rank"), packs.limit_of(limit))
+        r = merged.join(self.corpus(), place).join(rest.select(*place, F.col("score").alias("key")), place, "left")
+        rows = packs.receipts(r.withColumn("score", F.when(F.col("focused"), -1.0).otherwise(F.coalesce("key", F.lit(0.0)))).select("query_id", "id", "rank", "path", "topic", "text", "score"), self._query(words))
         return packs.pack(rows, limit, budget, "debug")
 
     def symbol_context(self, prompt: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -181,9 +216,12 @@ class Memory:
         return graph.affected(c, self.index.files.select("path"), graph.related(self.related_signals()), limit)
 
     def validation(self, paths: list[str], config: Config | None = None) -> DataFrame:
-        """K13."""
+        """Command, confidence: configured commands come before those that languages have; each once."""
         a = self.affected(paths).select("path").union(self.spark.createDataFrame([(p,) for p in paths], "path string")).distinct()
-        return graph.validation_plan(a.withColumn("language", text.path_language(F.col("path"))), (config or Config()).validation)
+        set_ = (config or Config()).validation
+        plan = graph.validation_plan(a.withColumn("language", text.path_language(F.col("path"))), set_)
+        own = F.col("language").isin(list(set_)) if set_ else F.lit(False)
+        return graph.merge_commands([plan.filter(own), plan.filter(~own)]).orderBy("group_no", F.desc("confidence"), "command").select("command", "confidence")
 
     def diagnose(self, command: str, folder: str | None = None, seconds: float = 600, prompt: str = "", limit: int = 5, budget: int = packs.BUDGET) -> Diagnosis:
         """The command is run; where it fails, what it said is read for frames and names, and a repair pack is made of them."""
@@ -196,9 +234,9 @@ class Memory:
         return Diagnosis(ran, verdict, frames, self.repair_pack(ran.output, prompt, limit, budget) if verdict == "failed" else None)
 
     def validate(self, paths: list[str], config: Config | None = None, folder: str | None = None, seconds: float = 600) -> list[Diagnosis]:
-        """The plan's commands, surest first, up to the first that fails."""
+        """The plan's commands in their order, up to the first that fails."""
         out = []
-        for r in self.validation(paths, config).orderBy(F.desc("confidence"), "command").limit(outside.MOST_ROWS).collect():
+        for r in self.validation(paths, config).limit(outside.MOST_ROWS).collect():
             out.append(self.diagnose(r["command"], folder, seconds))
             if out[-1].verdict != "passed":
                 break

@@ -54,14 +54,25 @@ FRAME, GAP, PIECE = len("### \n```\n\n```"), len("\n\n"), 80
 MARKER = "\n[truncated]"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once; a long text is cut in steps."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cut(content: Column, most: Column) -> Column:
     """the first `most` bytes: up to a line break beyond the half, else up to a whole character."""
-    raw = F.encode(content, "UTF-8")
-    back = [F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string") for k in range(4)]
-    piece = F.coalesce(*[F.when(F.is_valid_utf8(b), b) for b in back], F.lit(""))
-    at = F.octet_length(piece) - F.octet_length(F.substring_index(piece, "\n", -1)) - 1
-    line = F.substring(F.encode(piece, "UTF-8"), F.lit(1), F.greatest(at, F.lit(0))).cast("string")
-    return F.when(F.octet_length(content) <= most, content).when(piece.contains("\n") & (at > F.floor(most / 2)), line).otherwise(piece)
+
+    def whole(raw: Column) -> Column:
+        """Without a last character that isn't all there."""
+        return F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "\ufffd$", ""))
+
+    def broken(piece: Column) -> Column:
+        line = F.substring_index(piece, "\n", -1)
+        at = F.octet_length(piece) - F.octet_length(line) - 1
+        return F.when(at > F.floor(most / 2), F.left(piece, F.length(piece) - F.length(line) - 1)).otherwise(piece)
+
+    first = F.substring(F.encode(content, "UTF-8"), F.lit(1), most).cast("string")
+    return F.when(F.octet_length(content) <= most, content).otherwise(_let(_let(first, whole), broken))
 
 
 def note(reasons: Column, evidence: Column) -> Column:

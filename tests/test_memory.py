@@ -41,6 +41,33 @@ def test_search_ranks_sources_before_tests(memory):
     assert memory.search("zzzz unmatched").count() == 0
 
 
+def test_search_follows_symbols_and_several_query_paths(memory, monkeypatch):
+    """A file that full text doesn't find is led to by its symbols, and each part of the search is used."""
+    from quarry.operators import candidates, retrieval
+
+    q = "cachesto"  # part of a name: no token of any text
+    assert {"app/cache.py", "tests/test_cache.py"} & set(paths(memory.search(q)))
+    monkeypatch.setattr(candidates, "structured_paths", lambda s, r, i, limit: s.select("query_id", "path", "rank").limit(0))
+    assert memory.search(q).count() == 0
+    used = []
+    for module, name in ((candidates, "best_path_ranks"), (retrieval, "bm25f"), (candidates, "structured_boost")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: used.append(_n) or _f(*a, **k))
+    memory.search("evict keys")
+    assert set(used) == {"best_path_ranks", "bm25f", "structured_boost"}
+
+
+def test_repair_and_validation_merge(memory, monkeypatch):
+    from quarry.operators import candidates, graph
+
+    used = []
+    for module, name in ((candidates, "merge_snippets"), (graph, "merge_commands")):
+        monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **k: used.append(_n) or _f(*a, **k))
+    assert memory.repair_pack('File "app/config.py", line 1, in size').orderBy("place").head().path == "app/config.py"
+    got = memory.validation(["app/cache.py", "noise/two.go"], Config({"go": "make check"})).collect()
+    assert got[0].command.startswith("make check") and any(r.command.startswith("python -m pytest") for r in got) and len({r.command for r in got}) == len(got)
+    assert used == ["merge_snippets", "merge_commands"]
+
+
 def test_reranker_hook(memory):
     from pyspark.sql import functions as F
 
