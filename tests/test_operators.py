@@ -257,10 +257,10 @@ class TestPacks:
         got = packs.quality(r).head()
         assert got.score == 1.0 or got.score > 0.9 and got.grade == "strong"
 
-    def test_small_functions(self):
+    def test_small_functions(self, spark):
         assert packs.limit_of(0) == 5 and packs.limit_of(999) == 100 and packs.budget_of(1) == packs.LEAST
         assert packs.expand_mode("error in cache", "debug").startswith("error in cache failure")
-        assert packs._cut("aé".encode() * 10, 4).decode() == "aéa"
+        assert value(spark, packs.cut(F.col("t"), F.lit(4)), t="aé" * 10) == "aéa"
 
 
 class TestEvaluate:
