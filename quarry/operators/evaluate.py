@@ -25,14 +25,16 @@ def per_case(tops: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def holders(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, id: every document that holds a query's text as a whole.  queries: query_id, text; corpus: id, text.
+def holders(queries: DataFrame, corpus: DataFrame, held: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, id: every document that holds a query's text as a whole.  queries: query_id, text; corpus: id, text; held: where there is an index, what it
+    gives for tokens (token): token, id.
 
     A query's inner tokens (without its first and last run, which the document may go on) are tokens of each holder, so only documents
     with the rarest of them are searched; a query without inner tokens is looked for in all."""
     inner = text.tokens(F.regexp_replace(F.lower("text"), "^[a-z0-9]+|[a-z0-9]+$", " "))
     t = queries.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
-    p = corpus.select("id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).join(t.select("token").distinct(), "token", "left_semi")
+    asked = t.select("token").distinct()
+    p = held(asked) if held else corpus.select("id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).join(asked, "token", "left_semi")
     df = p.groupBy("token").agg(F.count("*").alias("df"))
     rarest = t.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
     bare = queries.filter(F.size(inner) == 0).select("query_id").crossJoin(corpus.select("id"))

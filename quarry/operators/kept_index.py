@@ -193,6 +193,20 @@ class KeptIndex:
         weighed = wanted.join(self._frequencies(blocks), "token")
         return self.rows(blocks).join(F.broadcast(weighed) if self._small(wanted) else weighed, "token").groupBy("query_id", "id").agg(F.sum(self._term(F.col("tf"), F.col("df"), F.col("len"))).alias("score"))
 
+    def jaccard(self, queries: DataFrame) -> DataFrame:
+        """query_id, id, shared, score, of distinct tokens; rows that share an id count as one document."""
+        wanted = query_tokens(queries)
+        many = wanted.groupBy("query_id").agg(F.count("*").alias("q_n"))
+        rows = self.rows(self.blocks(wanted)).select("token", "id")
+        shared_ = rows.join(F.broadcast(wanted) if self._small(wanted) else wanted, "token").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+        sizes = self.documents().groupBy(F.col("id").alias("d_id")).agg(F.sum("distinct").alias("d_n"))
+        j = shared_.join(sizes, F.col("id").eqNullSafe(F.col("d_id"))).join(many, "query_id")
+        return j.select("query_id", "id", "shared", (F.col("shared") / (F.col("q_n") + F.col("d_n") - F.col("shared"))).alias("score"))
+
+    def held(self, tokens: DataFrame) -> DataFrame:
+        """token, id: the documents that hold each of these tokens (token)."""
+        return self.rows(self.blocks(tokens)).select("token", "id")
+
     def _small(self, wanted: DataFrame, most: int = 100_000) -> bool:
         return wanted.limit(most + 1).count() <= most
 

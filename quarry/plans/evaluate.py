@@ -12,13 +12,13 @@ from .retrieval import read, toks
 
 def gold_all(spark, sf):
     """The first document, by id, that holds the item's text as a whole; an item whose holders are no candidates is a miss."""
-    return V.holders(P.queries_of(spark, sf), P.corpus_of(spark, sf)).groupBy("query_id").agg(F.min("id").alias("gold"))
+    return V.holders(P.queries_of(spark, sf), P.corpus_of(spark, sf), P.kept(spark, sf).held).groupBy("query_id").agg(F.min("id").alias("gold"))
 
 
 def tops(spark, sf, system):
     if system == "bm25":
         return P.candidates(spark, sf).select("query_id", "id", "rank")
-    return R.top_k(R.jaccard_scores(P.queries_of(spark, sf), P.corpus_of(spark, sf)), 5, F.desc(F.round("score", 9)), F.asc("id")).select("query_id", "id", "rank")
+    return R.top_k(P.kept(spark, sf).jaccard(P.queries_of(spark, sf)), 5, F.desc(F.round("score", 9)), F.asc("id")).select("query_id", "id", "rank")
 
 
 def cases(spark, sf, system="bm25", truth=gold_all):

@@ -79,7 +79,7 @@ def bm25f_topk(spark, sf):
 
 
 def jaccard_topk(spark, sf):
-    top = R.top_k(R.jaccard_scores(queries_of(spark, sf), corpus_of(spark, sf)), K, F.desc(F.round("score", 9)), F.asc("id"))
+    top = R.top_k(kept(spark, sf).jaccard(queries_of(spark, sf)), K, F.desc(F.round("score", 9)), F.asc("id"))
     return shown(top, "rank", "shared", r6("score", "score"))
 
 

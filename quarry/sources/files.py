@@ -75,13 +75,15 @@ def crawl(spark: SparkSession, root: str, options: Options | None = None, only:
 
 
 def context_load(files: DataFrame, most: int = 2 << 20) -> DataFrame:
-    """Path, content, taken: files by path until `most` bytes are reached; of the last one only what fits counts as taken.
+    """Path, content, taken: files by path until `most` bytes are reached; of the last one only what fits counts as taken.  Paths are unique.
 
-    Files without bytes are left out, so at most `most` rows come before the limit: the running sum never sees more."""
-    sized = files.select("path", "content", F.octet_length("content").alias("size")).filter("size > 0").orderBy("path").limit(most)
+    Files without bytes are left out, so the running sum never sees more than `most` rows, of paths and sizes only; contents are joined to the few
+    that are taken."""
+    sized = files.select("path", F.octet_length("content").alias("size")).filter("size > 0").orderBy("path").limit(most)
     before = F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
     fits = sized.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
-    return fits.select("path", "content", F.least(F.col("size"), most - F.col("before")).cast("bigint").alias("taken"))
+    taken = fits.select("path", F.least(F.col("size"), most - F.col("before")).cast("bigint").alias("taken"))
+    return files.select("path", "content").join(taken, "path").select("path", "content", "taken")
 
 
 def vocabulary(loaded: DataFrame) -> DataFrame:
