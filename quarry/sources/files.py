@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from dataclasses import dataclass, field
@@ -27,6 +28,8 @@ class Options:
     max_chunk_bytes: int = chunks.MAX_BYTES
     skip_directories: list[str] = field(default_factory=lambda: list(SKIP_DIRECTORIES))
     skip_files: list[str] = field(default_factory=lambda: list(SKIP_FILES))
+    #: Cards take as much room as what they are made of; QUARRY_CARDS=0 leaves them out where nothing else is said.
+    cards: bool = field(default_factory=lambda: os.environ.get("QUARRY_CARDS", "1") != "0")
 
 
 def is_text(content) -> F.Column:
@@ -148,7 +151,8 @@ def build(files: DataFrame, options: Options | None = None) -> Index:
     knowledge = chunks.chunk(files, o.max_chunk_bytes).join(files.select("path", F.col("mtime").alias("source_mtime")), "path")
     s, r = extract.symbol_table(files), extract.reference_table(files)
     i = resolved(extract.import_table(files), files)
-    return Index(files.select("path", "language", "size", "mtime"), knowledge, s, r, i, extract.cards(files, s, r, i))
+    cards = extract.cards(files, s, r, i)
+    return Index(files.select("path", "language", "size", "mtime"), knowledge, s, r, i, cards if o.cards else cards.limit(0))
 
 
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:

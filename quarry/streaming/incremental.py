@@ -41,12 +41,15 @@ def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], N
 class Upserts:
     """A keyed table, kept as snapshots: each batch is merged with the last one and written beside it.
 
-    Of a key's rows in a batch that with the greatest `stamp` counts.  After a restart the last whole snapshot in `home` goes on;
+    Of a key's rows in a batch that with the greatest `stamp` counts (the column beside the keys, if there is one only).  After a restart the last whole snapshot in `home` goes on;
     a batch that comes again, as after a lost commit, is merged with the snapshot before it."""
 
     def __init__(self, spark: SparkSession, home: str, keys: list[str], schema: str, stamp: str | None = None):
         self.spark, self.home, self.keys, self.schema = spark, home, keys, schema
-        self.stamp = stamp or [c.split()[0] for c in schema.split(", ") if c.split()[0] not in keys][0]
+        others = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in keys]
+        if not stamp and len(others) != 1:
+            raise ValueError(f"which of {', '.join(others)} says which row is newest?")
+        self.stamp = stamp or others[0]
 
     def versions(self) -> list[int]:
         """Of the snapshots that were written as a whole."""
