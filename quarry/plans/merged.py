@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import code, fixed, text
 from ..operators import evaluate as V
-from ..operators import graph, packs
+from ..operators import failure, graph, packs
 from ..operators import retrieval as R
 from ..sources import chunks, extract, shared
 from . import evaluate as E
+from . import graph as graph_plans
 from . import retrieval as P
 from .retrieval import read, toks
 
@@ -31,10 +32,13 @@ def _in_doc(df: DataFrame, *more) -> DataFrame:
     return df.select(F.col("path").cast("bigint").alias("doc_id"), *more)
 
 
+def _js(spark, sf) -> DataFrame:
+    return _sources(spark, sf, "js", "", lambda line, i: F.concat(F.lit("// about {\nfunction f"), i, F.lit("(a) {\n  return `"), line, F.lit("`;\n}\n")))
+
+
 def code_spans(spark, sf):
     """Each line of a document as a function with a comment before it; prose in templates, braces in comments."""
-    made = _sources(spark, sf, "js", "", lambda line, i: F.concat(F.lit("// about {\nfunction f"), i, F.lit("(a) {\n  return `"), line, F.lit("`;\n}\n")))
-    return _in_doc(chunks.span_table(made), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+    return _in_doc(chunks.span_table(_js(spark, sf)), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
 def _go(spark, sf) -> DataFrame:
@@ -99,7 +103,39 @@ def completion_proxy(spark, sf):
     return r.select("system", "query_id", F.col("gold_rank").cast("bigint").alias("gold_rank"), "hit1", "hit5", F.round("coverage", 6).alias("coverage"), "identifier_hit")
 
 
-_ALL = (code_spans, go_outline, go_calls, page_call_sites, graph_merged_pack, completion_proxy)
+def document_shell_args(spark, sf):
+    """every distinct word of the documents, quoted."""
+    words = read(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"[ \n\t\r]+"))).alias("word")).distinct().filter("word <> ''")
+    return words.select("word", code.shell_quoted(F.col("word")).alias("quoted"))
+
+
+def page_import_predicates(spark, sf):
+    """Every link of the pages as an import target, in each of six languages."""
+    t = graph_plans.links(spark, sf).select("href").distinct()
+    j = t.select("href", F.explode(F.array(*[F.lit(x) for x in _LANGUAGES])).alias("language"))
+    return j.select("href", "language", code.resolvable(F.col("language"), F.col("href")).alias("resolvable"), code.local_import(F.col("href")).alias("local"), code.is_config_path(F.concat(F.col("href"), F.lit(".json"))).alias("config_file"), code.is_config_path(F.col("href")).alias("config"))
+
+
+def document_declarations(spark, sf):
+    """Lines of a document's source file that look like declarations."""
+    made = _js(spark, sf).select("path", F.explode(F.split("content", "\n")).alias("line"))
+    return _in_doc(made.filter(F.col("line").rlike(_DECLARES)).groupBy("path").agg(F.count("*").alias("n")), "n")
+
+
+def document_frames(spark, sf):
+    """The lines of a document that begin with two words as frames: the first names the file, the second the function."""
+    line = lambda x, i: F.concat(F.lit('  File "src/'), F.regexp_extract(x, _TWO, 1), F.lit('.py", line '), (i % 7 + 1).cast("string"), F.lit(", in "), F.regexp_extract(x, _TWO, 2))
+    said = F.array_join(F.transform("lines", lambda x, i: F.when(x.rlike(_TWO), line(x, i)).otherwise("no frame here")), "\n")
+    f = failure.frames(_lines(spark, sf).select(F.col("path").alias("failure_id"), said.alias("output")))
+    best = f.groupBy("failure_id", "path", "line_no").agg(F.count("*").alias("n"))
+    return best.select(F.col("failure_id").cast("bigint").alias("doc_id"), "path", F.col("line_no").cast("bigint").alias("line_no"), "n")
+
+
+_LANGUAGES = ("Python", "golang", "java", "rust", "js", "c")
+_DECLARES = r"^\s*(class|def|func|function|type|public|private)\s"
+_TWO = r"^([A-Za-z]+) ([a-z]+)"
+
+_ALL = (document_shell_args, page_import_predicates, document_declarations, document_frames, code_spans, go_outline, go_calls, page_call_sites, graph_merged_pack, completion_proxy)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _L = "l as materialized (select doc_id, unnest(range(0, len(string_split(translate(coalesce(text, ''), '`$\\' || chr(13), ''), chr(10))))) i from documents)"
@@ -113,7 +149,17 @@ def _stop() -> str:
 
 _CASES = f"""cs as materialized (select item_id, array_to_string(w[1:floor(len(w) * 2 / 3)::int], ' ') "text", w, floor(len(w) * 2 / 3)::int k from (select item_id, string_split(coalesce("text", ''), ' ') w from benchmark)),
 cx as materialized (select item_id query_id, array_to_string(w[k + 1:], ' ') line, list_filter(w[k + 1:], lambda x: len(x) >= 5)[1] ident, "text" prompt from cs)"""
+_CLEAN_SQL = "translate(coalesce(text, ''), '`$\\' || chr(13), '')"
 SQL = {
+    "document_shell_args": r"""with w as (select distinct unnest(regexp_split_to_array(coalesce(text, ''), '[ \n\t\r]+')) word from documents)
+select word, case when regexp_full_match(word, '[A-Za-z0-9_./:@%+=,-]+') then word else '''' || replace(word, '''', '''\''''') || '''' end quoted from w where word <> ''""",
+    "page_import_predicates": f"""with h as (select distinct h href, trim(h) t from (select unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) h from pages)), l as (select unnest({list(_LANGUAGES)}) as language)
+select href, language, t <> '' and (t[1] in ('.', '/') or t[1:2] = '@/' or case language when 'Python' then true when 'java' then contains(t, '.') when 'rust' then contains(t, '::') or regexp_matches(t, '^(crate|self|super)') when 'golang' then contains(t, '/') when 'js' then contains(t, '/') or contains(t, chr(92)) else contains(t, '/') or contains(t, chr(92)) or contains(t, '.') end) resolvable,
+ t <> '' and (contains(t, '.') or contains(t, '/') or contains(t, chr(92))) as local, true config_file, regexp_matches(replace(lower(href), chr(92), '/'), '/configs?/|(config|settings)[^/]*$|\\.(toml|yaml|yml|json|env)$') config from h, l""",
+    "document_declarations": f"""with x as (select doc_id, unnest(string_split({_CLEAN_SQL}, chr(10))) b from documents), k as (select doc_id, unnest(['// about {{', 'function f(a)', '  return `' || b || '`;', '}}']) l from x)
+select doc_id, count(*) n from k where regexp_matches(l, '^\\s*(class|def|func|function|type|public|private)\\s') group by doc_id""",
+    "document_frames": f"""with x as (select doc_id, unnest(string_split({_CLEAN_SQL}, chr(10))) b, unnest(range(0, len(string_split({_CLEAN_SQL}, chr(10))))) i from documents)
+select distinct doc_id, 'src/' || regexp_extract(b, '^([A-Za-z]+) ([a-z]+)', 1) || '.py' path, i % 7 + 1 line_no, 1::bigint n from x where regexp_matches(b, '^([A-Za-z]+) ([a-z]+)')""",
     "code_spans": f"with {_L} select doc_id, 4 * i + 2 start_line, 4 * i + 4 end_line from l",
     "go_outline": f"with {_L} select doc_id, case when i % 2 = 0 then 'M' else 'S' end || i as name, case when i % 2 = 0 then 'method' else 'type' end kind, 2 + 2 * i + case when i % 2 = 0 then 1 else 0 end line, case when i % 2 = 0 then 'Tells ' || i || ' {{' else '' end docstring from l",
     "go_calls": f"with {_L} select doc_id, 'Call' || i as name, 3 + 2 * i line from l where i % 2 = 0",
