@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lists, pick, sheltered, table, text_slices, written
@@ -167,7 +167,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, broadcast_bytes: int = BROA
     What docs has under these names is replaced."""
     b = pick(bench, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     kept = docs.drop("n_words", "starts", "ends", "items")
-    size = b.agg(F.sum(F.octet_length("text")), F.count("*")).head()
+    size = b.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item_id")), F.count("*")).head()
     if (size[0] or 0) <= broadcast_bytes and size[1] <= BROADCAST_ITEMS:
         rows = b.collect()  # bounded by the check above
         shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([r[0] for r in rows], [r[1] for r in rows]))
@@ -224,16 +224,14 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
     long = found.filter(F.col("n") == WINDOW).join(b_gram, "gram", "left_semi")
     near = long.unionByName(found.filter(F.col("n") < WINDOW)).select("k_id", "k_text", "n", F.explode(F.arrays_zip("at", "hashes", "seconds")).alias("z"))
     hits = near.select("k_id", "k_text", "n", F.col("z.at").alias("at"), F.col("z.hashes").alias("hash"), F.col("z.seconds").alias("second")).join(b_win, ["hash", "second", "n"])
-    spans = hits.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<s:bigint,e:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["at"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["at"] + x["n"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("s"), (x["at"] + x["n"]).alias("e"))))),
-    )
-    spans = spans.select("k_id", "k_text", "items", merged.alias("m"))
+    hits = written(hits.select("k_id", "k_text", "at", (F.col("at") + F.col("n")).alias("end"), "item_id").distinct(), "hits")
+    items = hits.groupBy(F.col("k_id").alias("i_id"), F.col("k_text").alias("i_text")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    own = Window.partitionBy("k_id", "k_text").orderBy("at", "end")  # a document's hits, linear in their number
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.select("k_id", "k_text", "at", "end").distinct().withColumn("fresh", (reach.isNull() | (F.col("at") > reach)).cast("int"))
+    stretch = marked.withColumn("stretch", F.sum("fresh").over(own)).groupBy("k_id", "k_text", "stretch").agg(F.min("at").alias("s"), F.max("end").alias("e"))
+    merged = stretch.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
+    spans = merged.join(items, F.col("k_id").eqNullSafe(F.col("i_id")) & (F.col("k_text") == F.col("i_text"))).select("k_id", "k_text", "items", "m")
 
     def count(batches):
         for x in text_slices(batches, "text"):

@@ -76,3 +76,24 @@ def test_winnowing_guarantee():
         shared = [r.choice("abcdef") * r.randrange(1, 4) for _ in range(10)]
         a, b = (D.words(pa.array([" ".join([r.choice("uvw") for _ in range(20)] + shared + [r.choice("uvw") for _ in range(20)])])) for _ in range(2))
         assert set(D.kept_grams(a)[1].tolist()) & set(D.kept_grams(b)[1].tolist())
+
+
+def test_hundreds_of_thousands_of_hits_by_shuffle(spark, docs):
+    """Hits are merged in one pass over them, whether they run together or stand apart."""
+    b = spark.createDataFrame([(1, "k l m"), (2, "q r")], "item_id long, text string")
+    rows = [(1, "k l m " * 60_000), (2, "q r z " * 60_000), (3, "z " * 1000)]
+    got = {r.doc_id: r for r in D.digest(D.decontaminate(docs(rows), b, 0)).collect()}
+    assert [(got[k].n_words, got[k].n_hit, got[k].n_items) for k in (1, 2, 3)] == [(180_000, 180_000, 1), (180_000, 120_000, 1), (1000, 0, 0)]
+    spans = D.decontaminate(docs(rows), b, 0).filter("doc_id = 2").head()
+    assert spans.starts == list(range(0, 180_000, 3)) and spans.ends == list(range(2, 180_000, 3))
+
+
+def test_ids_of_items_count_for_the_broadcast(spark, docs, monkeypatch):
+    used = []
+    plain = D._by_shuffle
+    monkeypatch.setattr(D, "_by_shuffle", lambda *a: used.append(1) or plain(*a))
+    b = spark.createDataFrame([("i" * 100, "k l m")], "item_id string, text string")
+    assert D.digest(D.decontaminate(docs([(1, "a k l m")]), b, 50)).head().n_hit == 3 and used
+    used.clear()
+    D.decontaminate(docs([(1, "a k l m")]), b, 200)
+    assert not used
