@@ -150,7 +150,11 @@ def quality(rows: DataFrame) -> DataFrame:
     return g.withColumn("raw", text.clamp(s, 0.0, 1.0)).select("query_id", half_up(F.col("raw") + 1e-9).alias("score"), text.grade(F.col("raw")).alias("grade"))
 
 
-def render(packed: DataFrame) -> DataFrame:
-    """Markdown by query: each snippet with its note."""
+def render(packed: DataFrame, quality_: DataFrame | None = None) -> DataFrame:
+    """Markdown by query: each snippet with its note; with quality_ (of quality()) a line on top where there is anything to say."""
     part = F.concat(F.lit("### "), F.coalesce("path", F.lit("")), F.lit("\n```\n"), "content", F.lit("\n```"), "note")
-    return packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("markdown"))
+    out = packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("markdown"))
+    if quality_ is None:
+        return out
+    told = F.when(F.col("score") > 0, F.format_string("Quality: %s (%.2f)\n\n", "grade", "score")).otherwise("")
+    return out.join(quality_.select("query_id", "score", "grade"), "query_id", "left").select("query_id", F.concat(F.coalesce(told, F.lit("")), "markdown").alias("markdown"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import distance, text
 from ..operators import failure, packs
 from ..operators import retrieval as R
-from ..sources import chunks
+from ..sources import chunks, shared
 from ..sources.files import is_text
 from ..streaming import incremental as S
 from . import retrieval as P
@@ -75,8 +72,7 @@ def repair_frames_all(spark, sf):
 
 def stream_incremental_counts(spark, sf):
     """Hourly counts by type, drained from a stream and merged batch by batch; the final table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
+    home = shared.fresh(spark, "stream")
     sink = S.Upserts(spark, f"{home}/table", ["hour", "event_type"], "hour timestamp, event_type string, n bigint")
     S.drain(S.hourly_counts(S.table_stream(spark, sf, "events"), "3650 days"), f"{home}/checkpoint", sink)
     return sink.table().select(F.date_format("hour", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n")

@@ -129,6 +129,7 @@ class Index:
     references: DataFrame
     imports: DataFrame
     cards: DataFrame
+    home: str | None = None  # H14: the folder that it was opened from
 
     TABLES = ("files", "knowledge", "symbols", "references", "imports", "cards")
 
@@ -138,7 +139,7 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES], home=path)
 
     def stats(self) -> DataFrame:
         """A01."""

@@ -109,6 +109,13 @@ def test_fit_by_brute_force(spark, budget):
             assert k == 1  # notes go last
 
 
+def test_quality_is_told_where_there_is_any(spark):
+    packed = spark.createDataFrame([(1, 1, "a.py", "x", ""), (2, 1, "b.py", "y", ""), (3, 1, "c.py", "z", "")], "query_id long, place int, path string, content string, note string")
+    told = spark.createDataFrame([(1, 0.83, "strong"), (2, 0.0, "weak")], "query_id long, score double, grade string")
+    got = {r.query_id: r.markdown for r in packs.render(packed, told).collect()}
+    assert got == {1: "Quality: strong (0.83)\n\n### a.py\n```\nx\n```", 2: "### b.py\n```\ny\n```", 3: "### c.py\n```\nz\n```"}
+
+
 def test_selection_counts_evidence_before_a_row(spark):
     row = lambda i, score, evidence=(), confidence=0.55, matched=(): (1, i, i, "p", "t", "x", score, list(matched), list(evidence), ["r"], confidence)
     rows = [row(1, 0.1), row(2, 0.3, matched=["m"]), row(3, 0.9, ["e"]), row(4, 0.4, matched=["m"]), row(5, 0.9, confidence=0.7), row(6, 0.3, matched=["m"]), row(7, 0.15), row(8, 0.9)]
