@@ -1,15 +1,21 @@
 """Column builders over text: tokens, coverage, intent, paths, languages.
 
-All stay in the JVM.  Word classes are ASCII: accented letters part words.
+All but token_counts stay in the JVM.  Word classes are ASCII: accented letters part words.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
 
+_TOKEN = re.compile("[a-z0-9]{2,}")
+
 
 def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -20,6 +26,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+def _counts(low: pa.Array) -> pa.Array:
+    names, times, ends, sizes = [], [], [0], []
+    for one in low.to_pylist():
+        found = Counter(_TOKEN.findall(one))
+        names.extend(found)
+        times.extend(found.values())
+        ends.append(len(names))
+        sizes.append(sum(found.values()))
+    terms = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["token", "tf"])
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], ["len", "terms"])
+
+
+def token_counts(text: Column) -> Column:
+    """how many tokens(), and how often each: counted within the text, so that no row of a token has to be grouped for it."""
+    counts = F.arrow_udf(_counts, "struct<len:int,terms:array<struct<token:string,tf:bigint>>>")
+    return counts(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def primary_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
