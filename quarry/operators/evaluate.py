@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import shared
 
 
 def per_case(tops: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
@@ -25,21 +26,27 @@ def per_case(tops: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def holders(queries: DataFrame, corpus: DataFrame, held: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_id, id: every document that holds a query's text as a whole.  queries: query_id, text; corpus: id, text; held: where there is an index, what it
-    gives for tokens (token): token, id.
+def holders(queries: DataFrame, corpus: DataFrame, held: Callable[[DataFrame], DataFrame] | None = None, frequencies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, id: every document that holds a query's text as a whole.  queries: query_id, text; corpus: id, text; held and frequencies: where there is an
+    index, what it gives for tokens (token): token, id, and token, df.  With frequencies only the rarest tokens' documents are read.
 
     A query's inner tokens (without its first and last run, which the document may go on) are tokens of each holder, so only documents
     with the rarest of them are searched; a query without inner tokens is looked for in all."""
     inner = text.tokens(F.regexp_replace(F.lower("text"), "^[a-z0-9]+|[a-z0-9]+$", " "))
     t = queries.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
     asked = t.select("token").distinct()
-    p = held(asked) if held else corpus.select("id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).join(asked, "token", "left_semi")
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
+    p = held(asked) if held and not frequencies else None if frequencies else corpus.select("id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).join(asked, "token", "left_semi")
+    df = frequencies(asked) if frequencies else p.groupBy("token").agg(F.count("*").alias("df"))
     rarest = t.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    bare = queries.filter(F.size(inner) == 0).select("query_id").crossJoin(corpus.select("id"))
-    pairs = rarest.join(p, "token").select("query_id", "id").unionAll(bare)
-    found = pairs.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(corpus.select("id", "text"), "id")
+    if frequencies:
+        rarest = shared.written(rarest, "rarest")
+        p = held(rarest.select("token"))
+    # pairs are written for their size: texts are moved only where pairs are too many to be sent to them
+    asks, texts = queries.select("query_id", F.col("text").alias("q")), corpus.select("id", "text")
+    found = shared.written(rarest.join(p, "token").select("query_id", "id"), "pairs").join(asks, "query_id").join(texts, "id")
+    bare = queries.filter(F.size(inner) == 0).select("query_id", F.col("text").alias("q"))
+    if not bare.isEmpty():
+        found = found.select("query_id", "id", "q", "text").unionAll(bare.crossJoin(texts).select("query_id", "id", "q", "text"))
     return found.filter(F.contains("text", F.col("q"))).select("query_id", "id").distinct()
 
 

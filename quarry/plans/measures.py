@@ -13,8 +13,9 @@ _GOLD = E._GOLD
 
 def _parts(spark, sf):
     """(the 50 BM25 candidates, Jaccard's cases, the gold)."""
-    gold = E.gold_all(spark, sf)
-    return P.candidates(spark, sf).select("query_id", "id", "rank"), V.per_case(E.tops(spark, sf, "jaccard"), gold), gold
+    index = P.kept(spark, sf)
+    gold = E.gold_all(spark, sf, index)
+    return E.tops(spark, sf, "bm25", index, P.CANDIDATES), V.per_case(E.tops(spark, sf, "jaccard", index), gold), gold
 
 
 def recall_ceilings(spark, sf):
@@ -30,28 +31,30 @@ def miss_ranks(spark, sf):
 
 def opportunities(spark, sf):
     """BM25 is ours, Jaccard the other."""
-    gold = E.gold_all(spark, sf)
-    return V.opportunities(V.per_case(E.tops(spark, sf, "bm25"), gold), {"jaccard": V.per_case(E.tops(spark, sf, "jaccard"), gold)})
+    bm25, jaccard = E.judged(spark, sf, "bm25", "jaccard")
+    return V.opportunities(bm25, {"jaccard": jaccard})
 
 
 def feature_deltas(spark, sf):
     """Text size, of the gold less the first candidate's."""
-    _, cases, gold = _parts(spark, sf)
-    c = P.candidates(spark, sf).select("query_id", "id", "rank", F.length("text").cast("double").alias("size"))
+    listed, cases, gold = _parts(spark, sf)
+    c = listed.join(P.corpus_of(spark, sf), "id").select("query_id", "id", "rank", F.length("text").cast("double").alias("size"))
     return V.feature_deltas(c, cases, gold, ["size"]).select("feature", F.round("delta", 4).alias("delta"))
 
 
 def run_matrix(spark, sf):
     """A run for each remainder of the items, by system."""
-    both = E.cases(spark, sf, "bm25").withColumn("system", F.lit("bm25")).unionAll(E.cases(spark, sf, "jaccard").withColumn("system", F.lit("jaccard")))
+    bm25, jaccard = E.judged(spark, sf, "bm25", "jaccard")
+    both = bm25.withColumn("system", F.lit("bm25")).unionAll(jaccard.withColumn("system", F.lit("jaccard")))
     s = V.summary(both.withColumn("run", F.col("query_id") % 4), "system", "run")
     return s.select("system", "run", *[F.round(m, 6).alias(m) for m in ("acc1", "acc5", "mrr")], "samples")
 
 
 def metric_deltas(spark, sf):
     """BM25's metrics less Jaccard's."""
-    of = lambda system: V.summary(E.cases(spark, sf, system)).select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("acc1", "acc5", "mrr", "ndcg")])).alias("x")).select("x.*")
-    return V.metric_deltas(of("bm25"), of("jaccard")).select("metric", F.round("delta", 6).alias("delta"))
+    bm25, jaccard = E.judged(spark, sf, "bm25", "jaccard")
+    of = lambda cases: V.summary(cases).select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in ("acc1", "acc5", "mrr", "ndcg")])).alias("x")).select("x.*")
+    return V.metric_deltas(of(bm25), of(jaccard)).select("metric", F.round("delta", 6).alias("delta"))
 
 
 def weighted_rerank(spark, sf):
