@@ -88,11 +88,11 @@ def completion_proxy(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words")).withColumn("k", cut)
     rest = F.slice("words", F.col("k") + 1, F.size("words"))
     cases = b.select("query_id", F.array_join(F.slice("words", 1, F.col("k")), " ").alias("prompt"), F.array_join(rest, " ").alias("next_line"), F.get(F.filter(rest, lambda w: F.length(w) >= 5), F.lit(0)).alias("identifier"))
-    cases = shared.written(cases.join(E.gold_all(spark, sf), "query_id", "left"), "cases")
+    index = P.kept(spark, sf)
+    cases = shared.written(cases.join(E.gold_all(spark, sf, index), "query_id", "left"), "cases")
     q = cases.select("query_id", F.col("prompt").alias("text"))
     corpus = P.corpus_of(spark, sf)
-    top = R.top_k(P.kept(spark, sf).bm25(q), P.CANDIDATES, F.desc(F.round("score", 9)), F.asc("id"))
-    pool = shared.written(top.join(corpus.select("id", "text"), "id"), "pool")
+    pool = shared.written(P.best(spark, sf, P.CANDIDATES, index, q).join(corpus.select("id", "text"), "id"), "pool")
     jac = R.jaccard_scores(q, pool.select("id", "text").distinct()).join(pool.select("query_id", "id"), ["query_id", "id"]).withColumn("score", F.round("score", 9))
     ranks = {"bm25": pool.select("query_id", "id", F.col("rank").alias("bm25")), "jaccard": R.value_ranks(jac, "score", "jaccard")}
     fused = R.fuse(ranks, fixed.LEXICAL_WEIGHTS).withColumn("fusion", F.round("fusion", 9))
