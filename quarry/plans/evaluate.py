@@ -18,18 +18,18 @@ def gold_all(spark, sf, index=None):
     return shared.written(held.groupBy("query_id").agg(F.min("id").alias("gold")), "gold")
 
 
-def tops(spark, sf, system, index=None, k=5):
-    index = index or P.kept(spark, sf)
-    if system == "bm25":
-        return P.best(spark, sf, k, index).select("query_id", "id", "rank")
-    return shared.written(index.best(P.queries_of(spark, sf), k, jaccard=True).select("query_id", "id", "rank"), "best")
+def tops(spark, sf, keep, index=None):
+    """By system (bm25, jaccard) query_id, id, rank of its best, as many as `keep` says, from one pass over the index."""
+    found = (index or P.kept(spark, sf)).bests(P.queries_of(spark, sf), keep)
+    return {s: shared.written(t.select("query_id", "id", "rank"), "best") for s, t in found.items()}
 
 
 def judged(spark, sf, *systems, truth=gold_all):
     """The cases of each system; the index is compared with the corpus once, and the truth is looked for once."""
     index = P.kept(spark, sf)
     gold = truth(spark, sf, index)
-    return [V.per_case(tops(spark, sf, s, index), gold) for s in systems]
+    found = tops(spark, sf, dict.fromkeys(systems, P.K), index)
+    return [V.per_case(found[s], gold) for s in systems]
 
 
 def cases(spark, sf, system="bm25", truth=gold_all):

@@ -15,7 +15,8 @@ def _parts(spark, sf):
     """(the 50 BM25 candidates, Jaccard's cases, the gold)."""
     index = P.kept(spark, sf)
     gold = E.gold_all(spark, sf, index)
-    return E.tops(spark, sf, "bm25", index, P.CANDIDATES), V.per_case(E.tops(spark, sf, "jaccard", index), gold), gold
+    found = E.tops(spark, sf, {"bm25": P.CANDIDATES, "jaccard": P.K}, index)
+    return found["bm25"], V.per_case(found["jaccard"], gold), gold
 
 
 def recall_ceilings(spark, sf):
