@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources import shared
 
+#: As many pairs of a query and a document are sent to all tasks at most.
+SENT = 1_000_000
+
 
 def per_case(tops: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """A17.  tops: query_id, id, rank; gold: query_id, gold.  gold_rank (null: missed), rr, ndcg, hit1, hit3, hit5, dup."""
@@ -41,9 +44,10 @@ def holders(queries: DataFrame, corpus: DataFrame, held: Callable[[DataFrame], D
     if frequencies:
         rarest = shared.written(rarest, "rarest")
         p = held(rarest.select("token"))
-    # pairs are written for their size: texts are moved only where pairs are too many to be sent to them
+    # pairs are written for their number: texts are moved only where pairs are too many to be sent to them
     asks, texts = queries.select("query_id", F.col("text").alias("q")), corpus.select("id", "text")
-    found = shared.written(rarest.join(p, "token").select("query_id", "id"), "pairs").join(asks, "query_id").join(texts, "id")
+    pairs = shared.written(rarest.join(p, "token").select("query_id", "id"), "pairs")
+    found = texts.join(F.broadcast(pairs) if pairs.count() <= SENT else pairs, "id").join(asks, "query_id")
     bare = queries.filter(F.size(inner) == 0).select("query_id", F.col("text").alias("q"))
     if not bare.isEmpty():
         found = found.select("query_id", "id", "q", "text").unionAll(bare.crossJoin(texts).select("query_id", "id", "q", "text"))
