@@ -93,7 +93,7 @@ def completion_proxy(spark, sf):
     q = cases.select("query_id", F.col("prompt").alias("text"))
     corpus = P.corpus_of(spark, sf)
     pool = shared.written(P.best(spark, sf, P.CANDIDATES, index, q).join(corpus.select("id", "text"), "id"), "pool")
-    jac = R.jaccard_scores(q, pool.select("id", "text").distinct()).join(pool.select("query_id", "id"), ["query_id", "id"]).withColumn("score", F.round("score", 9))
+    jac = R.candidate_jaccard(q, pool).withColumn("score", F.round("score", 9))
     ranks = {"bm25": pool.select("query_id", "id", F.col("rank").alias("bm25")), "jaccard": R.value_ranks(jac, "score", "jaccard")}
     fused = R.fuse(ranks, fixed.LEXICAL_WEIGHTS).withColumn("fusion", F.round("fusion", 9))
     chance = R.ranked(pool.select("query_id", "id"), F.md5(F.concat_ws(":", "query_id", "id")), F.asc("id"))
