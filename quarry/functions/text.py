@@ -5,7 +5,6 @@ All but token_counts stay in the JVM.  Word classes are ASCII: accented letters
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-_TOKEN = re.compile("[a-z0-9]{2,}")
+_BLANKS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
 
 def _words(values) -> Column:
@@ -28,19 +27,20 @@ def tokens(text: Column) -> Column:
 
 def _counts(low: pa.Array) -> pa.Array:
     names, times, ends, sizes = [], [], [0], []
-    for one in low.to_pylist():
-        found = Counter(_TOKEN.findall(one))
-        names.extend(found)
+    for one in low.cast(pa.binary()).to_pylist():
+        found = {t: n for t, n in Counter(one.translate(_BLANKS).split()).items() if len(t) > 1}
+        names.append(b" ".join(found))
         times.extend(found.values())
-        ends.append(len(names))
+        ends.append(len(times))
         sizes.append(sum(found.values()))
-    terms = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["token", "tf"])
-    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], ["len", "terms"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32()))
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), lists], ["len", "names", "times"])
 
 
 def token_counts(text: Column) -> Column:
-    """how many tokens(), and how often each: counted within the text, so that no row of a token has to be grouped for it."""
-    counts = F.arrow_udf(_counts, "struct<len:int,terms:array<struct<token:string,tf:bigint>>>")
+    """how many tokens(), the distinct ones with blanks between, and how often each: counted within the text, so that no row of a token has to be grouped for
+    it, and a text's tokens are one value to write and to move."""
+    counts = F.arrow_udf(_counts, "struct<len:int,names:string,times:array<int>>")
     return counts(F.lower(F.coalesce(text, F.lit(""))))
 
 
